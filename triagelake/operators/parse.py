@@ -16,14 +16,30 @@ SESSION_KEY = r"(blk_-?\d+)"
 
 # fixed values: the shapes of secrets, the first group is kept
 SECRET_PATTERNS = (
-    r"(?i)(Bearer\s+)[a-zA-Z0-9\-\._~+/]+=*",
-    r"(?i)(password[\"']?\s*[:=]\s*[\"']?)[^\s\"',&]+",
-    r"(?i)(api[-_]?key[\"']?\s*[:=]\s*[\"']?)[^\s\"',&]+",
-    r"(?i)(secret[\"']?\s*[:=]\s*[\"']?)[^\s\"',&]+",
-    r"(?i)(token[\"']?\s*[:=]\s*[\"']?)[^\s\"',&]+",
-    r"(?i)(authorization[\"']?\s*[:=]\s*[\"']?)[^\s\"',&]+",
+    r"(?i)(bearer\s+)[A-Za-z0-9_\-\.]{10,}",
+    r"(?i)(api[_-]?key\s*[:=]\s*['\"]?)[A-Za-z0-9_\-\.]{8,}['\"]?",
+    r"(?i)(secret\s*[:=]\s*['\"]?)[A-Za-z0-9_\-\.]{8,}['\"]?",
+    r"(?i)(password\s*[:=]\s*['\"]?)[^\s'\"]+['\"]?",
+    r"(?i)(authorization\s*[:=]\s*['\"]?)[^\s'\"]+['\"]?",
+    r"(?i)(token\s*[:=]\s*['\"]?)[A-Za-z0-9_\-\.]{8,}['\"]?",
 )
 
+# fixed values: field names whose whole value is a secret
+SENSITIVE_FIELDS = (
+    "api_key",
+    "apikey",
+    "secret",
+    "password",
+    "auth",
+    "authorization",
+    "token",
+    "access_token",
+    "refresh_token",
+    "private_key",
+)
+
+# fixed value: file paths that a submitted line must not name
+PATH_REFERENCE = r"(\.\.[/\\])|([a-zA-Z]:[/\\])|(^[/\\](etc|sys|proc|var|usr|bin|root))"
 
 def session_key(*texts: Column) -> Column:
     """First block id in the first text that has one."""
@@ -110,7 +126,7 @@ def submission_violations(
         F.array(
             F.when(col.isNull() | (strip(col) == ""), F.lit("blank_line")),
             F.when(F.length(col) > max_chars, F.lit("line_too_long")),
-            F.when(F.rlike(col, F.lit(r"\.\./|\.\.\\")), F.lit("path_traversal")),
+            F.when(F.rlike(col, F.lit(PATH_REFERENCE)), F.lit("path_reference")),
         )
     )
     out = lines.withColumn("violations", rules)
@@ -131,7 +147,7 @@ def redact(col: Column) -> Column:
     return col
 
 
-def redact_nested(df: DataFrame, sensitive: Sequence[str]) -> DataFrame:
+def redact_nested(df: DataFrame, sensitive: Sequence[str] = SENSITIVE_FIELDS) -> DataFrame:
     """Blank sensitive fields and redact every other string, at any depth of the schema."""
     keys = {k.lower() for k in sensitive}
 
