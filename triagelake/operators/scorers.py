@@ -103,30 +103,31 @@ def _pairs(encoded: DataFrame) -> DataFrame:
     return encoded.select("dataset", "window_id", F.inline(F.when(F.size(t) == 1, single).otherwise(steps)))
 
 
-def fit_next_template(encoded_train: DataFrame, vocab_size: int, alpha: float = 1.0, beta: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """Order-1 model with unigram back-off: (token probabilities, smoothed transition counts)."""
-    uni = encoded_train.select(F.explode("tokens").alias("next")).groupBy("next").agg(F.count(F.lit(1)).alias("c"))
-    uni = pin_small(uni)
-    total = uni.agg(F.coalesce(F.sum("c"), F.lit(0))).scalar()
-    probs = uni.select("next", ((F.col("c") + F.lit(alpha)) / (total + F.lit(alpha * vocab_size))).alias("p"))
+def fit_next_template(encoded_train: DataFrame, vocab_size: int, alpha: float = 1.0) -> dict:
+    """Order-1 model: smoothed token probabilities, step counts, and the floor of unseen tokens.
+
+    ``vocab_size`` counts the known templates and UNKNOWN.
+    """
+    uni = pin_small(encoded_train.select(F.explode("tokens").alias("next")).groupBy("next").agg(F.count(F.lit(1)).alias("c")))
+    denominator = float(uni.agg(F.sum("c")).first()[0] or 0) + alpha * vocab_size
     steps = _pairs(encoded_train).filter(F.col("prev").isNotNull())
-    return (
-        pin_small(probs.unionByName(probs.agg(F.lit(None).cast("int").alias("next"), (F.lit(alpha) / (F.coalesce(F.first(total), F.lit(0)) + F.lit(alpha * vocab_size))).alias("p")))),
-        pin_small(steps.groupBy("prev", "next").agg(F.count(F.lit(1)).alias("c"))),
-    )
+    return {
+        "probs": uni.select("next", ((F.col("c") + F.lit(alpha)) / F.lit(denominator)).alias("p")),
+        "steps": pin_small(steps.groupBy("prev", "next").agg(F.count(F.lit(1)).alias("c"))),
+        "floor": alpha / denominator,
+    }
 
 
-def next_template_scores(encoded: DataFrame, probs: DataFrame, steps: DataFrame, beta: float = 1.0) -> DataFrame:
-    """Mean negative log-likelihood of each next token of a window."""
-    floor = probs.filter(F.col("next").isNull()).select("p").scalar()
-    context = steps.groupBy("prev").agg(F.sum("c").alias("ctx"))
+def next_template_scores(encoded: DataFrame, model: dict, beta: float = 1.0) -> DataFrame:
+    """Mean negative log-likelihood of each next token, backing off to the token probability."""
+    context = pin_small(model["steps"].groupBy("prev").agg(F.sum("c").alias("ctx")))
     rows = (
         _pairs(encoded)
-        .join(probs.filter(F.col("next").isNotNull()), "next", "left")
-        .join(steps, ["prev", "next"], "left")
-        .join(pin_small(context), "prev", "left")
+        .join(model["probs"], "next", "left")
+        .join(model["steps"], ["prev", "next"], "left")
+        .join(context, "prev", "left")
     )
-    p_next = F.coalesce(F.col("p"), floor)
+    p_next = F.coalesce("p", F.lit(model["floor"]))
     p = (F.coalesce("c", F.lit(0)) + F.lit(beta) * p_next) / (F.coalesce("ctx", F.lit(0)) + F.lit(beta))
     return rows.groupBy("dataset", "window_id").agg(F.avg(-F.log(p)).alias("score"))
 
