@@ -50,10 +50,18 @@ def rank_buckets(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def _numeric_order(df: DataFrame, key: str) -> Column:
+    """``key`` itself, or for strings the number of its first seven bytes, which keeps the order."""
+    if dict(df.dtypes)[key] != "string":
+        return F.col(key)
+    head = F.hex(F.substring(F.encode(F.col(key), "UTF-8"), 1, 7))
+    return F.conv(F.rpad(head, 14, "0"), 16, 10).cast("long")
+
+
 def _with_cuts(df: DataFrame, key: str, by: Sequence[str], buckets: int) -> DataFrame:
     """Add ``_cuts``: per group, the approximate quantiles of ``key``. Groups must be few."""
     probs = [i / buckets for i in range(1, buckets)]
-    approx = F.percentile_approx(key, probs, 100 * buckets)
+    approx = F.percentile_approx(_numeric_order(df, key), probs, 100 * buckets)
     if not by:
         return df.withColumn("_cuts", df.agg(approx.alias("c")).scalar())
     per_group = df.groupBy(*by).agg(approx.alias("c"))
@@ -77,7 +85,7 @@ def running_totals(
     by = list(by)
     n = buckets or rank_buckets(df.sparkSession)
     placed = _with_cuts(df, key, by, n).withColumn(
-        "_b", F.size(F.filter("_cuts", lambda c: c < F.col(key)))
+        "_b", F.size(F.filter("_cuts", lambda c: c < _numeric_order(df, key)))
     ).drop("_cuts")
     totals = placed.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
     order = F.desc if descending else F.asc

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,30 +91,26 @@ def wilson_interval(df: DataFrame, k: str, n: str, confidence: float = 0.95, pre
 
 
 def bootstrap_ci(
-    df: DataFrame, sums: Mapping[str, Column], metric: Column, by: Sequence[str] = (), key: str = "window_id", replicates: int = 1000, confidence: float = 0.95
+    df: DataFrame, sums: Mapping[str, Column], metric: Column, by: Sequence[str] = (), replicates: int = 1000, confidence: float = 0.95, seed: int = 42
 ) -> DataFrame:
     """Percentile interval from a Poisson bootstrap.
 
-    Each row draws a Poisson(1) weight per replicate from a hash of its key; weighted ``sums`` are
-    added map-side, so only replicates x groups rows are shuffled. ``metric`` is an expression over
-    the summed columns.
+    Rows with equal contributions are counted first: n rows of weight Poisson(1) have total weight
+    Poisson(n), so a metric over confusion cells draws from four rows however large the table is.
+    ``metric`` is an expression over the weighted ``sums``.
     """
-    u = F.transform(
-        F.sequence(F.lit(1), F.lit(replicates)), lambda r: (F.xxhash64(F.col(key), r).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53)))
-    )
-    # inverse Poisson(1) distribution function, to a tail below 1e-9
-    cdf, term, total = [], 0.36787944117144233, 0.0
-    for i in range(12):
-        total += term
-        cdf.append(total)
-        term /= i + 1
-    bounds = F.array(*[F.lit(v) for v in cdf])
-    rows = df.select(*by, *[c.cast("double").alias(f"_v_{n}") for n, c in sums.items()], F.posexplode(u).alias("rep", "u"))
-    weight = F.size(F.filter(bounds, lambda b: b <= F.col("u")))
-    drawn = rows.groupBy(*by, "rep").agg(*[F.sum(F.col(f"_v_{n}") * weight).alias(n) for n in sums])
+
+    @F.pandas_udf("array<double>")
+    def draws(key: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([np.random.default_rng([seed, k & 0xFFFFFFFF, (k >> 32) & 0xFFFFFFFF]).poisson(m, replicates).astype(float) for k, m in zip(key, n)])
+
+    names = [f"_v_{n}" for n in sums]
+    cells = df.select(*by, *[c.cast("double").alias(v) for v, c in zip(names, sums.values())]).groupBy(*by, *names).agg(F.count(F.lit(1)).alias("_n"))
+    drawn = cells.withColumn("_w", draws(F.xxhash64(*by, *names), F.col("_n"))).select(*by, *names, F.posexplode("_w").alias("_rep", "_k"))
+    totals = drawn.groupBy(*by, "_rep").agg(*[F.sum(F.col(v) * F.col("_k")).alias(n) for v, n in zip(names, sums)])
+    values = totals.select(*by, metric.alias("m")).filter(F.col("m").isNotNull())
     tail = (1 - confidence) / 2
-    values = drawn.select(*by, metric.alias("m")).filter(F.col("m").isNotNull())
-    # replicates values per group: a fixed number, so percentile() is bounded
+    # one value per replicate and group, so percentile() sees a fixed number of rows
     return values.groupBy(*by).agg(F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"), F.count(F.lit(1)).alias("replicates"))
 
 

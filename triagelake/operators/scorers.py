@@ -56,11 +56,14 @@ def fit_frequency(train_counts: DataFrame, alpha: float = 1.0) -> DataFrame:
 
 
 def frequency_scores(counts: DataFrame, fitted: DataFrame) -> DataFrame:
-    """Mean surprise of the records of each window."""
+    """Mean surprise of the records of each window.
+
+    Rounded to 9 places, so windows of equal content tie whatever order their terms were added in.
+    """
     unknown = fitted.filter(F.col("template_id") == UNKNOWN_TEMPLATE).select("log_p").scalar()
     surprise = -F.coalesce(F.col("log_p"), unknown)
     joined = counts.join(fitted, "template_id", "left")
-    return joined.groupBy("dataset", "window_id").agg((F.sum(F.col("n") * surprise) / F.sum("n")).alias("score"))
+    return joined.groupBy("dataset", "window_id").agg(F.round(F.sum(F.col("n") * surprise) / F.sum("n"), 9).alias("score"))
 
 
 def attach_scores(windows: DataFrame, scores: DataFrame, name: str = "score") -> DataFrame:
@@ -129,7 +132,7 @@ def next_template_scores(encoded: DataFrame, model: dict, beta: float = 1.0) ->
     )
     p_next = F.coalesce("p", F.lit(model["floor"]))
     p = (F.coalesce("c", F.lit(0)) + F.lit(beta) * p_next) / (F.coalesce("ctx", F.lit(0)) + F.lit(beta))
-    return rows.groupBy("dataset", "window_id").agg(F.avg(-F.log(p)).alias("score"))
+    return rows.groupBy("dataset", "window_id").agg(F.round(F.avg(-F.log(p)), 9).alias("score"))
 
 
 def _dense(features: DataFrame, d: int) -> DataFrame:

@@ -34,13 +34,18 @@ def _window_aggregates(has_time: Column) -> list[Column]:
     ]
 
 
-def fixed_windows(records: DataFrame, size: int = 100, min_size: int = 1, index: str = "line_number", prefix: str = "fixed") -> DataFrame:
+def fixed_windows(records: DataFrame, size: int = 100, min_size: int = 1, index: str = "line_number", prefix: str = "fixed", messages: bool = False) -> DataFrame:
     """Windows of ``size`` consecutive records; a last partial one stays if it has ``min_size``.
 
+    ``template_ids`` and, on request, ``raw_messages`` are arrays of at most ``size`` items.
+
     Consecutive lines sit in the same input split, so the map-side combine does nearly all work.
     """
     keyed = records.withColumn("window_id", fixed_window_key(F.col(index), size, prefix)).withColumn("_order", F.col(index))
-    out = keyed.groupBy("dataset", "window_id").agg(*_window_aggregates(F.col("timestamp").isNotNull()))
+    kept = ["template_id", "raw_message"] if messages else ["template_id"]
+    items = F.array_sort(F.collect_list(F.struct("_order", *kept))).alias("_items")  # at most ``size`` items
+    out = keyed.groupBy("dataset", "window_id").agg(*_window_aggregates(F.col("timestamp").isNotNull()), items)
+    out = out.select("*", *[F.col(f"_items.{c}").alias(f"{c}s") for c in kept]).drop("_items")
     return (
         out.filter(F.col("record_count") >= min_size)
         .withColumn("session_id", F.lit(None).cast("string"))
@@ -83,6 +88,12 @@ def any_anomaly_label(records: DataFrame, key: str = "session_id") -> DataFrame:
     return records.groupBy(key).agg(F.bool_or(F.coalesce("is_anomaly", F.lit(False))).alias("is_anomaly"))
 
 
+def sequence_counts(windows: DataFrame) -> DataFrame:
+    """(window, template, n) from bounded ``template_ids`` arrays."""
+    rows = windows.select("dataset", "window_id", F.explode("template_ids").alias("template_id"))
+    return rows.groupBy("dataset", "window_id", "template_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def template_counts(records: DataFrame) -> DataFrame:
     """(window, template, n): the content of a window without its order."""
     return records.groupBy("dataset", "window_id", "template_id").agg(F.count(F.lit(1)).alias("n"))
