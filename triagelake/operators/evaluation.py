@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from triagelake.functions.scale import ratio, running_totals
 from triagelake.operators.calibration import confusion, confusion_at, per_score
@@ -114,7 +115,7 @@ def bootstrap_ci(
     return values.groupBy(*by).agg(F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"), F.count(F.lit(1)).alias("replicates"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _erfc(x: pd.Series) -> pd.Series:
     from math import erfc
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from triagelake.functions.scale import materialize, pin_small, running_totals
 from triagelake.functions.text import SESSION_LOG_MASKS, WILDCARD, mask, words
 
 UNKNOWN_TEXT = "UNKNOWN"
-MAX_SHAPES_PER_BUCKET = 5_000
+MAX_SHAPES_PER_BUCKET = 2_000
 
 
 def shape_tokens(content: Column, masks: Sequence[str] = SESSION_LOG_MASKS) -> Column:
@@ -26,22 +27,27 @@ def shape_tokens(content: Column, masks: Sequence[str] = SESSION_LOG_MASKS) -> C
 
 
 def _merge_bucket(sim_th: float):
+    """Merge the shapes of one bucket, biggest first, into the most similar template so far."""
+
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         ordered = pdf.assign(key=pdf["tokens"].map(" ".join)).sort_values(["size", "key"], ascending=[False, True])
-        clusters: list[list] = []
-        for tokens, size in zip(ordered["tokens"], ordered["size"]):
-            best, best_share = None, sim_th
-            for c in clusters:
-                same = sum(a == b and a != WILDCARD for a, b in zip(c[0], tokens))
-                share = same / max(len(tokens), 1)
-                if share >= best_share and (best is None or share > best_share):
-                    best, best_share = c, share
-            if best is None:
-                clusters.append([list(tokens), int(size)])
+        codes, names = pd.factorize(np.concatenate(ordered["tokens"].to_numpy()))
+        rows = codes.reshape(len(ordered), -1)
+        wild = np.flatnonzero(names == WILDCARD)
+        wild = int(wild[0]) if len(wild) else -1
+        sizes = ordered["size"].to_numpy()
+        merged, totals, used = np.empty_like(rows), np.zeros(len(rows), dtype=np.int64), 0
+        for row, size in zip(rows, sizes):
+            same = ((merged[:used] == row) & (merged[:used] != wild)).mean(axis=1) if used else np.array([])
+            if used and same.max() >= sim_th:
+                best = int(same.argmax())
+                merged[best] = np.where(merged[best] == row, row, wild)
+                totals[best] += size
             else:
-                best[0] = [a if a == b else WILDCARD for a, b in zip(best[0], tokens)]
-                best[1] += int(size)
-        return pd.DataFrame({"template": [" ".join(c[0]) for c in clusters], "size": [c[1] for c in clusters]})
+                merged[used], totals[used] = row, size
+                used += 1
+        text = [" ".join(WILDCARD if c < 0 else names[c] for c in m) for m in merged[:used]]
+        return pd.DataFrame({"template": text, "size": totals[:used]})
 
     return merge
 

@@ -1,5 +1,5 @@
 """Composed queries by family; each module holds QUERIES and the SQL to check them."""
 
-from triagelake.plans import ingest
+from triagelake.plans import ingest, scoring
 
-FAMILIES = (ingest,)
+FAMILIES = (ingest, scoring)

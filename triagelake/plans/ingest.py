@@ -162,7 +162,7 @@ def quality_report(spark, sf):
 
 
 def label_leak_scan(spark, sf):
-    c = tables.table(spark, sf, "documents").withColumn("probe", F.concat_ws(" ", "text", F.when(F.col("n_chars") % 7 == 0, F.lit("Label: Normal"))))
+    c = tables.table(spark, sf, "documents").withColumn("probe", F.concat_ws(" ", "text", F.when(F.col("source") == "src1", F.lit("Label: Normal"))))
     return splits.label_leaks(c, "probe").select("doc_id", "indicator")
 
 
@@ -253,7 +253,7 @@ SELECT count(*) AS total_windows, count(*) FILTER (WHERE split = 'train') AS tra
   (SELECT count(*) FROM rec WHERE template_id = -1) AS unknown_template_records, (SELECT count(DISTINCT template_id) FROM rec) AS unique_template_count,
   count(*) - count(DISTINCT window_id) AS duplicate_window_ids_count FROM win"""),
     "label_leak_scan": """
-WITH p AS (SELECT doc_id, lower(text || CASE WHEN n_chars % 7 = 0 THEN ' Label: Normal' ELSE '' END) AS low FROM documents)
+WITH p AS (SELECT doc_id, lower(text || CASE WHEN source = 'src1' THEN ' Label: Normal' ELSE '' END) AS low FROM documents)
 SELECT doc_id, coalesce(CASE WHEN contains(low, 'is_anomaly') THEN 'is_anomaly' END, CASE WHEN contains(low, 'anomaly_label') THEN 'anomaly_label' END,
   CASE WHEN contains(low, 'ground_truth') THEN 'ground_truth' END, CASE WHEN contains(low, 'label: anomaly') THEN 'label: anomaly' END, CASE WHEN contains(low, 'label: normal') THEN 'label: normal' END) AS indicator
 FROM p WHERE indicator IS NOT NULL""",
