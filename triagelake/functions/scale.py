@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PIN_MAX_ROWS = 200_000
+SINGLE_WINDOW_ROWS = 50_000
 LINES_PER_BLOCK = 1_000_000
 
 
@@ -33,16 +34,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def pin_small(df: DataFrame, max_rows: int = PIN_MAX_ROWS) -> DataFrame:
-    """Turn a fitted table into a broadcastable local one if it has at most ``max_rows`` rows.
+def local_copy(df: DataFrame, max_rows: int) -> DataFrame | None:
+    """The table as local rows of the plan, or None if it has more than ``max_rows`` rows.
 
-    At most ``max_rows + 1`` rows reach the driver. A larger table is returned as it is, so the
-    join that uses it stays a shuffle join.
+    At most ``max_rows + 1`` rows reach the driver.
     """
     rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, schema=df.schema))
+    return None if rows.num_rows > max_rows else df.sparkSession.createDataFrame(rows, schema=df.schema)
+
+
+def pin_small(df: DataFrame, max_rows: int = PIN_MAX_ROWS) -> DataFrame:
+    """Turn a fitted table into a broadcast local one if it has at most ``max_rows`` rows.
+
+    A larger table is returned as it is, so the join that uses it stays a shuffle join.
+    """
+    local = local_copy(df, max_rows)
+    return df if local is None else F.broadcast(local)
 
 
 def rank_buckets(spark: SparkSession) -> int:
@@ -80,9 +87,15 @@ def running_totals(
 ) -> DataFrame:
     """Add inclusive running sums along ``key``; ``df`` has one row per (``by``, ``key``).
 
-    ``sums`` maps output name to input column. ``by`` are group columns with few values.
+    ``sums`` maps output name to input column. ``by`` are group columns with few values. A table
+    of up to SINGLE_WINDOW_ROWS rows takes one plain window; a larger one is cut into buckets.
+    ``buckets`` forces the second way.
     """
     by = list(by)
+    small = None if buckets else local_copy(df, SINGLE_WINDOW_ROWS)
+    if small is not None:
+        w = Window.partitionBy(*by).orderBy(F.desc(key) if descending else F.asc(key)).rowsBetween(Window.unboundedPreceding, 0)
+        return small.select("*", *[F.sum(c).over(w).alias(o) for o, c in sums.items()])
     n = buckets or rank_buckets(df.sparkSession)
     placed = _with_cuts(df, key, by, n).withColumn(
         "_b", F.size(F.filter("_cuts", lambda c: c < _numeric_order(df, key)))

@@ -27,13 +27,19 @@ def per_score(scores: DataFrame, by: Sequence[str] = (), score: str = "score", y
 
 
 def order_values(scores: DataFrame, ranks: Mapping[str, Column], by: Sequence[str] = (), score: str = "score") -> DataFrame:
-    """Values at 0-based ranks, one column each. Ranks are expressions over ``_n``, the row count."""
-    table = per_score(scores, by, score)
-    cum = running_totals(table, "s", {"upto": "c"}, by)
-    sizes = table.groupBy(*by).agg(F.sum("c").alias("_n"))
+    """Values at 0-based ranks, one column each. Ranks are expressions over ``_n``, the row count.
+
+    Each distinct score keeps the ranks that fall on its run of equal rows, so at most one row per
+    rank and group leaves the scan of the score table.
+    """
+    cum = running_totals(per_score(scores, by, score), "s", {"upto": "c"}, by)
+    sizes = cum.groupBy(*by).agg(F.sum("c").alias("_n"))
     joined = cum.join(F.broadcast(sizes), list(by)) if by else cum.withColumn("_n", sizes.scalar())
-    picks = [F.min(F.when(F.col("upto") > r, F.col("s"))).alias(name) for name, r in ranks.items()]
-    return joined.groupBy(*by).agg(F.sum("c").alias("n"), *picks)
+    wanted = F.array(*[r.cast("long") for r in ranks.values()])
+    here = F.filter(F.transform(wanted, lambda r, i: F.struct(i.alias("i"), r.alias("r"))), lambda x: (x["r"] < F.col("upto")) & (x["r"] >= F.col("upto") - F.col("c")))
+    hits = joined.select(*by, "_n", "s", F.explode(here.getField("i")).alias("i"))
+    found = hits.groupBy(*by).agg(F.first("_n").alias("n"), F.map_from_entries(F.collect_list(F.struct("i", "s"))).alias("_m"))
+    return found.select(*by, "n", *[F.element_at("_m", F.lit(i)).alias(name) for i, name in enumerate(ranks)])
 
 
 def quantiles(scores: DataFrame, qs: Mapping[str, float], by: Sequence[str] = (), score: str = "score") -> DataFrame:
@@ -169,6 +175,18 @@ def score_distribution(scored: DataFrame, score: str = "score", y: str = "y") ->
     return score_stats(parts, ["part"], score)
 
 
+def _even_percentiles(scored: DataFrame, score: str, points: int) -> list[float]:
+    """``points`` interpolated percentiles from 0 to 100 as plain numbers."""
+    at = [(F.col("_n") - 1) * F.lit(i / (points - 1)) for i in range(points)]
+    ranks = {f"{end}{i}": fn(a) for i, a in enumerate(at) for end, fn in (("lo", F.floor), ("hi", F.ceil))}
+    row = order_values(scored, ranks, score=score).first()
+    out = []
+    for i in range(points):
+        share = ((row["n"] - 1) * (i / (points - 1))) % 1.0
+        out.append(row[f"lo{i}"] + (row[f"hi{i}"] - row[f"lo{i}"]) * share)
+    return out
+
+
 def oracle_threshold(scored: DataFrame, score: str = "score", y: str = "y", strict: bool = True) -> DataFrame:
     """Threshold with the best F1 (diagnosis only): all distinct scores, or 200 percentiles.
 
@@ -180,9 +198,7 @@ def oracle_threshold(scored: DataFrame, score: str = "score", y: str = "y", stri
     if not few:
         raise ValueError("no scores")
     if len(few) > MAX_CANDIDATES:
-        names = {f"q{i}": i / (MAX_CANDIDATES - 1) for i in range(MAX_CANDIDATES)}
-        row = quantiles(scored, names, score=score).first()
-        few = [row[n] for n in names]
+        few = _even_percentiles(scored, score, MAX_CANDIDATES)
     cands = F.array(*[F.lit(float(v)) for v in few])
     above = F.size(F.filter(cands, lambda c: c < F.col("s") if strict else c <= F.col("s")))
     gaps = table.groupBy(above.alias("g")).agg(F.sum("pos").alias("pos"), F.sum(F.col("c") - F.col("pos")).alias("neg"))

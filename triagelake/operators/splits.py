@@ -46,8 +46,8 @@ def chronological_cuts(windows: DataFrame, ratios: Sequence[float] = (0.6, 0.2,
     _check_ratios(ratios)
     start = F.coalesce(F.col("start_time"), F.lit(INF)).alias("t")
     runs = windows.groupBy(start).agg(F.count(F.lit(1)).alias("c"))
-    n = runs.agg(F.sum("c")).scalar()
     cum = running_totals(runs, "t", {"upto": "c"}).withColumn("below", F.col("upto") - F.col("c"))
+    n = cum.agg(F.sum("c")).scalar()
 
     def cut(share: float) -> Column:
         target = F.floor(n * F.lit(share))
