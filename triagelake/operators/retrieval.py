@@ -107,7 +107,9 @@ def _dense_similarity(q: pd.Series, c: pd.Series) -> np.ndarray:
     return unit(q) @ unit(c).T
 
 
-def _block_kernel(keep: int, similarity: Callable[[pd.Series, pd.Series], np.ndarray]):
+def _block_kernel(keep: int, similarity: Callable[[pd.Series, pd.Series], np.ndarray], keyed: bool):
+    """Top ``keep`` of one block pair. ``keyed``: keys name directions, so equal keys mean cosine 1."""
+
     def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = {"dataset": [], "qkey": [], "ckey": [], "first_chunk": [], "sim": []}
         if len(q) and len(c):
@@ -116,7 +118,8 @@ def _block_kernel(keep: int, similarity: Callable[[pd.Series, pd.Series], np.nda
             for lo in range(0, len(q), 256):
                 part = q.iloc[lo : lo + 256]
                 sims = np.clip(np.round(similarity(part["vec"], c["vec"]), PLACES), -1.0, 1.0)
-                sims = np.where(part["qkey"].to_numpy()[:, None] == ckeys[None, :], 1.0, np.minimum(sims, BELOW_ONE))
+                if keyed:
+                    sims = np.where(part["qkey"].to_numpy()[:, None] == ckeys[None, :], 1.0, np.minimum(sims, BELOW_ONE))
                 # columns are in chunk order, so a stable sort breaks ties by chunk id
                 best = np.argsort(-sims, axis=1, kind="stable")[:, :keep]
                 for i, cols in enumerate(best):
@@ -141,7 +144,7 @@ def blocked_top_k(queries: DataFrame, corpus: DataFrame, keep: int, sparse: bool
     qb, cb = max(1, -(-nq // BLOCK_ROWS)), max(1, -(-nc // BLOCK_ROWS))
     q = _block(queries, "qkey", "qb", "cb", qb, cb)
     c = _block(corpus, "ckey", "cb", "qb", cb, qb)
-    kernel = _block_kernel(keep, _sparse_similarity if sparse else _dense_similarity)
+    kernel = _block_kernel(keep, _sparse_similarity if sparse else _dense_similarity, sparse)
     local = q.groupBy("dataset", "qb", "cb").cogroup(c.groupBy("dataset", "qb", "cb")).applyInPandas(
         kernel, "dataset string, qkey string, ckey string, first_chunk string, sim double"
     )

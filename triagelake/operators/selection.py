@@ -46,21 +46,24 @@ def mmr_picks(sets: DataFrame, evidence_k: int = 3, lam: float | Column = 0.7, r
     if retrieval_k is not None and evidence_k > retrieval_k:
         raise ValueError("evidence_k cannot exceed retrieval_k")
     weight = lam if isinstance(lam, Column) else F.lit(float(lam))
-    start = F.array().cast("array<struct<i:int,score:double,penalty:double>>")
+    none = F.array().cast("array<struct<i:int,score:double,penalty:double>>")
+    # the matrix travels in the state, so it is computed once and not at every access
+    start = F.struct(none.alias("picks"), F.col("pair_sims").alias("sims"))
+
+    def step(state: Column, _: Column) -> Column:
+        picked = state["picks"]
 
-    def step(picked: Column, _: Column) -> Column:
         def scored(i: Column) -> Column:
             c = F.get("cands", i)
-            penalty = F.array_max(F.transform(picked, lambda p: F.get(F.get("pair_sims", i), p["i"])))
+            penalty = F.array_max(F.transform(picked, lambda p: F.get(F.get(state["sims"], i), p["i"])))
             score = F.when(F.size(picked) == 0, c["similarity"]).otherwise(F.round(weight * c["similarity"] - (1.0 - weight) * penalty, 9))
             return F.struct((-score).alias("ns"), (-c["similarity"]).alias("nr"), c["chunk_id"].alias("id"), i.alias("i"), F.coalesce(penalty, F.lit(0.0)).alias("penalty"))
 
         left = F.filter(F.sequence(F.lit(0), F.size("cands") - 1), lambda i: ~F.exists(picked, lambda p: p["i"] == i))
-        best = F.array_min(F.transform(left, scored))
-        pick = F.struct(best["i"].alias("i"), (-best["ns"]).alias("score"), best["penalty"].alias("penalty"))
-        return F.when(F.size(left) == 0, picked).otherwise(F.array_append(picked, pick))
+        best = F.transform(F.slice(F.array_sort(F.transform(left, scored)), 1, 1), lambda b: F.struct(b["i"].alias("i"), (-b["ns"]).alias("score"), b["penalty"].alias("penalty")))
+        return F.struct(F.concat(picked, best).alias("picks"), state["sims"].alias("sims"))
 
-    return sets.withColumn("picks", F.aggregate(F.sequence(F.lit(1), F.lit(evidence_k)), start, step))
+    return sets.withColumn("picks", F.aggregate(F.sequence(F.lit(1), F.lit(evidence_k)), start, step, lambda s: s["picks"]))
 
 
 def selected_rows(picked: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
