@@ -62,11 +62,11 @@ def _lits(values: tuple[str, ...]) -> Column:
 
 def content_tokens(text: Column) -> Column:
     """Distinct lower-case words of three and more characters without stopwords."""
-    return F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\b[a-zA-Z0-9_-]{3,}\b"), F.lit(0))), _lits(STOPWORDS))
+    return F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b[a-zA-Z0-9_-]{3,}\b"), F.lit(0))), _lits(STOPWORDS))
 
 
 def numbers(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(r"\b\d+(?:\.\d+)?\b"), F.lit(0)), lambda n: n.cast("double"))
+    return F.transform(F.regexp_extract_all(text, F.lit(r"(?U)\b[0-9]+(?:\.[0-9]+)?\b"), F.lit(0)), lambda n: n.cast("double"))
 
 
 def parse_claims(explanations: DataFrame) -> DataFrame:

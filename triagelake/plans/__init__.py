@@ -1,5 +1,5 @@
 """Composed queries by family; each module holds QUERIES and the SQL to check them."""
 
-from triagelake.plans import evidence, ingest, scoring
+from triagelake.plans import evidence, ingest, reason, scoring
 
-FAMILIES = (ingest, scoring, evidence)
+FAMILIES = (ingest, scoring, evidence, reason)
