@@ -1,5 +1,5 @@
 """Composed queries by family; each module holds QUERIES and the SQL to check them."""
 
-from triagelake.plans import audit, evidence, ingest, reason, scoring
+from triagelake.plans import audit, evidence, ingest, live, reason, scoring
 
-FAMILIES = (ingest, scoring, evidence, reason, audit)
+FAMILIES = (ingest, scoring, evidence, reason, audit, live)

@@ -15,7 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as parsed log records. Timestamps are epoch seconds, ids follow file order."""
-    e = table(spark, sf_dir, "events")
+    return as_records(table(spark, sf_dir, "events"))
+
+
+def as_records(e: DataFrame) -> DataFrame:
     template = F.lit(-1)
     for name, tid in EVENT_TEMPLATES.items():
         template = F.when(F.col("event_type") == name, tid).otherwise(template)
@@ -45,7 +48,10 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Lines of users 1, 11, 21, ... lose their colon, so the malformed branch is exercised too.
     """
-    e = table(spark, sf_dir, "events")
+    return as_lines(table(spark, sf_dir, "events"))
+
+
+def as_lines(e: DataFrame) -> DataFrame:
     ts = F.col("ts").cast("timestamp")
     component = F.concat(F.lit("app."), F.initcap("event_type"))
     sep = F.when(F.col("user_id") % 10 == 1, F.lit(" ")).otherwise(F.lit(": "))
