@@ -34,6 +34,11 @@ def _drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def _timed(e: DataFrame) -> DataFrame:
+    """Records with their event time as a timestamp, for the watermark."""
+    return tables.as_records(e).withColumn("ts", F.timestamp_micros((F.col("timestamp") * 1e6).cast("long")))
+
+
 def stream_parse(spark, sf):
     """Frozen match of streamed lines against templates mined from the table."""
     fitted = materialize(templates.mine_templates(parse.parse_lines(tables.event_lines(spark, sf), "hdfs")), "dictionary")
@@ -43,8 +48,7 @@ def stream_parse(spark, sf):
 
 def stream_sessions(spark, sf):
     e = _file_stream(spark, sf, "events")
-    r = tables.as_records(e).withColumn("ts", F.timestamp_micros((F.col("timestamp") * 1e6).cast("long")))
-    s = _drain(triage.stream_session_windows(r, "6 hours", "1 hour"))
+    s = _drain(triage.stream_session_windows(_timed(e), "6 hours", "1 hour"))
     return rounded(s.select("session_id", "record_count", "start_time", "end_time", "first_line", "last_line", "anomalous_record_count"), keep=("start_time", "end_time"))
 
 
@@ -53,7 +57,7 @@ def stream_gate(spark, sf):
     fit = scorers.fit_frequency(windows.sequence_counts(w.filter(F.col("split") == "train")))
     s = scorers.attach_scores(w.filter(F.col("split") == "calibration"), scorers.frequency_scores(windows.sequence_counts(w), fit))
     tau = cal.threshold_map(s, [ALPHA])[ALPHA]
-    live = triage.stream_scored_windows(tables.as_records(_file_stream(spark, sf, "events")), fit, base.WINDOW_SIZE, "events")
+    live = triage.stream_scored_windows(_timed(_file_stream(spark, sf, "events")), fit, base.WINDOW_SIZE, "events")
     done = _drain(cal.gate(live, tau))
     return rounded(done.select("window_id", "record_count", "anomalous_record_count", "score", "decision"))
 

@@ -62,28 +62,30 @@ def _collect_window(size: int, min_size: int, patience_ms: int):
                 if last is None or hi["line_number"] > last:
                     last, end = int(hi["line_number"]), float(hi["timestamp"])
         s = (n, start, end, first, last, bad, surprise)
+        seen_ms = max(state.getCurrentWatermarkMs(), int((end or 0.0) * 1000))
         if n >= size:
             if state.exists:
                 state.remove()
             yield row(key, s, True)
         else:
             state.update(s)
-            state.setTimeoutDuration(patience_ms)
+            state.setTimeoutTimestamp(seen_ms + patience_ms)
 
     return step
 
 
-def stream_scored_windows(records: DataFrame, frequency_fit: DataFrame, size: int, prefix: str, index: str = "line_number", min_size: int = 1, patience_ms: int = 600_000) -> DataFrame:
+def stream_scored_windows(records: DataFrame, frequency_fit: DataFrame, size: int, prefix: str, index: str = "line_number", min_size: int = 1, delay: str = "1 hour", patience_ms: int = 600_000, time: str = "ts") -> DataFrame:
     """Fixed windows with their frequency score.
 
     The window of a record follows from its line index, so the state is keyed by window and holds
-    at most ``size`` records' worth of sums; no source, however busy, gathers in one task.
+    at most ``size`` records' worth of sums; no source, however busy, gathers in one task. A window
+    that never fills is emitted once the watermark passes its last record by ``patience_ms``.
     """
     unknown = frequency_fit.filter(F.col("template_id") == UNKNOWN_TEMPLATE).first()["log_p"]
     scored = records.join(F.broadcast(frequency_fit), "template_id", "left").withColumn("surprise", -F.coalesce("log_p", F.lit(unknown)))
     keyed = scored.withColumn("window_id", fixed_window_key(F.col(index), size, prefix))
-    slim = keyed.select("dataset", "window_id", "line_number", "timestamp", "is_anomaly", "surprise")
-    return slim.groupBy("dataset", "window_id").applyInPandasWithState(_collect_window(size, min_size, patience_ms), _WINDOW_OUT, _WINDOW_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    slim = keyed.withWatermark(time, delay).select("dataset", "window_id", "line_number", "timestamp", "is_anomaly", "surprise", time)
+    return slim.groupBy("dataset", "window_id").applyInPandasWithState(_collect_window(size, min_size, patience_ms), _WINDOW_OUT, _WINDOW_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drift_per_batch(reference: DataFrame, out_path: str, score: str = "score") -> Callable[[DataFrame, int], None]:
