@@ -18,6 +18,7 @@ UNKNOWN_TEMPLATE = -1
 PAD_TOKEN = 0
 UNKNOWN_TOKEN = 1
 MAX_PCA_FEATURES = 4_000
+IN_ROW_VOCABULARY = 256
 
 
 def vocabulary(train_counts: DataFrame, first_index: int = 0) -> DataFrame:
@@ -75,9 +76,14 @@ def attach_scores(windows: DataFrame, scores: DataFrame, name: str = "score") ->
 def encode_sequences(sequences: DataFrame, vocab: DataFrame, max_len: int = 100) -> DataFrame:
     """Token arrays over ``template_ids``: known templates from 2, others 1, prefix of ``max_len``.
 
-    Works on (window, position) rows so the dictionary may be of any size.
+    A small vocabulary is looked up inside the row; a larger one is joined by template.
     """
-    rows = sequences.select("dataset", "window_id", F.posexplode(F.slice("template_ids", 1, max_len)).alias("pos", "template_id"))
+    prefix = F.slice("template_ids", 1, max_len)
+    known = vocab.limit(IN_ROW_VOCABULARY + 1).collect()
+    if 0 < len(known) <= IN_ROW_VOCABULARY:
+        token = F.create_map(*[F.lit(v) for r in known for v in (r["template_id"], r["idx"])])
+        return sequences.select("dataset", "window_id", F.transform(prefix, lambda t: F.coalesce(F.element_at(token, t), F.lit(UNKNOWN_TOKEN))).alias("tokens"))
+    rows = sequences.select("dataset", "window_id", F.posexplode(prefix).alias("pos", "template_id"))
     tok = rows.join(vocab, "template_id", "left").withColumn("token", F.coalesce("idx", F.lit(UNKNOWN_TOKEN)))
     out = tok.groupBy("dataset", "window_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_t"))
     return out.select("dataset", "window_id", F.col("_t.token").alias("tokens"))
@@ -111,19 +117,23 @@ def fit_next_template(encoded_train: DataFrame, vocab_size: int, alpha: float =
 
     ``vocab_size`` counts the known templates and UNKNOWN.
     """
-    uni = pin_small(encoded_train.select(F.explode("tokens").alias("next")).groupBy("next").agg(F.count(F.lit(1)).alias("c")))
+    t = F.col("tokens")
+    alone = F.transform(t, lambda x: F.struct(F.lit(None).cast("int").alias("prev"), x.alias("next")))
+    after = F.transform(F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda x, i: F.struct(F.get(t, i).alias("prev"), x.alias("next")))
+    # tokens and steps are counted in one pass; a token's own count has no predecessor
+    counts = pin_small(encoded_train.select(F.inline(F.concat(alone, after))).groupBy("prev", "next").agg(F.count(F.lit(1)).alias("c")))
+    uni, steps = counts.filter(F.col("prev").isNull()), counts.filter(F.col("prev").isNotNull())
     denominator = float(uni.agg(F.sum("c")).first()[0] or 0) + alpha * vocab_size
-    steps = _pairs(encoded_train).filter(F.col("prev").isNotNull())
     return {
         "probs": uni.select("next", ((F.col("c") + F.lit(alpha)) / F.lit(denominator)).alias("p")),
-        "steps": pin_small(steps.groupBy("prev", "next").agg(F.count(F.lit(1)).alias("c"))),
+        "steps": steps,
         "floor": alpha / denominator,
     }
 
 
 def next_template_scores(encoded: DataFrame, model: dict, beta: float = 1.0) -> DataFrame:
     """Mean negative log-likelihood of each next token, backing off to the token probability."""
-    context = pin_small(model["steps"].groupBy("prev").agg(F.sum("c").alias("ctx")))
+    context = model["steps"].groupBy("prev").agg(F.sum("c").alias("ctx"))
     rows = (
         _pairs(encoded)
         .join(model["probs"], "next", "left")

@@ -11,6 +11,8 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    # windows are many small groups; sorting instead of hashing them costs more than it saves
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "20000")
     return spark
 
 
