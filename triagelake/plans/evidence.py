@@ -224,12 +224,12 @@ found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDE
 def mmr_sql(lam: str = "0.7", k: int = 3, tag: str = "") -> str:
     """CTEs over ``found`` and ``pairs`` (query_id, a, b, sim); the picks end up in ``mmr``."""
     out = f""",
-m{tag}1 AS (SELECT query_id, chunk_id, rank AS rr, similarity AS rel, similarity AS score, 0.0::DOUBLE AS pen, 1 AS sr FROM (
+m{tag}1 AS (SELECT query_id, chunk_id, rank AS rr, similarity AS rel, similarity AS score, 0.0::DOUBLE AS pen, CAST(1 AS BIGINT) AS sr FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS o FROM found) WHERE o = 1)"""
     for i in range(2, k + 1):
         prev = " UNION ALL ".join(f"SELECT query_id, chunk_id FROM m{tag}{j}" for j in range(1, i))
         out += f""",
-m{tag}{i} AS (SELECT query_id, chunk_id, rank AS rr, rel, score, pen, {i} AS sr FROM (
+m{tag}{i} AS (SELECT query_id, chunk_id, rank AS rr, rel, score, pen, CAST({i} AS BIGINT) AS sr FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rel DESC, chunk_id) AS o FROM (
     SELECT f.query_id, f.chunk_id, f.rank, f.similarity AS rel, max(p.sim) AS pen,
       round({lam}::DOUBLE * f.similarity - (1.0::DOUBLE - {lam}::DOUBLE) * max(p.sim), 9) AS score
