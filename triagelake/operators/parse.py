@@ -52,23 +52,25 @@ def header_timestamp(date: Column, time: Column) -> Column:
 
 
 def parse_session_lines(lines: DataFrame, dataset: str = "hdfs") -> DataFrame:
-    """Header parse of session logs. A line that does not match stays, with NULL header fields."""
-    line = strip(F.col("raw_text"))
-    ok = F.rlike(line, F.lit(SESSION_LOG_HEADER))
-
-    def group(i: int) -> Column:
-        return F.when(ok, F.regexp_extract(line, SESSION_LOG_HEADER, i))
+    """Header parse of session logs. A line that does not match stays, with NULL header fields.
 
-    return lines.select(
+    One match decides; the fields are then cut by whitespace and at the first colon.
+    """
+    cut = lines.select("line_number", strip(F.col("raw_text")).alias("_line"))
+    cut = cut.withColumn("_ok", F.rlike("_line", F.lit(SESSION_LOG_HEADER))).withColumn("_f", F.when(F.col("_ok"), F.split("_line", r"\s+", 5)))
+    rest = F.get("_f", F.lit(4))
+    cut = cut.select("*", F.substring_index(rest, ":", 1).alias("_component"), strip(F.substring(rest, F.locate(":", rest) + 1, F.length(rest))).alias("content"))
+    date, time = F.get("_f", F.lit(0)), F.get("_f", F.lit(1))
+    return cut.select(
         F.lit(dataset).alias("dataset"),
         "line_number",
-        header_timestamp(group(1), group(2)).alias("timestamp"),
-        F.when(ok, F.concat_ws(" ", group(1), group(2))).alias("timestamp_str"),
-        F.when(ok, session_key(group(6), line)).otherwise(session_key(line)).alias("session_id"),
-        group(4).alias("log_level"),
-        strip(group(5)).alias("component"),
-        line.alias("raw_message"),
-        group(6).alias("content"),
+        header_timestamp(date, time).alias("timestamp"),
+        F.when(F.col("_ok"), F.concat_ws(" ", date, time)).alias("timestamp_str"),
+        F.when(F.col("_ok"), session_key(F.col("content"), F.col("_line"))).otherwise(session_key(F.col("_line"))).alias("session_id"),
+        F.get("_f", F.lit(3)).alias("log_level"),
+        strip(F.col("_component")).alias("component"),
+        F.col("_line").alias("raw_message"),
+        "content",
         F.lit(None).cast("boolean").alias("is_anomaly"),
     )
 
