@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from triagelake.operators import parse, splits, templates, windows
+from triagelake.functions.scale import materialize
 from triagelake.functions.text import ALERT_LOG_MASKS, mask
 from triagelake.plans import base
 from triagelake.plans.base import RECORDS, WINDOWS, rounded, sql
@@ -34,6 +35,11 @@ def _parsed(spark, sf):
     return parse.parse_lines(tables.event_lines(spark, sf), "hdfs")
 
 
+def _parsed_stage(spark, sf):
+    """Parsed lines as a written table, for queries that mine and then match them."""
+    return materialize(_parsed(spark, sf), "parsed")
+
+
 def parse_header_lines(spark, sf):
     p = _parsed(spark, sf)
     return p.select("line_number", F.col("timestamp").cast("long").alias("ts_s"), "timestamp_str", "session_id", "log_level", "component", "raw_message", "content")
@@ -45,7 +51,7 @@ def parse_alert_lines(spark, sf):
 
 
 def parse_stats(spark, sf):
-    p = _parsed(spark, sf)
+    p = _parsed_stage(spark, sf)
     return parse.parse_stats(templates.match_templates(p, templates.mine_templates(p)))
 
 
@@ -75,7 +81,7 @@ def mine_templates(spark, sf):
 
 
 def match_templates(spark, sf):
-    p = _parsed(spark, sf)
+    p = _parsed_stage(spark, sf)
     m = templates.match_templates(p, templates.mine_templates(p))
     return rounded(m.select("line_number", "template_id", "template"))
 
