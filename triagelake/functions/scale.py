@@ -16,14 +16,23 @@ from pyspark.sql import functions as F
 PIN_MAX_ROWS = 200_000
 SINGLE_WINDOW_ROWS = 50_000
 LINES_PER_BLOCK = 1_000_000
+#: session setting that names the folder where spark.checkpoint.dir is unset
+STAGE_DIR = "spark.triagelake.stage.dir"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for stage tables: the one the cluster names, else a fresh local one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """Shared folder for stage tables: ``spark.checkpoint.dir``, or the one set for this session.
+
+    Only a session whose executors share the driver's disk may fall back to a fresh local folder;
+    any other has to name one.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(STAGE_DIR, None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set spark.checkpoint.dir or {STAGE_DIR} to a folder that all executors of {master} share")
         path = tempfile.mkdtemp(prefix="triagelake-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        spark.conf.set(STAGE_DIR, path)
     return path.rstrip("/")
 
 
