@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm import line_dedup, pii, quality
+from triagelake.llm import line_dedup, pieces, pii, quality, token_counts, toxicity
 from triagelake.llm.common import documents
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.document_tokens(documents(spark, sf_dir))
+
+
 def op2_quality_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition_rules(documents(spark, sf_dir))
 
@@ -29,6 +33,19 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit_severity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = toxicity.score_severity(docs, model)
+    return out.withColumn("expected_severity", F.round("expected_severity", 6))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of the ids; the operator itself returns ids and decoded texts."""
+    out = pieces.encode_decode(documents(spark, sf_dir))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "round_trip", "parity")
+
+
 _OP5 = """
 WITH d AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
 k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM d),
@@ -38,5 +55,8 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id"""
 
-QUERIES = {f.__name__: f for f in (op2_quality_repetition, op4_pii_anchors, op5_line_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_token_counts, op2_quality_repetition, op4_pii_anchors, op5_line_dedup, op7_toxicity_severity, op10_sentencepiece)
+}
 ORACLES = {"op5_line_dedup": _OP5}
