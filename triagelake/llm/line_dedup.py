@@ -132,7 +132,8 @@ def repeated_lines(docs: DataFrame, min_code_points: int = MIN_CODE_POINTS, min_
                 yield pa.RecordBatch.from_arrays([pa.array([digests[j] for j in hit], pa.binary()), pa.array([ids[j] for j in hit], pa.int64())], ["key", "doc_id"])
 
     found, _ = write_stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(suspects, "key binary, doc_id long").distinct(), "line-suspects")
-    counted = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_documents).select("key", "keeper")
+    # written first, so that both sides of the join are shuffled for it and a hot key is split
+    counted, _ = write_stage(found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_documents).select("key", "keeper"), "repeated-lines")
     loses = found.join(counted, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return loses.groupBy("doc_id").agg(F.collect_list("key").alias("drop"))
 
