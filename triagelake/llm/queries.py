@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm import decontaminate, line_dedup, pieces, pii, quality, token_counts, toxicity
+from triagelake.llm import decontaminate, licenses, line_dedup, pieces, pii, quality, token_counts, toxicity
 from triagelake.llm.common import documents
 
 
@@ -33,6 +33,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_notices(documents(spark, sf_dir)).withColumn("coverage", F.round("coverage", 6))
+
+
 def op7_toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.fit_severity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -61,6 +65,6 @@ FROM m GROUP BY doc_id"""
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_quality_repetition, op4_pii_anchors, op5_line_dedup, op7_toxicity_severity, op8_spaced_seed_decontamination, op10_sentencepiece)
+    for f in (op1_token_counts, op2_quality_repetition, op4_pii_anchors, op5_line_dedup, op6_license_scan, op7_toxicity_severity, op8_spaced_seed_decontamination, op10_sentencepiece)
 }
 ORACLES = {"op5_line_dedup": _OP5}
