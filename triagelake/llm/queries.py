@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm import decontaminate, licenses, line_dedup, pieces, pii, quality, token_counts, toxicity
+from triagelake.llm import decontaminate, hmm, licenses, line_dedup, pieces, pii, quality, token_counts, toxicity
 from triagelake.llm.common import documents
 
 
@@ -48,6 +48,10 @@ def op8_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return decontaminate.overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op9_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_texts(documents(spark, sf_dir))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of the ids; the operator itself returns ids and decoded texts."""
     out = pieces.encode_decode(documents(spark, sf_dir))
@@ -65,6 +69,6 @@ FROM m GROUP BY doc_id"""
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_quality_repetition, op4_pii_anchors, op5_line_dedup, op6_license_scan, op7_toxicity_severity, op8_spaced_seed_decontamination, op10_sentencepiece)
+    for f in (op1_token_counts, op2_quality_repetition, op4_pii_anchors, op5_line_dedup, op6_license_scan, op7_toxicity_severity, op8_spaced_seed_decontamination, op9_hmm_scores, op10_sentencepiece)
 }
 ORACLES = {"op5_line_dedup": _OP5}
