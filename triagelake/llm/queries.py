@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm import decontaminate, hmm, licenses, line_dedup, pieces, pii, quality, token_counts, toxicity
+from triagelake.llm import decontaminate, hmm, licenses, line_dedup, near_dup, pieces, pii, quality, token_counts, toxicity
 from triagelake.llm.common import documents
 
 
@@ -17,6 +17,10 @@ def op2_quality_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition_rules(documents(spark, sf_dir))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id")
+
+
 def op4_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and digests of the spans; the operator itself returns spans and redacted texts."""
     found = pii.personal_data(documents(spark, sf_dir))
@@ -69,6 +73,6 @@ FROM m GROUP BY doc_id"""
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_quality_repetition, op4_pii_anchors, op5_line_dedup, op6_license_scan, op7_toxicity_severity, op8_spaced_seed_decontamination, op9_hmm_scores, op10_sentencepiece)
+    for f in (op1_token_counts, op2_quality_repetition, op3_near_duplicates, op4_pii_anchors, op5_line_dedup, op6_license_scan, op7_toxicity_severity, op8_spaced_seed_decontamination, op9_hmm_scores, op10_sentencepiece)
 }
 ORACLES = {"op5_line_dedup": _OP5}
