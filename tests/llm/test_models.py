@@ -159,10 +159,21 @@ def test_unigram_model_with_byte_fallback():
     cases = ["".join(rng.choice("abc é ") for _ in range(rng.randint(0, 30))) for _ in range(500)]
     ids = codec.encode(cases)
     assert ids == codec.other.encode(cases)
-    assert all(codec.parity(t, i) for t, i in zip(cases, ids, strict=True))
+    packed, parity = codec.encode_checked(cases)
+    assert all(parity) and [np.frombuffer(p, codec.dtype).tolist() for p in packed] == ids
     assert all(d == codec.normalized(t) for d, t in zip(codec.decode(ids), cases, strict=True))
 
 
+@needs_model
+def test_a_difference_is_reported(monkeypatch):
+    data = open(pieces.MODEL_PATH, "rb").read()
+    codec = pieces.Codec(data)
+    right = codec.tokenizer
+    codec.tokenizer = pieces.build(pieces.parse_model(data))
+    codec.encode = lambda batch: [[9] if t == "bad" else e.ids for t, e in zip(batch, right.encode_batch(batch), strict=True)]
+    assert codec.encode_checked(["a bad day", "good", "bad ", ""])[1] == [False, True, False, True]
+
+
 def test_broken_models_are_refused():
     data = unigram_model()
     with pytest.raises(ValueError):
