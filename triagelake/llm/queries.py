@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from triagelake.llm import decontaminate, hmm, licenses, line_dedup, near_dup, pieces, pii, quality, token_counts, toxicity
 from triagelake.llm.common import documents
 
@@ -75,4 +76,5 @@ QUERIES = {
     f.__name__: f
     for f in (op1_token_counts, op2_quality_repetition, op3_near_duplicates, op4_pii_anchors, op5_line_dedup, op6_license_scan, op7_toxicity_severity, op8_spaced_seed_decontamination, op9_hmm_scores, op10_sentencepiece)
 }
-ORACLES = {"op5_line_dedup": _OP5}
+QUERIES["pipeline"] = corpus_pipeline.run
+ORACLES = {"op5_line_dedup": _OP5} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
