@@ -11,11 +11,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triagelake.functions.scale import ratio, running_totals
+from triagelake.functions.scale import materialize, order_positions, ratio, running_totals
 
 ALPHA_GRID = (0.01, 0.05, 0.10, 0.20)
 QUANTILES = {"p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90, "p95": 0.95, "p99": 0.99}
-MAX_CANDIDATES = 200
 
 
 def per_score(scores: DataFrame, by: Sequence[str] = (), score: str = "score", y: str | None = None) -> DataFrame:
@@ -175,50 +174,22 @@ def score_distribution(scored: DataFrame, score: str = "score", y: str = "y") ->
     return score_stats(parts, ["part"], score)
 
 
-def _even_percentiles(scored: DataFrame, score: str, points: int) -> list[float]:
-    """``points`` interpolated percentiles from 0 to 100 as plain numbers."""
-    at = [(F.col("_n") - 1) * F.lit(i / (points - 1)) for i in range(points)]
-    ranks = {f"{end}{i}": fn(a) for i, a in enumerate(at) for end, fn in (("lo", F.floor), ("hi", F.ceil))}
-    row = order_values(scored, ranks, score=score).first()
-    out = []
-    for i in range(points):
-        share = ((row["n"] - 1) * (i / (points - 1))) % 1.0
-        out.append(row[f"lo{i}"] + (row[f"hi{i}"] - row[f"lo{i}"]) * share)
-    return out
-
-
 def oracle_threshold(scored: DataFrame, score: str = "score", y: str = "y", strict: bool = True) -> DataFrame:
-    """Threshold with the best F1 (diagnosis only): all distinct scores, or 200 percentiles.
+    """Threshold with the best F1 (diagnosis only) over all distinct scores; the lowest of equals.
 
-    Candidates are at most 200 numbers. Rows are counted per gap between candidates, and suffix
-    sums over the gaps give the confusion counts of every candidate.
+    Running sums from the highest score down give the counts of every threshold in one pass.
     """
     table = per_score(scored, score=score, y=y)
-    few = [r["s"] for r in table.select("s").orderBy("s").limit(MAX_CANDIDATES + 1).collect()]
-    if not few:
-        raise ValueError("no scores")
-    if len(few) > MAX_CANDIDATES:
-        few = _even_percentiles(scored, score, MAX_CANDIDATES)
-    cands = F.array(*[F.lit(float(v)) for v in few])
-    above = F.size(F.filter(cands, lambda c: c < F.col("s") if strict else c <= F.col("s")))
-    gaps = table.groupBy(above.alias("g")).agg(F.sum("pos").alias("pos"), F.sum(F.col("c") - F.col("pos")).alias("neg"))
-    pos, neg = F.collect_list(F.struct("g", "pos")), F.collect_list(F.struct("g", "neg"))
-    # gaps has at most 201 rows
-    wide = gaps.agg(pos.alias("ps"), neg.alias("ns"), F.sum("pos").alias("positives"))
-
-    def over(arr: str, field: str, i: Column) -> Column:
-        return F.aggregate(F.filter(arr, lambda s: s["g"] > i), F.lit(0).cast("long"), lambda a, s: a + s[field])
-
-    points = F.transform(
-        cands, lambda c, i: F.struct(i.alias("i"), c.alias("threshold"), over("ps", "pos", i).alias("tp"), over("ns", "neg", i).alias("fp"))
-    )
-    rows = wide.select("positives", F.inline(points))
-    p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp"), 0.0), ratio(F.col("tp"), F.col("positives"), 0.0)
-    f1 = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
-    rows = rows.select("positives", "i", "threshold", p.alias("precision"), r.alias("recall"), f1.alias("f1"))
-    best = rows.groupBy().agg(F.max_by(F.struct("threshold", "f1", "precision", "recall"), F.struct("f1", -F.col("i"))).alias("b"), F.max("threshold").alias("top"), F.first("positives").alias("pos"))
+    cum = running_totals(table, "s", {"up_c": "c", "up_pos": "pos"}, descending=True)
+    tp = F.col("up_pos") - F.col("pos") if strict else F.col("up_pos")
+    flagged = F.col("up_c") - F.col("c") if strict else F.col("up_c")
+    positives = table.agg(F.coalesce(F.sum("pos"), F.lit(0))).scalar()
+    p, r = ratio(tp, flagged, 0.0), ratio(tp, positives, 0.0)
+    f1 = ratio(2 * tp, flagged + positives, 0.0)
+    rows = cum.select(F.col("s").cast("double").alias("threshold"), f1.alias("f1"), p.alias("precision"), r.alias("recall"), positives.alias("positives"))
+    best = rows.agg(F.max_by(F.struct("threshold", "f1", "precision", "recall"), F.struct("f1", -F.col("threshold"))).alias("b"), F.max("threshold").alias("top"), F.max("positives").alias("pos"))
     none = F.col("pos") == 0
-    return best.select(
+    return best.filter(F.col("top").isNotNull()).select(
         F.when(none, F.col("top")).otherwise(F.col("b.threshold")).alias("threshold"),
         *[F.when(none, F.lit(0.0)).otherwise(F.col(f"b.{c}")).alias(c) for c in ("f1", "precision", "recall")],
     )
@@ -247,15 +218,15 @@ def error_analysis(scored: DataFrame, threshold: float, k: int = 5, score: str =
 def calibration_size_sensitivity(calib: DataFrame, fractions: Sequence[float] = (0.25, 0.5, 1.0), alpha: float = 0.05, min_rows: int = 5) -> DataFrame:
     """Threshold and metrics on chronological prefixes of the calibration split.
 
-    The prefix of n rows ends at the start time of the n-th window, found as an order statistic.
+    A prefix holds the first n windows by start time and then line, so ties of time don't swell it.
     """
     n = calib.count()
-    sizes = {f: max(min_rows, int(n * f)) for f in fractions}
-    ends = order_values(calib, {f"f{i}": F.lit(min(s, n) - 1) for i, s in enumerate(sizes.values())}, score="start_time").first()
+    sizes = {f: min(n, max(min_rows, int(n * f))) for f in fractions}
+    placed = materialize(order_positions(calib.withColumn("_t", F.coalesce("start_time", F.lit(float("inf")))), "_t", "first_line", out="_pos"), "calibration-order")
     out = None
-    for i, (f, s) in enumerate(sizes.items()):
-        sub = calib.filter(F.col("start_time") <= ends[f"f{i}"])
+    for f, s in sizes.items():
+        sub = placed.filter(F.col("_pos") < s)
         t = threshold_map(sub, [alpha])[alpha]
-        row = alpha_sweep(sub, {alpha: t}).select(F.lit(f).alias("fraction"), F.lit(min(s, n)).alias("sample_size"), "threshold", "escalation_rate", "coverage", "selective_risk", "empirical_false_clear_rate", "deviation_from_nominal")
+        row = alpha_sweep(sub, {alpha: t}).select(F.lit(f).alias("fraction"), F.lit(s).alias("sample_size"), "threshold", "escalation_rate", "coverage", "selective_risk", "empirical_false_clear_rate", "deviation_from_nominal")
         out = row if out is None else out.unionByName(row)
     return out

@@ -89,7 +89,7 @@ def parse_claims(explanations: DataFrame) -> DataFrame:
         kind = F.when(kind.isin(*CLAIM_TYPES), kind).otherwise("INTERPRETATION")
         text = strip(F.coalesce(c["text"], F.lit("")))
         notes = F.array_compact(F.array(*[F.when(F.rlike(text, F.lit("(?i)" + p)), F.lit(f"causal: {p}")) for p in CAUSAL_PATTERNS]))
-        cid = F.concat(F.lit("CLM-"), F.substring("window_id", 1, 16), F.lit("-"), F.lpad((i + 1).cast("string"), 3, "0"))
+        cid = F.concat(F.lit("CLM-"), F.col("window_id"), F.lit("-"), F.lpad((i + 1).cast("string"), 3, "0"))
         return F.struct(cid.alias("claim_id"), text.alias("text"), kind.alias("claim_type"), ids(c).alias("citation_ids"), kind.isin(*FACTUAL_TYPES).alias("is_factual"), notes.alias("notes"))
 
     claims = F.filter(F.transform(F.col("parsed.claims"), claim), lambda c: c["text"] != "")
@@ -205,8 +205,8 @@ def validate(checked: DataFrame) -> DataFrame:
     return out.withColumn("faithfulness_status", F.when(readable, F.col("faithfulness_status")).otherwise("INVALID"))
 
 
-def build_context(assessed: DataFrame, max_lines: int = 5, max_chars: int = 400) -> DataFrame:
-    """Bounded context per window: summary fields and excerpts of at most 5 lines / 400 characters."""
+def build_context(assessed: DataFrame, max_lines: int, max_chars: int) -> DataFrame:
+    """Bounded context per window: summary fields and excerpts of so many lines and characters."""
 
     def item(c: Column) -> Column:
         text = c["citation_text"]
@@ -260,7 +260,7 @@ def assemble(validated: DataFrame, model: str = "none", version: str = "1") -> D
     out = validated.withColumn("abstention_reason", abstain).withColumn("explanation_status", status).withColumn("abstained", F.col("abstention_reason").isNotNull())
     out = out.withColumn("explanation", F.when(F.col("abstained"), fallback).otherwise(story))
     ident = F.concat(F.lit("EXP-"), F.substring(sha(F.col("window_id"), F.col("dataset"), F.col("split"), F.lit(model), F.lit(version)), 1, 16))
-    out = out.withColumn("explanation_id", F.when(F.col("abstained"), F.concat(F.lit("EXP-"), F.substring("window_id", 1, 20), F.lit("-ABSTAINED"))).otherwise(ident))
+    out = out.withColumn("explanation_id", F.when(F.col("abstained"), F.concat(F.lit("EXP-"), F.col("window_id"), F.lit("-ABSTAINED"))).otherwise(ident))
     content = F.struct("explanation_id", "window_id", "final_decision", "severity", "explanation", "explanation_status")
     return out.withColumn("content_hash", F.sha2(F.to_json(content), 256))
 

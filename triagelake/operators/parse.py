@@ -51,6 +51,11 @@ def header_timestamp(date: Column, time: Column) -> Column:
     return F.unix_timestamp(F.try_to_timestamp(F.concat_ws(" ", date, time), F.lit("yyMMdd HHmmss"))).cast("double")
 
 
+def _place(lines: DataFrame) -> list[str]:
+    """Where a line comes from: its number and, if known, its file and place among non-blank lines."""
+    return ["line_number", *[c for c in ("file", "record_index") if c in lines.columns]]
+
+
 def parse_session_lines(lines: DataFrame, dataset: str = "hdfs") -> DataFrame:
     """Header parse of session logs. A line that does not match stays, with NULL header fields."""
     line = strip(F.col("raw_text"))
@@ -61,7 +66,7 @@ def parse_session_lines(lines: DataFrame, dataset: str = "hdfs") -> DataFrame:
 
     return lines.select(
         F.lit(dataset).alias("dataset"),
-        "line_number",
+        *_place(lines),
         header_timestamp(group(1), group(2)).alias("timestamp"),
         F.when(ok, F.concat_ws(" ", group(1), group(2))).alias("timestamp_str"),
         F.when(ok, session_key(group(6), line)).otherwise(session_key(line)).alias("session_id"),
@@ -84,7 +89,7 @@ def parse_alert_lines(lines: DataFrame, dataset: str = "bgl") -> DataFrame:
 
     return lines.select(
         F.lit(dataset).alias("dataset"),
-        "line_number",
+        *_place(lines),
         field(1).try_cast("double").alias("timestamp"),
         field(4).alias("timestamp_str"),
         field(3).alias("session_id"),
@@ -161,11 +166,12 @@ def redact_nested(df: DataFrame, sensitive: Sequence[str] = SENSITIVE_FIELDS) ->
             return F.when(value.isNotNull(), inner)
         if isinstance(dtype, T.ArrayType):
             return F.transform(value, lambda x: clean(x, dtype.elementType, ""))
-        if isinstance(dtype, T.MapType) and isinstance(dtype.valueType, T.StringType):
+        if isinstance(dtype, T.MapType):
             hidden = F.array(*[F.lit(k) for k in sorted(keys)])
-            return F.transform_values(
-                value, lambda k, v: F.when(F.array_contains(hidden, F.lower(k)), F.lit("[REDACTED]")).otherwise(redact(v))
-            )
+            # a value that isn't text can't hold the mark, so it becomes NULL
+            blank = F.lit("[REDACTED]") if isinstance(dtype.valueType, T.StringType) else F.lit(None)
+            named = isinstance(dtype.keyType, T.StringType)
+            return F.transform_values(value, lambda k, v: F.when(F.array_contains(hidden, F.lower(k)), blank).otherwise(clean(v, dtype.valueType, "")) if named else clean(v, dtype.valueType, ""))
         return value
 
     return df.select(*[clean(F.col(f.name), f.dataType, f.name).alias(f.name) for f in df.schema.fields])

@@ -119,7 +119,9 @@ def _block_kernel(keep: int, similarity: Callable[[pd.Series, pd.Series], np.nda
                 part = q.iloc[lo : lo + 256]
                 sims = np.clip(np.round(similarity(part["vec"], c["vec"]), PLACES), -1.0, 1.0)
                 if keyed:
-                    sims = np.where(part["qkey"].to_numpy()[:, None] == ckeys[None, :], 1.0, np.minimum(sims, BELOW_ONE))
+                    # an empty vector is like nothing, not even another empty one
+                    held = part["vec"].map(len).to_numpy()[:, None] > 0
+                    sims = np.where(held & (part["qkey"].to_numpy()[:, None] == ckeys[None, :]), 1.0, np.minimum(sims, BELOW_ONE))
                 # columns are in chunk order, so a stable sort breaks ties by chunk id
                 best = np.argsort(-sims, axis=1, kind="stable")[:, :keep]
                 for i, cols in enumerate(best):

@@ -18,7 +18,6 @@ UNKNOWN_TEMPLATE = -1
 PAD_TOKEN = 0
 UNKNOWN_TOKEN = 1
 MAX_PCA_FEATURES = 4_000
-IN_ROW_VOCABULARY = 256
 
 
 def vocabulary(train_counts: DataFrame, first_index: int = 0) -> DataFrame:
@@ -73,19 +72,16 @@ def attach_scores(windows: DataFrame, scores: DataFrame, name: str = "score") ->
     return windows.join(s, ["dataset", "window_id"], "left").withColumn(name, F.coalesce("_s", F.lit(0.0))).drop("_s")
 
 
-def encode_sequences(sequences: DataFrame, vocab: DataFrame, max_len: int = 100) -> DataFrame:
-    """Token arrays over ``template_ids``: known templates from 2, others 1, prefix of ``max_len``.
+def encode_sequences(sequences: DataFrame, vocab: DataFrame, max_len: int | None = None) -> DataFrame:
+    """Token arrays over ``template_ids``: known templates from 2, others and nulls 1.
 
-    A small vocabulary is looked up inside the row; a larger one is joined by template.
+    ``max_len`` cuts a sequence to its first items; without it the whole window counts. A window
+    without templates has no tokens. The vocabulary is joined, so its size decides nothing.
     """
-    prefix = F.slice("template_ids", 1, max_len)
-    known = vocab.limit(IN_ROW_VOCABULARY + 1).collect()
-    if 0 < len(known) <= IN_ROW_VOCABULARY:
-        token = F.create_map(*[F.lit(v) for r in known for v in (r["template_id"], r["idx"])])
-        return sequences.select("dataset", "window_id", F.transform(prefix, lambda t: F.coalesce(F.element_at(token, t), F.lit(UNKNOWN_TOKEN))).alias("tokens"))
-    rows = sequences.select("dataset", "window_id", F.posexplode(prefix).alias("pos", "template_id"))
-    tok = rows.join(vocab, "template_id", "left").withColumn("token", F.coalesce("idx", F.lit(UNKNOWN_TOKEN)))
-    out = tok.groupBy("dataset", "window_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_t"))
+    items = F.col("template_ids") if max_len is None else F.slice("template_ids", 1, max_len)
+    rows = sequences.select("dataset", "window_id", F.posexplode_outer(items).alias("pos", "template_id"))
+    token = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("idx", F.lit(UNKNOWN_TOKEN)).alias("token")))
+    out = rows.join(vocab, "template_id", "left").groupBy("dataset", "window_id").agg(F.array_sort(F.collect_list(token)).alias("_t"))
     return out.select("dataset", "window_id", F.col("_t.token").alias("tokens"))
 
 

@@ -37,6 +37,10 @@ def _check_ratios(ratios: Sequence[float]) -> None:
         raise ValueError(f"split ratios must sum to 1, got {tuple(ratios)}")
 
 
+def _start() -> Column:
+    return F.coalesce(F.col("start_time"), F.lit(INF))
+
+
 def chronological_cuts(windows: DataFrame, ratios: Sequence[float] = (0.6, 0.2, 0.2)) -> tuple[float, float]:
     """Start times at which calibration and test begin.
 
@@ -69,9 +73,11 @@ def assign_split(windows: DataFrame, cuts: tuple[float, float]) -> DataFrame:
 
 
 def chronological_split(windows: DataFrame, ratios: Sequence[float] = (0.6, 0.2, 0.2), snap: bool = True) -> DataFrame:
-    """Add ``split``. Without ``snap`` the cut is by exact rank, even inside equal times."""
+    """Add ``split``. Without ``snap``, or if all times are equal, the cut is by exact rank."""
     if snap:
-        return assign_split(windows, chronological_cuts(windows, ratios))
+        ends = windows.agg(F.min(_start()).alias("lo"), F.max(_start()).alias("hi")).first()
+        if ends["lo"] is None or ends["lo"] < ends["hi"]:
+            return assign_split(windows, chronological_cuts(windows, ratios))
     _check_ratios(ratios)
     keyed = windows.withColumn("_t", F.coalesce("start_time", F.lit(INF)))
     ranked = order_positions(keyed, "_t", "first_line", out="_pos")

@@ -57,56 +57,61 @@ def mine_templates(
     content: str = "content",
     masks: Sequence[str] = SESSION_LOG_MASKS,
     sim_th: float = 0.5,
-    max_children: int = 100,
+    max_children: int | None = None,
 ) -> DataFrame:
     """Templates (template_id, template, size) of the TRAIN contents.
 
-    Shapes are bucketed by (token count, first token). Positions with more than ``max_children``
-    different tokens in a bucket become wildcards, and the limit halves until every bucket is
-    small enough to merge in one task; at limit 0 a bucket has a single shape.
+    Shapes are bucketed by (token count, first token); each bucket is merged on its own, so the lines
+    of one bucket never change the templates of another. A bucket of more than MAX_SHAPES_PER_BUCKET
+    shapes is split by its next tokens until its parts fit a task; the parts are merged, and then
+    their results with one another if those are few enough. With ``max_children`` (a setting of the
+    usual miners), positions of a bucket with more different tokens than that become wildcards first,
+    and so does the first token of all but the most frequent such buckets of a length.
     """
     tok = shape_tokens(F.col(content), masks)
     shapes = lines.filter(F.col(content).isNotNull()).groupBy(tok.alias("tokens")).agg(F.count(F.lit(1)).alias("size"))
     shapes = shapes.filter(F.size("tokens") > 0).withColumn("len", F.size("tokens")).withColumn("first", F.get("tokens", F.lit(0)))
     shapes = materialize(shapes, "shapes")
+    if max_children is not None:
+        shapes = materialize(_limit_children(shapes, max_children), "shapes")
+    parts = shapes.withColumn("part", F.lit(""))
+    depth = 1
+    while True:
+        sizes = parts.groupBy("len", "first", "part").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > MAX_SHAPES_PER_BUCKET) & (F.col("len") > depth))
+        sizes = materialize(sizes.drop("n"), "large-buckets")
+        if not sizes.count():
+            break
+        deeper = F.concat_ws(" ", F.nullif("part", F.lit("")), F.get("tokens", F.lit(depth)))
+        large = sizes.withColumn("large", F.lit(True))
+        parts = materialize(parts.join(large, ["len", "first", "part"], "left").withColumn("part", F.when(F.col("large"), deeper).otherwise(F.col("part"))).drop("large"), "shape-parts")
+        depth += 1
+    merged = parts.groupBy("len", "first", "part").applyInPandas(_merge_bucket(sim_th), "template string, size long")
+    if depth > 1:  # the parts of a bucket meet once more
+        again = merged.withColumn("tokens", F.split("template", " ")).withColumn("len", F.size("tokens")).withColumn("first", F.get("tokens", F.lit(0)))
+        again = materialize(again.drop("template"), "part-templates")
+        n = again.groupBy("len", "first").agg(F.count(F.lit(1)).alias("n"))
+        few = again.join(n.filter(F.col("n") <= MAX_SHAPES_PER_BUCKET).drop("n"), ["len", "first"])
+        many = again.join(n.filter(F.col("n") > MAX_SHAPES_PER_BUCKET).drop("n"), ["len", "first"])
+        merged = few.groupBy("len", "first").applyInPandas(_merge_bucket(sim_th), "template string, size long").unionByName(many.select(F.array_join("tokens", " ").alias("template"), "size"))
+    distinct = materialize(merged.groupBy("template").agg(F.sum("size").alias("size"), F.lit(1).alias("one")), "templates")
+    return with_stable_ids(distinct)
 
+
+def _limit_children(shapes: DataFrame, most: int) -> DataFrame:
+    """Wildcards for the first tokens of a length beyond the ``most`` most frequent, and wide positions."""
     firsts = shapes.groupBy("len", "first").agg(F.sum("size").alias("s"))
     rank = F.row_number().over(Window.partitionBy("len").orderBy(F.desc("s"), "first"))
-    kept = pin_small(firsts.withColumn("r", rank).filter(F.col("r") <= max_children).select("len", "first", F.lit(True).alias("keep")))
+    kept = firsts.withColumn("r", rank).filter(F.col("r") <= most).select("len", "first", F.lit(True).alias("keep"))
+    rest = F.concat(F.array(F.lit(WILDCARD)), F.slice("tokens", 2, F.greatest(F.size("tokens") - 1, F.lit(0))))
     shapes = shapes.join(kept, ["len", "first"], "left").select(
-        "len",
-        F.when(F.col("keep"), F.col("first")).otherwise(F.lit(WILDCARD)).alias("first"),
-        F.when(F.col("keep"), F.col("tokens"))
-        .otherwise(F.concat(F.array(F.lit(WILDCARD)), F.slice("tokens", 2, F.greatest(F.size("tokens") - 1, F.lit(0)))))
-        .alias("tokens"),
-        "size",
+        "len", F.when(F.col("keep"), F.col("first")).otherwise(F.lit(WILDCARD)).alias("first"), F.when(F.col("keep"), F.col("tokens")).otherwise(rest).alias("tokens"), "size"
     )
-
-    limit = max_children
-    while True:
-        spread = shapes.select("len", "first", F.posexplode("tokens").alias("p", "t")).distinct()
-        wide = spread.groupBy("len", "first", "p").agg(F.count(F.lit(1)).alias("d")).filter(F.col("d") > max(limit, 1) if limit else F.lit(True))
-        wide = wide.groupBy("len", "first").agg(F.collect_set("p").alias("wide"))
-        shapes = (
-            shapes.join(wide, ["len", "first"], "left")
-            .withColumn(
-                "tokens",
-                F.when(F.col("wide").isNull(), F.col("tokens")).otherwise(
-                    F.transform("tokens", lambda t, i: F.when(F.array_contains("wide", i), F.lit(WILDCARD)).otherwise(t))
-                ),
-            )
-            .groupBy("len", "first", "tokens")
-            .agg(F.sum("size").alias("size"))
-        )
-        shapes = materialize(shapes, "shapes")
-        worst = shapes.groupBy("len", "first").count().agg(F.max("count")).first()[0]
-        if limit == 0 or (worst or 0) <= MAX_SHAPES_PER_BUCKET:
-            break
-        limit //= 2
-
-    merged = shapes.groupBy("len", "first").applyInPandas(_merge_bucket(sim_th), "template string, size long")
-    distinct = materialize(merged.groupBy("template").agg(F.sum("size").alias("size"), F.lit(1).alias("one")), "templates")
-    return with_stable_ids(distinct)
+    spread = shapes.select("len", "first", F.posexplode("tokens").alias("p", "t")).distinct()
+    wide = spread.groupBy("len", "first", "p").agg(F.count(F.lit(1)).alias("d")).filter(F.col("d") > most)
+    wide = wide.groupBy("len", "first").agg(F.collect_set("p").alias("wide"))
+    masked = F.transform("tokens", lambda t, i: F.when(F.array_contains("wide", i), F.lit(WILDCARD)).otherwise(t))
+    out = shapes.join(wide, ["len", "first"], "left").withColumn("tokens", F.when(F.col("wide").isNull(), F.col("tokens")).otherwise(masked))
+    return out.groupBy("len", "first", "tokens").agg(F.sum("size").alias("size"))
 
 
 def with_stable_ids(templates: DataFrame) -> DataFrame:
@@ -120,8 +125,23 @@ def match_templates(
 ) -> DataFrame:
     """Frozen match: a template fits if every token is equal or a wildcard in the template.
 
-    Each line looks up one row per bucket that holds the bucket's templates, so the join never
-    multiplies lines. The most specific template wins; a line without one gets id -1.
+    Only the distinct shapes of the lines are matched; lines then join their shape. A stream, whose
+    shapes can't be gathered, is matched line by line. The most specific template wins; a line without
+    one gets id -1.
+    """
+    if lines.isStreaming:
+        return _match_rows(lines, templates, content, masks)
+    shape = shape_tokens(F.col(content), masks)
+    shapes = lines.select(F.array_join(shape, " ").alias("_shape")).filter(F.col("_shape").isNotNull()).distinct()
+    matched = materialize(_match_rows(shapes, templates, "_shape", (), split=True), "matched-shapes")
+    keyed = lines.withColumn("_shape", F.array_join(shape, " ")).join(matched, "_shape", "left").drop("_shape")
+    return keyed.withColumn("template_id", F.coalesce("template_id", F.lit(-1))).withColumn("template", F.coalesce("template", F.lit(UNKNOWN_TEXT)))
+
+
+def _match_rows(lines: DataFrame, templates: DataFrame, content: str, masks: Sequence[str], split: bool = False) -> DataFrame:
+    """Match row by row. Each row looks up one row per bucket that holds the bucket's templates.
+
+    ``split``: the content is a shape already, its tokens joined by spaces.
     """
     toks = F.split("template", " ")
     entry = F.struct(
@@ -137,7 +157,8 @@ def match_templates(
         pairs = F.zip_with(c["toks"], F.col("_tok"), lambda a, b: (a == b) | (a == WILDCARD))
         return F.forall(pairs, lambda ok: ok)
 
-    keyed = lines.withColumn("_tok", shape_tokens(F.col(content), masks)).withColumn("_len", F.size("_tok")).withColumn("_first", F.get("_tok", F.lit(0)))
+    tok = F.split(content, " ") if split else shape_tokens(F.col(content), masks)
+    keyed = lines.withColumn("_tok", tok).withColumn("_len", F.size("_tok")).withColumn("_first", F.get("_tok", F.lit(0)))
     found = keyed.join(buckets, ["_len", "_first"], "left").join(wild, "_len", "left")
     none = F.array().cast(buckets.schema["_cands"].dataType)
     either = F.array_sort(F.concat(F.coalesce("_cands", none), F.when(F.col("_first") != WILDCARD, F.coalesce("_wild", none)).otherwise(none)))

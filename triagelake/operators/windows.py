@@ -20,6 +20,11 @@ def fixed_window_key(index: Column, size: int, prefix: str) -> Column:
     return F.format_string(f"{prefix}_window_%07d", F.floor((index - 1) / size))
 
 
+def _in_file(records: DataFrame, key: Column) -> Column:
+    """A window id that names its file, where there may be several."""
+    return F.concat_ws("@", key, F.col("file")) if "file" in records.columns else key
+
+
 def _window_aggregates(has_time: Column) -> list[Column]:
     """``_order`` is the order inside the window; times ignore records without one."""
     pos = F.when(has_time, F.col("_order"))
@@ -37,11 +42,14 @@ def _window_aggregates(has_time: Column) -> list[Column]:
 def fixed_windows(records: DataFrame, size: int = 100, min_size: int = 1, index: str = "line_number", prefix: str = "fixed", messages: bool = False) -> DataFrame:
     """Windows of ``size`` consecutive records; a last partial one stays if it has ``min_size``.
 
+    ``index`` counts the non-blank records of a file from 1 (``record_index`` of the line reader). With a
+    ``file`` column no window spans two files, and its id names the file.
+
     ``template_ids`` and, on request, ``raw_messages`` are arrays of at most ``size`` items.
 
     Consecutive lines sit in the same input split, so the map-side combine does nearly all work.
     """
-    keyed = records.withColumn("window_id", fixed_window_key(F.col(index), size, prefix)).withColumn("_order", F.col(index))
+    keyed = records.withColumn("window_id", _in_file(records, fixed_window_key(F.col(index), size, prefix))).withColumn("_order", F.col(index))
     kept = ["template_id", "raw_message"] if messages else ["template_id"]
     items = F.array_sort(F.collect_list(F.struct("_order", *kept))).alias("_items")  # at most ``size`` items
     out = keyed.groupBy("dataset", "window_id").agg(*_window_aggregates(F.col("timestamp").isNotNull()), items)
@@ -101,7 +109,7 @@ def template_counts(records: DataFrame) -> DataFrame:
 
 def with_fixed_window(records: DataFrame, size: int, prefix: str, index: str = "line_number") -> DataFrame:
     """Records with their fixed ``window_id`` and 0-based ``pos`` inside it; needs no shuffle."""
-    return records.withColumn("window_id", fixed_window_key(F.col(index), size, prefix)).withColumn("pos", (F.col(index) - 1) % size)
+    return records.withColumn("window_id", _in_file(records, fixed_window_key(F.col(index), size, prefix))).withColumn("pos", (F.col(index) - 1) % size)
 
 
 def with_session_window(records: DataFrame, prefix: str) -> DataFrame:

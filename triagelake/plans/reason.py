@@ -128,7 +128,7 @@ def claim_metrics(spark, sf):
 
 def prompt_rows(spark, sf):
     a = assessed(spark, sf)
-    return cl.prompt_text(cl.build_context(a.filter("is_escalated"))).select("window_id", "prompt")
+    return cl.prompt_text(cl.build_context(a.filter("is_escalated"), max_lines=5, max_chars=400)).select("window_id", "prompt")
 
 
 QUERIES = {
@@ -238,7 +238,7 @@ UNION ALL SELECT 'provenance', 'VERIFIED', count(*) FROM ass UNION ALL SELECT 'r
 UNION ALL SELECT 'conflict', c, count(*) FROM (SELECT 'CONF-001' AS c FROM ass WHERE c1 UNION ALL SELECT 'CONF-002' FROM ass WHERE c2 UNION ALL SELECT 'CONF-003' FROM ass WHERE c3) GROUP BY 2"""),
     "ablation_modes": sql(_MODES, "SELECT mode, dec AS final_decision, count(*) AS n FROM ass GROUP BY ALL"),
     "claims_parse": sql(CLAIMS, r"""
-SELECT window_id, 'CLM-' || left(window_id, 16) || '-001' AS claim_id, sha256(text) AS text_hash, claim_type, factual AS is_factual, CAST(CASE WHEN cite = 'none' THEN 0 ELSE 1 END AS BIGINT) AS ids,
+SELECT window_id, 'CLM-' || window_id || '-001' AS claim_id, sha256(text) AS text_hash, claim_type, factual AS is_factual, CAST(CASE WHEN cite = 'none' THEN 0 ELSE 1 END AS BIGINT) AS ids,
   CAST(regexp_matches(text, '(?i)\bcaused by\b') AS BIGINT) + CAST(regexp_matches(text, '(?i)\bcrashed because\b') AS BIGINT) + CAST(regexp_matches(text, '(?i)\bunderlying root cause is\b') AS BIGINT)
   + CAST(regexp_matches(text, '(?i)\bdefinitively caused\b') AS BIGINT) + CAST(regexp_matches(text, '(?i)\bfailure is due to\b') AS BIGINT) AS notes FROM src WHERE readable AND text <> ''"""),
     "citation_check": sql(CLAIMS, """
@@ -251,7 +251,7 @@ SELECT window_id, status AS faithfulness_status, cov AS citation_coverage, round
     "validation": sql(CLAIMS, "SELECT window_id, len(reasons) = 0 AS is_valid, array_to_string(reasons, ',') AS reasons FROM val"),
     "explanations": sql(CLAIMS, """
 SELECT window_id, CASE WHEN len(reasons) = 0 THEN 'GENERATED' ELSE 'VALIDATION_FAILED' END AS explanation_status, len(reasons) > 0 AS abstained, CASE WHEN len(reasons) > 0 THEN 'validation: ' || array_to_string(reasons, '; ') END AS abstention_reason,
-  CASE WHEN len(reasons) > 0 THEN 'EXP-' || left(window_id, 20) || '-ABSTAINED' ELSE 'EXP-' || left(sha256(window_id || ':conversations:calibration:none:1'), 16) END AS explanation_id FROM val"""),
+  CASE WHEN len(reasons) > 0 THEN 'EXP-' || window_id || '-ABSTAINED' ELSE 'EXP-' || left(sha256(window_id || ':conversations:calibration:none:1'), 16) END AS explanation_id FROM val"""),
     "claim_metrics": sql(CLAIMS, """
 , u AS (SELECT *, len(reasons) = 0 AS good FROM val)
 SELECT count(*) AS total_attempted, count(*) FILTER (WHERE good) AS successful, count(*) FILTER (WHERE NOT good) AS abstentions, count(*) FILTER (WHERE NOT good) AS validation_failures,

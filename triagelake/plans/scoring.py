@@ -40,7 +40,7 @@ def count_vectors_log(spark, sf):
 def sequence_tokens(spark, sf):
     w = base.event_windows(spark, sf)
     vocab = scorers.vocabulary(windows.sequence_counts(_part(w, "train")), 2)
-    p = scorers.pad_sequences(scorers.encode_sequences(w, vocab), 8)
+    p = scorers.pad_sequences(scorers.encode_sequences(w, vocab, 100), 8)
     return p.select("window_id", F.array_join("input_ids", " ").alias("input_ids"), F.col("length").cast("long").alias("length"), F.array_join(F.transform("attention_mask", lambda m: m.cast("int")), " ").alias("mask"))
 
 
@@ -273,9 +273,7 @@ def _oracle_sql(source: str, score: str = "score", name: str = "best") -> str:
     """CTEs for the best-F1 threshold of a source as one row ``name``."""
     return f""",
 {name}_d AS (SELECT DISTINCT {score} AS t FROM {source}),
-{name}_c AS (
-  SELECT t FROM {name}_d WHERE (SELECT count(*) FROM {name}_d) <= 200
-  UNION ALL SELECT unnest((SELECT quantile_cont({score}, list_transform(range(200), lambda i: i / 199.0::DOUBLE)) FROM {source})) WHERE (SELECT count(*) FROM {name}_d) > 200),
+{name}_c AS (SELECT t FROM {name}_d),
 {name}_m AS (SELECT t, count(*) FILTER (WHERE {score} > t AND y = 1) AS tp, count(*) FILTER (WHERE {score} > t AND y = 0) AS fp, count(*) FILTER (WHERE y = 1) AS pos FROM {name}_c, {source} GROUP BY t),
 {name} AS (
   SELECT t AS threshold, CASE WHEN tp > 0 THEN 2 * tp / CAST(2 * tp + fp + (pos - tp) AS DOUBLE) ELSE 0.0::DOUBLE END AS f1,

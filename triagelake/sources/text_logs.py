@@ -9,23 +9,33 @@ from triagelake.functions.text import strip
 
 
 def read_log_lines(spark: SparkSession, path: str, max_records: int | None = None, keep_blank: bool = False) -> DataFrame:
-    """(file, line_number, raw_text) with 1-based line numbers per file, in one scan plus a count.
+    """(file, line_number, record_index, raw_text) in one scan plus a count.
 
-    A text split is read in order, so a row's place in its split is its row id minus the smallest
-    one there. The splits of a file are shifted by the line counts of the earlier ones: one small
+    ``line_number`` counts all lines of a file from 1, ``record_index`` those that aren't blank (NULL for
+    a blank one). A text split is read in order, so a row's place in its split is its row id minus the
+    smallest one there. The splits of a file are shifted by the counts of the earlier ones: one small
     row per split, so the raw lines are never shuffled. ``max_records`` cuts on raw line numbers.
     """
     scan = spark.read.text(path).select(
-        F.col("value").alias("raw_text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id")
+        strip(F.col("value")).alias("raw_text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id")
     )
-    sizes = scan.groupBy("file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
-    before = Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("file", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    # no hint: the optimizer broadcasts this side while it is small and shuffles otherwise
-    out = scan.join(offsets, ["file", "_start"]).select("file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_number"), strip(F.col("raw_text")).alias("raw_text"))
-    if max_records is not None:
-        out = out.filter(F.col("line_number") <= max_records)
-    return out if keep_blank else out.filter(F.col("raw_text") != "")
+
+    # both numbers are taken in the scan itself, before any join can move a row
+    filled = scan.filter(F.col("raw_text") != "").withColumn("_rid", F.monotonically_increasing_id())
+
+    def numbered(rows: DataFrame, by: DataFrame, key: str, out: str) -> DataFrame:
+        sizes = by.groupBy("file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_first"))
+        before = Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = sizes.select("file", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        # no hint: the optimizer broadcasts this side while it is small and shuffles otherwise
+        return rows.join(offsets, ["file", "_start"]).withColumn(out, F.col("_before") + F.col(key) - F.col("_first") + 1).drop("_first", "_before")
+
+    out = numbered(numbered(filled, filled, "_rid", "record_index"), scan, "_id", "line_number")
+    if keep_blank:
+        blank = numbered(scan.filter(F.col("raw_text") == ""), scan, "_id", "line_number")
+        out = out.drop("_rid").unionByName(blank.withColumn("record_index", F.lit(None).cast("long")))
+    out = out.select("file", "line_number", "record_index", "raw_text")
+    return out if max_records is None else out.filter(F.col("line_number") <= max_records)
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from triagelake.functions.scale import pin_small
 from triagelake.operators import monitoring as mon
 from triagelake.operators import parse, templates
 from triagelake.operators.scorers import UNKNOWN_TEMPLATE
@@ -47,10 +48,19 @@ def _collect_window(size: int, min_size: int, patience_ms: int):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         s = state.get if state.exists else (0, None, None, None, None, 0, 0.0)
         if state.hasTimedOut:
-            state.remove()
+            if s[0] < 0:  # was emitted, and stragglers had their time
+                state.remove()
+                return
+            state.update((-1, *s[1:]))
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + patience_ms)
             if s[0] >= min_size:
                 yield row(key, s, False)
             return
+        if s[0] < 0:  # emitted on timeout; its stragglers can't change it
+            for _ in batches:
+                pass
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + patience_ms)
+            return
         n, start, end, first, last, bad, surprise = s
         for b in batches:
             n, bad, surprise = n + len(b), bad + int(b["is_anomaly"].fillna(False).sum()), surprise + float(b["surprise"].sum())
@@ -79,32 +89,36 @@ def stream_scored_windows(records: DataFrame, frequency_fit: DataFrame, size: in
 
     The window of a record follows from its line index, so the state is keyed by window and holds
     at most ``size`` records' worth of sums; no source, however busy, gathers in one task. A window
-    that never fills is emitted once the watermark passes its last record by ``patience_ms``.
+    that never fills is emitted once the watermark passes its last record by ``patience_ms``; records that
+    come within another ``patience_ms`` are dropped, so no window is emitted twice.
     """
     unknown = frequency_fit.filter(F.col("template_id") == UNKNOWN_TEMPLATE).first()["log_p"]
-    scored = records.join(F.broadcast(frequency_fit), "template_id", "left").withColumn("surprise", -F.coalesce("log_p", F.lit(unknown)))
+    scored = records.join(pin_small(frequency_fit), "template_id", "left").withColumn("surprise", -F.coalesce("log_p", F.lit(unknown)))
     keyed = scored.withColumn("window_id", fixed_window_key(F.col(index), size, prefix))
     slim = keyed.withWatermark(time, delay).select("dataset", "window_id", "line_number", "timestamp", "is_anomaly", "surprise", time)
     return slim.groupBy("dataset", "window_id").applyInPandasWithState(_collect_window(size, min_size, patience_ms), _WINDOW_OUT, _WINDOW_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drift_per_batch(reference: DataFrame, out_path: str, score: str = "score") -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that appends one drift verdict per micro-batch."""
+    """A foreachBatch function that writes one drift verdict per micro-batch, in a folder of its own.
+
+    A batch that is run again replaces what it wrote before.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
-            mon.drift_verdict(reference, batch, score=score).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
+            mon.drift_verdict(reference, batch, score=score).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
     return run
 
 
 def reviews_per_batch(log_path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that appends the last review per key of the batch to a log.
+    """A foreachBatch function that writes the last review per key of the batch into a log.
 
-    ``latest_reviews`` over the log is the current state; replaying a batch does not change it.
+    ``latest_reviews`` over the log is the current state; a batch that is run again replaces its rows.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        mon.latest_reviews(batch).write.mode("append").parquet(log_path)
+        mon.latest_reviews(batch).write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
 
     return run
