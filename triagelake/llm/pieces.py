@@ -20,7 +20,7 @@ from triagelake.llm.common import only, prepared, texts
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: characters encoded at once, and distinct words remembered with their ids
-SLICE_CHARS, KNOWN_CHUNKS = 1 << 22, 300_000
+SLICE_CHARS, KNOWN_CHUNKS = 1 << 22, 800_000
 THREADS = 2
 
 # fixed values: field numbers and piece types of the SentencePiece model message

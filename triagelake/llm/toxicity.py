@@ -10,17 +10,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from triagelake.llm.common import map_batches, only, prepared, texts, write_stage
+from triagelake.llm.common import map_batches, mix, only, prepared, shingle_hashes, texts, word_hashes, write_stage
 
 #: at most so many labelled rows are fitted on, chosen by a hash of their doc_id
 SAMPLE_ROWS = 20_000
-#: at most so many words are features; each must be this far from chance in the sample
-MAX_FEATURES, MIN_Z = 20_000, 5.0
+#: at most so many words are features; each must be this far from chance in the sample, in this
+#: share of the texts labelled 1, and leave at most this part of the usual share of texts labelled 0
+MAX_FEATURES, MIN_Z, MIN_SHARE, MAX_CLEAN = 20_000, 5.0, 0.02, 1 / 3
+#: texts of the sample that share the least shingle under one of so many hashes count once
+MINIMA = 4
 GRADES = 4
-STEPS, RATE, RIDGE = 60, 0.3, 1e-3
+STEPS, RATE, RIDGE = 80, 0.3, 1e-5
 REJECT_AT = 0.5
 
 _TOKEN = re.compile(r"[^\W\d_]+")
@@ -30,9 +33,21 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
+def forms(word: str) -> tuple[str, ...]:
+    """A word and its first four and five letters, which inflected and compound words share."""
+    if len(word) <= 4:
+        return (word,)
+    return (word, f"{word[:4]}*") if len(word) == 5 else (word, f"{word[:4]}*", f"{word[:5]}*")
+
+
+def features(text: str, known: dict[str, int]) -> dict[int, int]:
+    """Feature numbers with their times."""
+    return Counter(known[f] for w in tokens(text) for f in forms(w) if f in known)
+
+
 @dataclass
 class Severity:
-    """``words``: feature numbers; one weight per word for all thresholds; thresholds ascend."""
+    """``words``: numbers of words and word beginnings; one weight each for all thresholds, which ascend."""
 
     words: dict[str, int]
     weights: np.ndarray
@@ -40,8 +55,7 @@ class Severity:
 
     def probabilities(self, text: str) -> np.ndarray:
         """P(grade = 0), ..., P(grade = top)."""
-        n = Counter(self.words[w] for w in tokens(text) if w in self.words)
-        s = sum(self.weights[i] * (1 + math.log(c)) for i, c in n.items())
+        s = sum(self.weights[i] * (1 + math.log(c)) for i, c in features(text, self.words).items())
         below = np.concatenate((_sigmoid(self.cuts - s), [1.0]))
         return np.diff(below, prepend=0.0)
 
@@ -51,24 +65,42 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(text, y) of at most ``rows`` labelled documents; a text that occurs again counts once.
+    """(text, y) of at most ``rows`` labelled documents; copies and near copies count once.
 
-    The labels are bounded first, so that their side of the join is small whatever the tables hold.
+    The labels are bounded first, so that their side of the join is small whatever the tables hold. A
+    group of near copies with one wrong label would make all its words telling; so of texts that
+    agree in the least hash of their five-word shingles, under any of MINIMA hashes, one stays.
     """
     picked = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y")).filter(F.col("_id").isNotNull() & F.col("y").isNotNull())
     picked = picked.groupBy("_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
     found = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(picked), "_id")
-    return found.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.max("y").alias("y"))
+    whole, _ = write_stage(found.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.max("y").alias("y")), "labelled-texts")
+
+    def least(b: pa.RecordBatch) -> dict:
+        h, n = shingle_hashes(*word_hashes(texts(b)), 5)
+        out = {"id": b.column("id")}
+        for k in range(MINIMA):
+            m = np.arange(b.num_rows, dtype=np.uint64)  # a text without words meets few others
+            if len(h):
+                m[n > 0] = np.minimum.reduceat(mix(h ^ np.uint64(0x9E3779B97F4A7C15 >> k)), (np.cumsum(n) - n)[n > 0])
+            out[f"m{k}"] = pa.array(m.view(np.int64))
+        return out
+
+    ids = map_batches(whole.select(F.xxhash64("text").alias("id"), "text"), least, f"id long, {', '.join(f'm{k} long' for k in range(MINIMA))}")
+    for k in range(MINIMA):  # a bounded number of rows
+        ids = ids.withColumn(f"f{k}", F.min("id").over(Window.partitionBy(f"m{k}")))
+    first = ids.filter(" AND ".join(f"id = f{k}" for k in range(MINIMA))).select("id")
+    return whole.withColumn("id", F.xxhash64("text")).join(first, "id", "left_semi").select("text", "y")
 
 
-def telling_words(sample: DataFrame, min_z: float = MIN_Z, most: int = MAX_FEATURES) -> list[tuple[str, float]]:
-    """Words whose share of labelled texts differs between y = 0 and y > 0, and by how much."""
+def telling_words(sample: DataFrame, min_z: float = MIN_Z, min_share: float = MIN_SHARE, max_clean: float = MAX_CLEAN, most: int = MAX_FEATURES) -> list[tuple[str, float]]:
+    """Words and word beginnings that tell texts with y > 0 from those with y = 0, and by how many deviations."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             w, y = [], []
             for t, g in zip(texts(b), b.column("y").to_pylist(), strict=True):
-                own = set(tokens(t))
+                own = {f for x in set(tokens(t)) for f in forms(x)}
                 w.extend(own), y.extend([g > 0] * len(own))
             yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(y, pa.bool_())], ["word", "bad"])
 
@@ -78,7 +110,8 @@ def telling_words(sample: DataFrame, min_z: float = MIN_Z, most: int = MAX_FEATU
     share = n["bad"] / (n["bad"] + n["good"])
     seen = sample.mapInArrow(words, "word string, bad boolean").groupBy("word").agg(F.count_if("bad").alias("bad"), F.count(F.lit(1)).alias("n"))
     z = (F.col("bad") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    told = seen.filter(F.col("n") >= 5).withColumn("z", z).filter(F.abs("z") >= min_z).orderBy(F.desc(F.abs("z")), "word").limit(most)
+    often = F.col("bad") >= max(4.0, min_share * n["bad"])
+    told = seen.withColumn("z", z).filter(often & (F.col("z") >= min_z) & (1 - F.col("bad") / F.col("n") <= max_clean * (1 - share))).orderBy(F.desc("z"), "word").limit(most)
     return [(r["word"], r["z"]) for r in told.select("word", "z").collect()]
 
 
@@ -88,10 +121,10 @@ def grade_binary(sample: DataFrame, words: list[tuple[str, float]]) -> DataFrame
     The labels know no degrees. A text labelled 1 is grade 1 with at most two telling words, grade 2
     with three to five, grade 3 with more. With graded labels this step is left out.
     """
-    bad = {w for w, z in words if z > 0}
+    bad = {w for w, _ in words}
 
     def grade(b: pa.RecordBatch) -> dict:
-        n = [sum(w in bad for w in tokens(t)) for t in texts(b)]
+        n = [sum(any(f in bad for f in forms(w)) for w in tokens(t)) for t in texts(b)]
         return {"text": b.column("text"), "grade": pa.array([0 if y <= 0 else 1 + (k > 2) + (k > 5) for y, k in zip(b.column("y").to_pylist(), n, strict=True)], pa.int32())}
 
     return map_batches(sample, grade, "text string, grade int")
@@ -107,11 +140,11 @@ def fit_ordinal(graded: DataFrame, words: list[str], grades: int = GRADES, steps
     index = {w: i for i, w in enumerate(words)}
     d = len(words)
 
-    def features(b: pa.RecordBatch) -> dict:
-        n = [sorted(Counter(index[w] for w in tokens(t) if w in index).items()) for t in texts(b)]
+    def rows_of(b: pa.RecordBatch) -> dict:
+        n = [sorted(features(t, index).items()) for t in texts(b)]
         return {"grade": b.column("grade"), "at": pa.array([[i for i, _ in x] for x in n], pa.list_(pa.int32())), "tf": pa.array([[c for _, c in x] for x in n], pa.list_(pa.int32()))}
 
-    rows = map_batches(graded.select("text", "grade"), features, "grade int, at array<int>, tf array<int>")
+    rows = map_batches(graded.select("text", "grade"), rows_of, "grade int, at array<int>, tf array<int>")
     rows, _ = write_stage(rows.groupBy("grade", "at", "tf").agg(F.count(F.lit(1)).alias("n")).coalesce(4), "ordinal-rows")
 
     def gradient(params: np.ndarray):
