@@ -170,6 +170,7 @@ def test_a_difference_is_reported(monkeypatch):
     codec = pieces.Codec(data)
     right = codec.tokenizer
     codec.tokenizer = pieces.build(pieces.parse_model(data))
+    assert all(codec.decode_packed(codec.packed(i)) == t for i, t in zip(codec.encode(["a b", " é\U0001F600"]), ["a b", " é\U0001F600"], strict=True))
     codec.encode = lambda batch: [[9] if t == "bad" else e.ids for t, e in zip(batch, right.encode_batch(batch), strict=True)]
     assert codec.encode_checked(["a bad day", "good", "bad ", ""])[1] == [False, True, False, True]
 

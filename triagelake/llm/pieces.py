@@ -15,12 +15,12 @@ import tokenizers
 from pyspark.sql import DataFrame
 from tokenizers import decoders, models, normalizers, pre_tokenizers
 
-from triagelake.llm.common import only, prepared, texts
+from triagelake.llm.common import give_back, only, prepared, texts
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: characters encoded at once, and distinct words remembered with their ids
-SLICE_CHARS, KNOWN_CHUNKS = 1 << 22, 800_000
+SLICE_CHARS, KNOWN_CHUNKS = 1 << 21, 400_000
 THREADS = 2
 
 # fixed values: field numbers and piece types of the SentencePiece model message
@@ -144,6 +144,7 @@ class Codec:
         self.dtype = "<u2" if len(self.model.pieces) <= 1 << 16 else "<u4"
         self.by_word = self.model.splits_at_marks and self.model.dummy_prefix
         self.plain = not (self.model.charsmap or self.model.squeeze)
+        self.table = [bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(MARK, " ").encode() for p, _, t in self.model.pieces]
         self._known: dict[str, bytes] = {}
         self._bad: set[str] = set()
         self._chunks = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -154,6 +155,11 @@ class Codec:
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
+    def decode_packed(self, packed: bytes) -> str:
+        """The text of packed ids, joined from the bytes of their pieces."""
+        t = b"".join(map(self.table.__getitem__, np.frombuffer(packed, dtype=self.dtype).tolist())).decode("utf-8", "replace")
+        return t[1:] if self.model.dummy_prefix and t[:1] == " " else t
+
     def packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.dtype == '<u2' else 'I'}", *ids)
 
@@ -184,7 +190,8 @@ class Codec:
         new = list(set().union(*words) - self._known.keys())
         if new:
             texts_ = [w[1:].replace(MARK, " ") for w in new]
-            for w, t, mine, theirs in zip(new, texts_, self.encode(texts_), self.other.encode(texts_), strict=True):
+            own = self.encode(texts_)
+            for w, t, mine, theirs in zip(new, texts_, own, self.other.encode(texts_), strict=True):
                 if not t:  # a mark alone is left of a text's last space, so it is compared behind a word
                     mine, theirs = (f(["a ", "a"]) for f in (self.encode, self.other.encode))
                     mine, theirs = mine[0][len(mine[1]) :], theirs[0][len(theirs[1]) :]
@@ -225,14 +232,15 @@ def encode_decode(docs: DataFrame, model_path: str = MODEL_PATH, threads: int =
             at = 0
             for part in sliced(texts(b)):
                 packed, parity = codec.encode_checked(part)
-                ids = [np.frombuffer(p, dtype=codec.dtype) for p in packed]
-                back = codec.decode([i.tolist() for i in ids])
+                back = [codec.decode_packed(p) for p in packed]
                 same = [d == t or d == codec.normalized(t) for d, t in zip(back, part, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(at, len(part)), pa.array(packed, pa.binary()), pa.array([len(i) for i in ids], pa.int64()), pa.array(back, pa.string()), pa.array(same, pa.bool_()), pa.array(parity, pa.bool_())],
+                    [b.column("doc_id").slice(at, len(part)), pa.array(packed, pa.binary()), pa.array([len(p) // int(codec.dtype[-1]) for p in packed], pa.int64()), pa.array(back, pa.string()), pa.array(same, pa.bool_()), pa.array(parity, pa.bool_())],
                     ["doc_id", "ids", "n_tokens", "decoded", "round_trip", "parity"],
                 )
                 at += len(part)
+        del codec
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return only(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, n_tokens long, decoded string, round_trip boolean, parity boolean")
