@@ -27,7 +27,7 @@ PIECE_BYTES = 1 << 20
 def prepared(spark: SparkSession) -> SparkSession:
     """Keep Arrow batches small, so that a batch of very long texts still fits a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return spark
 
 
