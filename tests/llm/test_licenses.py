@@ -70,3 +70,41 @@ def test_every_template_is_found_whole_and_edited(spark):
     assert not {51, 52, 53} & set(by) and by[54][0]["start"] == 10 and by[55][0]["start"] == 200000
     assert [r["start"] for r in sorted(by[None], key=lambda r: r["start"])] == [0, 32]
     assert L.license_notices(df.limit(0)).count() == 0
+
+
+def found_in(text):
+    return {r["license"] for r in L.find_notices(text, L.build_index())}
+
+
+def test_rights_reserved_with_and_without_a_holder():
+    assert "all-rights-reserved-short" in found_in("A page about nothing.\nAll rights reserved")
+    assert "all-rights-reserved-short" in found_in("Copyright 2024 Acme Corp. All rights reserved")
+    assert "all-rights-reserved-short" not in found_in("All rights and all seats are reserved")
+
+
+def test_short_notices_survive_any_neighbour_and_any_substitution_that_leaves_the_coverage():
+    index = L.build_index()
+    every = sorted(index.words)
+    for name, body in zip(index.names, index.bodies, strict=True):
+        if len(body) > L.SHORT:
+            continue
+        words = L._TOKEN.findall(L.TEMPLATES[name].lower())
+        if len(body) < L.GRAM + L.WINDOW - 1:  # only such templates lost fingerprints to neighbours
+            for w in every[::7] + ["the", "source", "software"]:
+                assert name in {r["license"] for r in L.find_notices(f"{' '.join(words)} {w} {w}", index)}, (name, w)
+        rng = random.Random(name)
+        for _ in range(10):
+            t = list(words)
+            for at in rng.sample(range(len(t)), int(len(t) * (1 - L.MIN_COVERAGE) + 1e-9)):
+                if 0 < at < len(t) - 1:
+                    t[at] = "zzz"
+            _, equal, _, _ = L.align(index.bodies[index.names.index(name)], [index.words.get(w, 0) for w in t], 0)
+            if equal >= L.MIN_COVERAGE * len(t):
+                assert name in {r["license"] for r in L.find_notices(" ".join(t), index)}, t
+
+
+def test_whole_license_texts_are_found():
+    for n in L.FULL_TEXTS:
+        text = "/* " + L.TEMPLATES[f"{n}-text"].replace("\n", "\n * ") + " */ int main() {}"
+        assert f"{n}-text" in found_in(text)
+    assert "GPL-3.0-text" not in found_in(L.TEMPLATES["GPL-2.0-text"])

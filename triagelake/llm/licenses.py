@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from importlib.resources import files
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,8 @@ from triagelake.llm.common import mix, only, prepared, texts
 
 #: words of a fingerprint, and fingerprints of which the smallest is kept
 GRAM, WINDOW = 3, 3
+#: templates of up to so many words keep every gram, longer ones are winnowed
+SHORT = 24
 BAND = 6
 MIN_COVERAGE = 0.8
 #: the templates are sent to every task, so their number of words is limited
@@ -46,14 +50,31 @@ TEMPLATES = {
     "MIT-short": "Released under the MIT License",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "all-rights-reserved": "Copyright All rights reserved",
+    "all-rights-reserved-short": "All rights reserved",
     "spdx-apache": "SPDX-License-Identifier: Apache-2.0",
     "spdx-mit": "SPDX-License-Identifier: MIT",
 }
+# whole texts of common licenses, kept as files
+FULL_TEXTS = ("Apache-2.0", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0")
+TEMPLATES |= {f"{n}-text": (files("triagelake.llm") / "license_texts" / f"{n}.txt").read_text("utf-8") for n in FULL_TEXTS}
 
 _TOKEN = re.compile(r"[^\W_]+")
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def grams(known: np.ndarray, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each run of ``gram`` words, whether all of its words are known)."""
+    n = len(known) - gram + 1
+    if n < 1:
+        return np.zeros(0, np.uint64), np.zeros(0, bool)
+    h, whole = np.zeros(n, np.uint64), np.ones(n, bool)
+    for j in range(gram):
+        part = known[j : j + n]
+        h = mix(h * np.uint64(0x2545F4914F6CDD1D) + part.astype(np.uint64))
+        whole &= part > 0
+    return h, whole
+
+
 def winnow(known: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(positions, fingerprints): of each ``window`` neighbouring grams the smallest hash.
 
@@ -61,14 +82,10 @@ def winnow(known: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tuple[n
     match and is passed over. A text of fewer grams than a window is one window. Any run of
     gram + window - 1 equal words has an equal fingerprint in both texts.
     """
-    n = len(known) - gram + 1
+    h, whole = grams(known, gram)
+    n = len(h)
     if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h, whole = np.zeros(n, np.uint64), np.ones(n, bool)
-    for j in range(gram):
-        part = known[j : j + n]
-        h = mix(h * np.uint64(0x2545F4914F6CDD1D) + part.astype(np.uint64))
-        whole &= part > 0
+        return np.zeros(0, np.int64), h
     h = np.where(whole, h, _NONE)
     m = min(window, n)
     least = np.lib.stride_tricks.sliding_window_view(h, m).min(axis=1)
@@ -79,6 +96,17 @@ def winnow(known: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tuple[n
     return at, h[at]
 
 
+def _among(h: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """Which hashes are in the sorted ``prints``."""
+    return prints[np.minimum(np.searchsorted(prints, h), len(prints) - 1)] == h if len(prints) else np.zeros(len(h), bool)
+
+
+def sure_gram(n: int, min_coverage: float = MIN_COVERAGE) -> int:
+    """Words of the longest run, up to GRAM, that n words keep however those not needed are substituted."""
+    spare = n - ceil(min_coverage * n - 1e-9)
+    return max(1, min(GRAM, ceil((n - spare) / (spare + 1))))
+
+
 def align(template: list[int], doc: list[int], shift: int, band: int = BAND, floor: int = 0) -> tuple[int, int, int, int]:
     """(score, equal words, first, end) of the best local alignment near the diagonal ``shift``.
 
@@ -114,58 +142,96 @@ def align(template: list[int], doc: list[int], shift: int, band: int = BAND, flo
 
 @dataclass
 class Index:
-    """Word numbers, and for each fingerprint where the templates have it."""
+    """Word numbers, and for each fingerprint where the templates have it.
+
+    ``every`` has all grams of the short templates by size of gram, ``places`` the winnowed grams of
+    the others; ``counts`` are the times of each word in each template.
+    """
 
     names: list[str]
     words: dict[str, int]
     bodies: list[list[int]]
+    counts: list[tuple[np.ndarray, np.ndarray]]
+    every: dict[int, tuple[np.ndarray, dict[int, list[tuple[int, int]]]]]
     prints: np.ndarray
     places: dict[int, list[tuple[int, int]]]
 
+    def hits(self, known: np.ndarray) -> list[tuple[int, int, int]]:
+        """(place in the text, template, place in the template) of all equal fingerprints, by place in the text."""
+        out = []
+        for g, (prints, places) in self.every.items():
+            h, whole = grams(known, g)
+            at = np.flatnonzero(whole)
+            at = at[_among(h[at], prints)]
+            out += [(p, t, q) for p, f in zip(at.tolist(), h[at].tolist(), strict=True) for t, q in places[f]]
+        at, h = winnow(known)
+        hit = _among(h, self.prints)
+        out += [(p, t, q) for p, f in zip(at[hit].tolist(), h[hit].tolist(), strict=True) for t, q in self.places[f]]
+        return sorted(out)
+
+    def at_most(self, t: int, known: np.ndarray, first: int, end: int) -> int:
+        """No alignment of the template with these words of the text has more equal words than this."""
+        word, times = self.counts[t]
+        part = np.sort(known[max(0, first) : max(0, end)])
+        return int(np.minimum(np.searchsorted(part, word, side="right") - np.searchsorted(part, word), times).sum())
 
-def build_index(templates: Mapping[str, str] = TEMPLATES) -> Index:
+
+def build_index(templates: Mapping[str, str] = TEMPLATES, min_coverage: float = MIN_COVERAGE) -> Index:
     words: dict[str, int] = {}
     names = sorted(templates)
     bodies = [[words.setdefault(w, len(words) + 1) for w in _TOKEN.findall(templates[n].lower())] for n in names]
     if sum(map(len, bodies)) > MAX_TEMPLATE_WORDS:
         raise ValueError(f"templates of more than {MAX_TEMPLATE_WORDS} words in all are too many to send to every task")
     places: dict[int, list[tuple[int, int]]] = {}
+    every: dict[int, dict[int, list[tuple[int, int]]]] = {}
     for t, body in enumerate(bodies):
-        for p, h in zip(*(x.tolist() for x in winnow(np.array(body, np.int64))), strict=True):
-            places.setdefault(h, []).append((t, p))
-    return Index(names, words, bodies, np.array(sorted(places), np.uint64), places)
+        known = np.array(body, np.int64)
+        if 0 < len(body) <= SHORT:
+            g = sure_gram(len(body), min_coverage)
+            for p, h in enumerate(grams(known, g)[0].tolist()):
+                every.setdefault(g, {}).setdefault(h, []).append((t, p))
+        else:
+            for p, h in zip(*(x.tolist() for x in winnow(known)), strict=True):
+                places.setdefault(h, []).append((t, p))
+    sized = {g: (np.array(sorted(x), np.uint64), x) for g, x in sorted(every.items())}
+    counts = [np.unique(np.array(b, np.int64), return_counts=True) for b in bodies]
+    return Index(names, words, bodies, counts, sized, np.array(sorted(places), np.uint64), places)
 
 
 def find_notices(text: str, index: Index, min_coverage: float = MIN_COVERAGE, band: int = BAND) -> list[dict]:
     """The notices of a text by place: license, coverage of its template, span in code points.
 
     Of overlapping matches of one template the first hit's alignment stands; matches of different
-    templates may overlap. Coverage is the share of template words met by an equal word.
+    templates may overlap. Coverage is the share of template words met by an equal word. A template of
+    up to SHORT words is aligned wherever the text has one of its grams, which no substitutions that
+    leave the coverage can prevent; a longer one needs gram + window - 1 equal words in a row.
     """
     low = text.lower()
     known = np.fromiter((index.words.get(w, 0) for w in _TOKEN.findall(low)), dtype=np.int64)
-    at, h = winnow(known)
-    hit = np.isin(h, index.prints)
-    if not hit.any():
+    hits = index.hits(known)
+    if not hits:
         return []
     if len(low) == len(text):
         spans = [m.span() for m in _TOKEN.finditer(low)]
     else:  # lower-casing changed the length: words are looked up in the text itself
         spans = [m.span() for m in _TOKEN.finditer(text)]
         known = np.fromiter((index.words.get(text[a:b].lower(), 0) for a, b in spans), dtype=np.int64)
-        at, h = winnow(known)
-        hit = np.isin(h, index.prints)
+        hits = index.hits(known)
     doc = known.tolist()
-    found, upto = [], {}
-    for p, f in zip(at[hit].tolist(), h[hit].tolist(), strict=True):
-        for t, q in index.places[f]:
-            if p < upto.get(t, 0):
-                continue
-            body = index.bodies[t]
-            score, equal, first, end = align(body, doc, p - q, band, upto.get(t, 0))
-            if equal >= min_coverage * len(body):
-                upto[t] = end
-                found.append({"license": index.names[t], "coverage": equal / len(body), "n_equal": equal, "start": spans[first][0], "end": spans[end - 1][1]})
+    found, upto, tried = [], {}, set()
+    for p, t, q in hits:
+        since = upto.get(t, 0)
+        if p < since or (t, p - q, since) in tried:
+            continue
+        tried.add((t, p - q, since))
+        body = index.bodies[t]
+        need = min_coverage * len(body) - 1e-9
+        if index.at_most(t, known, max(since, p - q - band), p - q + len(body) + band) < need:
+            continue
+        score, equal, first, end = align(body, doc, p - q, band, since)
+        if equal >= need:
+            upto[t] = end
+            found.append({"license": index.names[t], "coverage": equal / len(body), "n_equal": equal, "start": spans[first][0], "end": spans[end - 1][1]})
     return sorted(found, key=lambda r: (r["start"], r["license"]))
 
 
@@ -176,7 +242,7 @@ def license_notices(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, m
     is passed through. Whole texts are read, however long; memory is bounded by one batch.
     """
     prepared(docs.sparkSession)
-    index = build_index(templates)
+    index = build_index(templates, min_coverage)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
