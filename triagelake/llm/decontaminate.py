@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from itertools import combinations
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,11 +46,30 @@ def seeds(hashes: Column, masks: Sequence[str] = MASKS) -> Column:
     return F.when(n >= span, every).when(n > 0, whole).otherwise(F.slice(whole, 1, 0))
 
 
+def length_masks(n: int, max_substituted: float = MAX_SUBSTITUTED) -> list[str]:
+    """Masks of ``n`` tokens of which one misses all substituted tokens, wherever the allowed ones are.
+
+    With s allowed, n is cut into s + 2 blocks, and each mask leaves out s of them.
+    """
+    spare = n - ceil(n * (1 - max_substituted))
+    block = [j * (spare + 2) // n for j in range(n)]
+    return list(dict.fromkeys("".join("0" if b in out else "1" for b in block) for out in combinations(range(spare + 2), spare)))
+
+
+def own_seeds(hashes: Column, n: int, max_substituted: float = MAX_SUBSTITUTED) -> Column:
+    """array<struct<pos, seed>> of all windows of ``n`` tokens, for whole items of that length."""
+    at = lambda i, j: F.get(hashes, i + F.lit(j))
+    masks = list(enumerate(length_masks(n, max_substituted)))
+    window = lambda i: F.array(*[F.struct(i.alias("pos"), F.xxhash64(F.lit(f"{n}:{k}"), *[at(i, j) for j, c in enumerate(m) if c == "1"]).alias("seed")) for k, m in masks])
+    every = F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.size(hashes) - n, F.lit(0))), window))
+    return F.when(F.size(hashes) >= n, every).otherwise(F.slice(every, 1, 0))
+
+
 def _hashed(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn(key, F.transform(tokens(F.col("text")), lambda w: F.xxhash64(w)))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = MASKS, min_overlap: int = MIN_OVERLAP, max_substituted: float = MAX_SUBSTITUTED, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = MASKS, min_overlap: int = MIN_OVERLAP, max_substituted: float = MAX_SUBSTITUTED, broadcast_seeds: int = BROADCAST_SEEDS, short_items: bool = False) -> DataFrame:
     """(doc_id, item_id, start, n_tokens, n_equal): the best overlap of each document and item.
 
     Spaced seeds of both sides are joined; each hit fixes a diagonal (position in the document less
@@ -56,6 +78,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = MASKS
     tokens counts, and is reported if at most ``max_substituted`` of it differs. ``start`` is the
     document's first token of that run, ``n_tokens`` its length and ``n_equal`` its equal tokens.
 
+    With ``short_items`` an item of fewer than ``min_overlap`` tokens is found anywhere in a text, with
+    as many substitutions as allowed: documents get seeds at each such length that the benchmark has.
+    Without it such items have the seeds of the others; one shorter than the window is then found only
+    in a text that is nothing else, and at 8 to 11 tokens some allowed substitutions are missed.
+
     Null and empty texts and items have no overlaps, null ids are ids like others, equal rows give
     one overlap. The seeds of the benchmark are broadcast while they are few; else they are joined by
     a shuffle, to the same result. Candidates are counted per document, item and diagonal, so nothing
@@ -63,9 +90,23 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = MASKS
     """
     spark = docs.sparkSession
     items, _ = write_stage(_hashed(only(benchmark, "item_id", "text").distinct(), "item").select("item_id", "item").filter(F.size("item") > 0), "items")
-    wanted, _ = write_stage(items.select("item_id", F.inline(seeds(F.col("item"), masks))).select(F.col("seed"), "item_id", F.col("pos").alias("at")), "item-seeds")
+    n, lengths = F.size("item"), []
+    if short_items:  # fewer than min_overlap numbers
+        lengths = sorted(r[0] for r in items.filter(n < min_overlap).select(n).distinct().collect())
+
+    def all_seeds(hashes: Column, of: Column | None = None) -> Column:
+        usual = seeds(hashes, masks)
+        if not lengths:
+            return usual
+        none = F.slice(usual, 1, 0)
+        own = [own_seeds(hashes, m, max_substituted) for m in lengths]
+        if of is not None:  # an item has the seeds of its own length only
+            return reduce(lambda rest, x: F.when(of == x[0], x[1]).otherwise(rest), zip(lengths, own, strict=True), usual)
+        return F.concat(F.when(F.size(hashes) >= len(masks[0]), usual).otherwise(none), *own)
+
+    wanted, _ = write_stage(items.select("item_id", F.inline(all_seeds(F.col("item"), n))).select(F.col("seed"), "item_id", F.col("pos").alias("at")), "item-seeds")
     few = wanted.count() <= broadcast_seeds
-    mine = _hashed(only(docs, "doc_id", "text"), "words").select("doc_id", F.inline(seeds(F.col("words"), masks)))
+    mine = _hashed(only(docs, "doc_id", "text"), "words").select("doc_id", F.inline(all_seeds(F.col("words"))))
     hits = mine.join(F.broadcast(wanted) if few else wanted, "seed").select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift"), "pos")
     # one row per diagonal: the hits a document has on it
     lines, _ = write_stage(hits.groupBy("doc_id", "item_id", "shift").agg(F.count(F.lit(1)).alias("n_hits")), "seed-hits")

@@ -50,7 +50,7 @@ def op7_toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), short_items=True)
 
 
 def op9_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
