@@ -1,13 +1,13 @@
 """Order-free template mining and frozen matching.
 
 Mining works on distinct masked shapes, never on lines: lines collapse map-side by shape, variable
-positions become wildcards by group-by, and only the few remaining shapes of one bucket are merged
-together in a task. The result does not depend on line order or partitioning.
+positions become wildcards by group-by, and the remaining shapes of one bucket are merged by one
+task. The result does not depend on line order or partitioning.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,7 @@ from triagelake.functions.scale import materialize, pin_small, running_totals
 from triagelake.functions.text import SESSION_LOG_MASKS, WILDCARD, mask, words
 
 UNKNOWN_TEXT = "UNKNOWN"
+#: no longer read: buckets of every size are merged by one rule. The name stays for those who set it
 MAX_SHAPES_PER_BUCKET = 2_000
 
 
@@ -26,28 +27,39 @@ def shape_tokens(content: Column, masks: Sequence[str] = SESSION_LOG_MASKS) -> C
     return F.transform(words(mask(content, masks)), lambda t: F.when(F.rlike(t, F.lit(r"\d")), F.lit(WILDCARD)).otherwise(t))
 
 
-def _merge_bucket(sim_th: float):
-    """Merge the shapes of one bucket, biggest first, into the most similar template so far."""
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.assign(key=pdf["tokens"].map(" ".join)).sort_values(["size", "key"], ascending=[False, True])
-        codes, names = pd.factorize(np.concatenate(ordered["tokens"].to_numpy()))
-        rows = codes.reshape(len(ordered), -1)
-        wild = np.flatnonzero(names == WILDCARD)
-        wild = int(wild[0]) if len(wild) else -1
-        sizes = ordered["size"].to_numpy()
-        merged, totals, used = np.empty_like(rows), np.zeros(len(rows), dtype=np.int64), 0
-        for row, size in zip(rows, sizes):
-            same = ((merged[:used] == row) & (merged[:used] != wild)).mean(axis=1) if used else np.array([])
-            if used and same.max() >= sim_th:
-                best = int(same.argmax())
-                merged[best] = np.where(merged[best] == row, row, wild)
-                totals[best] += size
-            else:
-                merged[used], totals[used] = row, size
-                used += 1
-        text = [" ".join(WILDCARD if c < 0 else names[c] for c in m) for m in merged[:used]]
-        return pd.DataFrame({"template": text, "size": totals[:used]})
+def _merge_sorted(sim_th: float):
+    """Merge the shapes of each bucket, biggest first, into the most similar template so far.
+
+    The rows come sorted by bucket; only the templates of one bucket are held, never its shapes.
+    """
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bucket, codes, merged, totals, used = None, {}, np.empty((0, 0), dtype=np.int64), [], 0
+
+        def done() -> pd.DataFrame:
+            names = list(codes)
+            return pd.DataFrame({"template": [" ".join(names[c] for c in m) for m in merged[:used]], "size": totals})
+
+        for pdf in batches:
+            for first, tokens, size in zip(pdf["first"], pdf["tokens"], pdf["size"], strict=True):
+                if (len(tokens), first) != bucket:
+                    if used:
+                        yield done()
+                    bucket, codes, merged, totals, used = (len(tokens), first), {WILDCARD: 0}, np.empty((16, len(tokens)), dtype=np.int64), [], 0
+                row = np.array([codes.get(t, -1) for t in tokens], dtype=np.int64)  # -1: in no template so far
+                same = ((merged[:used] == row) & (merged[:used] != 0)).mean(axis=1) if used else np.array([])
+                if used and same.max() >= sim_th:
+                    best = int(same.argmax())
+                    merged[best] = np.where(merged[best] == row, row, 0)
+                    totals[best] += size
+                else:
+                    if used == len(merged):
+                        merged = np.concatenate((merged, np.empty_like(merged)))
+                    merged[used] = [codes.setdefault(t, len(codes)) for t in tokens]
+                    totals.append(size)
+                    used += 1
+        if used:
+            yield done()
 
     return merge
 
@@ -62,9 +74,9 @@ def mine_templates(
     """Templates (template_id, template, size) of the TRAIN contents.
 
     Shapes are bucketed by (token count, first token); each bucket is merged on its own, so the lines
-    of one bucket never change the templates of another. A bucket of more than MAX_SHAPES_PER_BUCKET
-    shapes is split by its next tokens until its parts fit a task; the parts are merged, and then
-    their results with one another if those are few enough. With ``max_children`` (a setting of the
+    of one bucket never change the templates of another. The rule is the same at every size: the shapes
+    of a bucket pass one by one, so a task holds templates only, but a bucket is the work of one task,
+    of (its shapes) x (its templates) comparisons. With ``max_children`` (a setting of the
     usual miners), positions of a bucket with more different tokens than that become wildcards first,
     and so does the first token of all but the most frequent such buckets of a length.
     """
@@ -74,25 +86,8 @@ def mine_templates(
     shapes = materialize(shapes, "shapes")
     if max_children is not None:
         shapes = materialize(_limit_children(shapes, max_children), "shapes")
-    parts = shapes.withColumn("part", F.lit(""))
-    depth = 1
-    while True:
-        sizes = parts.groupBy("len", "first", "part").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > MAX_SHAPES_PER_BUCKET) & (F.col("len") > depth))
-        sizes = materialize(sizes.drop("n"), "large-buckets")
-        if not sizes.count():
-            break
-        deeper = F.concat_ws(" ", F.nullif("part", F.lit("")), F.get("tokens", F.lit(depth)))
-        large = sizes.withColumn("large", F.lit(True))
-        parts = materialize(parts.join(large, ["len", "first", "part"], "left").withColumn("part", F.when(F.col("large"), deeper).otherwise(F.col("part"))).drop("large"), "shape-parts")
-        depth += 1
-    merged = parts.groupBy("len", "first", "part").applyInPandas(_merge_bucket(sim_th), "template string, size long")
-    if depth > 1:  # the parts of a bucket meet once more
-        again = merged.withColumn("tokens", F.split("template", " ")).withColumn("len", F.size("tokens")).withColumn("first", F.get("tokens", F.lit(0)))
-        again = materialize(again.drop("template"), "part-templates")
-        n = again.groupBy("len", "first").agg(F.count(F.lit(1)).alias("n"))
-        few = again.join(n.filter(F.col("n") <= MAX_SHAPES_PER_BUCKET).drop("n"), ["len", "first"])
-        many = again.join(n.filter(F.col("n") > MAX_SHAPES_PER_BUCKET).drop("n"), ["len", "first"])
-        merged = few.groupBy("len", "first").applyInPandas(_merge_bucket(sim_th), "template string, size long").unionByName(many.select(F.array_join("tokens", " ").alias("template"), "size"))
+    ordered = shapes.select("len", "first", "tokens", "size").repartition("len", "first").sortWithinPartitions("len", "first", F.desc("size"), F.array_join("tokens", " "))
+    merged = ordered.mapInPandas(_merge_sorted(sim_th), "template string, size long")
     distinct = materialize(merged.groupBy("template").agg(F.sum("size").alias("size"), F.lit(1).alias("one")), "templates")
     return with_stable_ids(distinct)
 
