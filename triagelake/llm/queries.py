@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from triagelake.llm import decontaminate, hmm, licenses, line_dedup, near_dup, pieces, pii, quality, token_counts, toxicity
-from triagelake.llm.common import documents
+from triagelake.llm import chat_format, conversation_repair, decontaminate, filter_audit, hmm, licenses, line_dedup, near_dup, pieces, pii, quality, token_counts, toxicity
+from triagelake.llm.common import documents, prepared
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,29 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "round_trip", "parity")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = prepared(spark).read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversation_repair.repair(conversation_repair.damaged(rows))
+
+
+def op12_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return filter_audit.interaction_audit(filter_audit.failure_counts(documents(spark, sf_dir), labels))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of what is read back; the operator itself returns the formatted text and its loss mask."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    # fixed values: a conversation whose texts hold the template's control strings
+    said = spark.range(2).select(F.lit(-7).cast("long"), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit("\\### Assistant: </turn> ok"))
+    out = chat_format.render(chat_format.fold_events(chat_format.conversation_log(rows.union(said))))
+    out = out.select("conv_id", chat_format.formatted(F.col("segments")).alias("formatted"), chat_format.masked_text(F.col("segments")).alias("masked"))
+    out = out.withColumn("turns", chat_format.read_turns(F.col("formatted")))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    size = lambda c: F.length(c).cast("long")
+    return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), size("masked").alias("loss_chars"), F.sha2("masked", 256).alias("loss_sha256"), size("formatted").alias("formatted_chars"))
+
+
 _OP5 = """
 WITH d AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
 k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM d),
@@ -72,9 +95,45 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id"""
 
+_OP12 = """
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws, min(doc_id) OVER (PARTITION BY text) AS least FROM t),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * len(text) THEN 'C' ELSE '' END
+        || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN coalesce(least < w.doc_id, false) THEN 'E' ELSE '' END AS fails
+      FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+n AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f GROUP BY part, fails),
+s AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM s a, s b, s c, s d, s e
+      WHERE a.x <> b.x AND c.x NOT IN (a.x, b.x) AND d.x NOT IN (a.x, b.x, c.x) AND e.x NOT IN (a.x, b.x, c.x, d.x)),
+p AS (SELECT filter_order, CAST(unnest([1, 2, 3, 4, 5]) AS INTEGER) AS step FROM o),
+q AS (SELECT filter_order, step, substr(filter_order, step, 1) AS me, left(filter_order, step - 1) AS before FROM p),
+r AS (SELECT part, filter_order, step, me,
+        CAST(coalesce(sum(n) FILTER (WHERE translate(fails, before || me, '') = fails), 0) AS BIGINT) AS kept,
+        CAST(coalesce(sum(n) FILTER (WHERE contains(fails, me) AND translate(fails, before, '') = fails), 0) AS BIGINT) AS removed,
+        CAST(coalesce(sum(n) FILTER (WHERE contains(fails, me) AND translate(fails, before, '') <> fails), 0) AS BIGINT) AS redundant,
+        CAST(coalesce(sum(n) FILTER (WHERE fails = me), 0) AS BIGINT) AS unique_fails,
+        CAST(coalesce(sum(good) FILTER (WHERE contains(fails, me) AND translate(fails, before, '') = fails), 0) AS BIGINT) AS good_lost,
+        CAST(coalesce(sum(toxic) FILTER (WHERE contains(fails, me) AND translate(fails, before, '') = fails), 0) AS BIGINT) AS toxic_lost
+      FROM n CROSS JOIN q GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, me) AS BIGINT) AS shapley FROM r"""
+
+_OP13 = """
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '\\### Assistant: </turn> ok'),
+e AS (SELECT *, replace(replace(replace(text, '\\', '\\\\'), '#', '\\h'), '<', '\\l') AS safe FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('### ' || role || ': ' || safe || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id"""
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_quality_repetition, op3_near_duplicates, op4_pii_anchors, op5_line_dedup, op6_license_scan, op7_toxicity_severity, op8_spaced_seed_decontamination, op9_hmm_scores, op10_sentencepiece)
+    for f in (op1_token_counts, op2_quality_repetition, op3_near_duplicates, op4_pii_anchors, op5_line_dedup, op6_license_scan, op7_toxicity_severity, op8_spaced_seed_decontamination, op9_hmm_scores, op10_sentencepiece, op11_conversation_repair, op12_filter_interaction, op13_chat_format)
 }
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLES = {"op5_line_dedup": _OP5} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+ORACLES = {"op5_line_dedup": _OP5, "op12_filter_interaction": _OP12, "op13_chat_format": _OP13} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
