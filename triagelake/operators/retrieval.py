@@ -2,14 +2,12 @@
 
 Log windows repeat a lot, so both sides are collapsed to distinct directions (unit vectors) first.
 A query whose own direction has enough members in the corpus is answered by an equi-join. Only the
-rest is compared with the distinct corpus directions, block against block: a task holds one block
-of each side and emits k rows per query, never the pairs.
+rest is compared with distinct corpus directions, of a large corpus only with those in pivot cells near
+enough; a task holds one block of each side and emits k rows per query, never the pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,12 +15,10 @@ from pyspark.sql import functions as F
 
 from triagelake.functions.scale import materialize, pin_small
 from triagelake.functions.text import lower_key, sha, words
+from triagelake.operators import cells
+from triagelake.operators.cells import BLOCK_ROWS
 from triagelake.operators.splits import require_split
 
-BLOCK_ROWS = 4_000
-PLACES = 6
-BELOW_ONE = 1.0 - 10**-PLACES
-
 
 def template_text(ids: Column) -> Column:
     return F.array_join(F.transform(ids, lambda t: F.when(t >= 0, F.concat(F.lit("template_"), t)).otherwise(F.lit("template_unknown"))), " ")
@@ -83,54 +79,24 @@ def sparse_vectors(df: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     return out.withColumn("direction", F.sha2(F.to_json("vec"), 256))
 
 
-def _sparse_matrix(vectors: pd.Series, index: dict[str, int]) -> np.ndarray:
-    out = np.zeros((len(vectors), len(index)))
-    for i, v in enumerate(vectors):
-        for e in v:
-            j = index.get(e["token"])
-            if j is not None:
-                out[i, j] = e["weight"]
-    return out
-
-
-def _sparse_similarity(q: pd.Series, c: pd.Series) -> np.ndarray:
-    index = {t: i for i, t in enumerate(sorted({e["token"] for v in q for e in v}))}
-    return _sparse_matrix(q, index) @ _sparse_matrix(c, index).T
-
-
-def _dense_similarity(q: pd.Series, c: pd.Series) -> np.ndarray:
-    def unit(v: pd.Series) -> np.ndarray:
-        m = np.stack(v.to_numpy()).astype(float)
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-
-    return unit(q) @ unit(c).T
-
-
-def _block_kernel(keep: int, similarity: Callable[[pd.Series, pd.Series], np.ndarray], keyed: bool):
-    """Top ``keep`` of one block pair. ``keyed``: keys name directions, so equal keys mean cosine 1."""
+def _block_kernel(keep: int, sparse: bool):
+    """Top ``keep`` of one block pair. Sparse keys name directions, so equal keys mean cosine 1."""
 
     def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = {"dataset": [], "qkey": [], "ckey": [], "first_chunk": [], "sim": []}
         if len(q) and len(c):
-            c = c.sort_values("first_chunk")
-            ckeys, chunks = c["ckey"].to_numpy(), c["first_chunk"].to_numpy()
-            for lo in range(0, len(q), 256):
-                part = q.iloc[lo : lo + 256]
-                sims = np.clip(np.round(similarity(part["vec"], c["vec"]), PLACES), -1.0, 1.0)
-                if keyed:
-                    # an empty vector is like nothing, not even another empty one
-                    held = part["vec"].map(len).to_numpy()[:, None] > 0
-                    sims = np.where(held & (part["qkey"].to_numpy()[:, None] == ckeys[None, :]), 1.0, np.minimum(sims, BELOW_ONE))
-                # columns are in chunk order, so a stable sort breaks ties by chunk id
-                best = np.argsort(-sims, axis=1, kind="stable")[:, :keep]
-                for i, cols in enumerate(best):
-                    out["dataset"] += [part["dataset"].iloc[i]] * len(cols)
-                    out["qkey"] += [part["qkey"].iloc[i]] * len(cols)
-                    out["ckey"] += list(ckeys[cols])
-                    out["first_chunk"] += list(chunks[cols])
-                    out["sim"] += list(sims[i, cols])
-        return pd.DataFrame(out)
+            c = c.sort_values("first_chunk").reset_index(drop=True)
+            ckeys, chunks, rank = c["ckey"].to_numpy(), c["first_chunk"].to_numpy(), np.arange(len(c))
+            for lo in range(0, len(q), cells.PART):
+                part = q.iloc[lo : lo + cells.PART]
+                best, sims = cells.best_of_part(part, c, rank, keep, sparse, sparse)
+                k = best.shape[1]
+                out["dataset"].append(np.repeat(part["dataset"].to_numpy(), k))
+                out["qkey"].append(np.repeat(part["qkey"].to_numpy(), k))
+                out["ckey"].append(ckeys[best].ravel())
+                out["first_chunk"].append(chunks[best].ravel())
+                out["sim"].append(sims.ravel())
+        return cells.frame(out)
 
     return run
 
@@ -141,14 +107,18 @@ def _block(df: DataFrame, key: str, own: str, other: str, own_blocks: int, other
 
 
 def blocked_top_k(queries: DataFrame, corpus: DataFrame, keep: int, sparse: bool = True) -> DataFrame:
-    """(dataset, qkey, ckey, sim): the ``keep`` most similar keys per query key of the same dataset."""
-    nq, nc = queries.count(), corpus.count()
-    qb, cb = max(1, -(-nq // BLOCK_ROWS)), max(1, -(-nc // BLOCK_ROWS))
-    q = _block(queries, "qkey", "qb", "cb", qb, cb)
-    c = _block(corpus, "ckey", "cb", "qb", cb, qb)
-    kernel = _block_kernel(keep, _sparse_similarity if sparse else _dense_similarity, sparse)
+    """(dataset, qkey, ckey, sim): the ``keep`` most similar keys per query key of the same dataset.
+
+    A corpus of at most BLOCK_ROWS keys is one block, which all queries are compared with. A larger one is
+    cut into pivot cells, and only those that can hold a neighbour are compared; the rows are the same.
+    """
+    if corpus.limit(BLOCK_ROWS + 1).count() > BLOCK_ROWS:
+        return cells.cell_top_k(queries, corpus, keep, sparse).drop("compared")
+    qb = max(1, -(-queries.count() // BLOCK_ROWS))
+    q = _block(cells.vectors(queries, sparse), "qkey", "qb", "cb", qb, 1)
+    c = _block(cells.vectors(corpus, sparse), "ckey", "cb", "qb", 1, qb)
     local = q.groupBy("dataset", "qb", "cb").cogroup(c.groupBy("dataset", "qb", "cb")).applyInPandas(
-        kernel, "dataset string, qkey string, ckey string, first_chunk string, sim double"
+        _block_kernel(keep, sparse), "dataset string, qkey string, ckey string, first_chunk string, sim double"
     )
     rank = F.row_number().over(Window.partitionBy("dataset", "qkey").orderBy(F.desc("sim"), "first_chunk"))
     return local.withColumn("_r", rank).filter(F.col("_r") <= keep).select("dataset", "qkey", "ckey", "sim")
