@@ -8,7 +8,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from triagelake.llm.common import only
+from triagelake.llm.common import only, write_stage
 
 #: fixed values: the filters of the query, by letter
 FILTERS = "ABCDE"
@@ -113,6 +113,7 @@ def interaction_audit(counts: DataFrame, filters: str = FILTERS) -> DataFrame:
     that passes it. ``shapley`` is what the step's filter removes, summed over all orders: its edges'
     removals weighted by the orders through them. No documents: no parts, no rows.
     """
+    counts, _ = write_stage(counts, "failure-counts")  # read twice: by the steps and by the values
     edges = _edge_sums(counts, filters)
     shapley = edges.groupBy("part", "bit").agg(F.sum(F.col("orders") * F.col("removed")).alias("shapley"))
     steps = edges.join(F.broadcast(order_steps(counts.sparkSession, filters)), ["before", "bit"]).join(shapley, ["part", "bit"])
