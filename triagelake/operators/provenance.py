@@ -50,17 +50,23 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
 
 
 def resolve_sources(items: DataFrame, windows: DataFrame, on: str = "source_window_id") -> DataFrame:
-    """Join each item with its TRAIN window; no window gives NULL columns. Hashes only the matches."""
+    """Join each item with its TRAIN window; no window gives NULL columns. Hashes only the matches.
+
+    Windows hold their content as bounded arrays, or, as sessions do, its ``source_hash`` and ``template_hash``.
+    """
+    hashed = {"source_hash", "template_hash"} <= set(windows.columns)
+    content = ("source_hash", "template_hash") if hashed else ("raw_messages", "template_ids")
     src = windows.filter(F.col("split") == "train").select(
         F.col("dataset").alias("_d"), F.col("window_id").alias("_w"), F.col("first_line").alias("line_start"), F.col("last_line").alias("line_end"),
-        F.col("record_count").alias("source_records"), "raw_messages", "template_ids",
+        F.col("record_count").alias("source_records"), *[F.col(c).alias(f"_{c}") for c in content],
     )
     out = items.join(src, (items["dataset"] == src["_d"]) & (items[on] == src["_w"]), "left")
+    now = (F.col("_source_hash"), F.col("_template_hash")) if hashed else (source_hash(F.col("_raw_messages")), text_hash(template_text(F.col("_template_ids"))))
     return (
         out.withColumn("resolved", F.col("_w").isNotNull())
-        .withColumn("now_source_hash", F.when(F.col("resolved"), source_hash(F.col("raw_messages"))))
-        .withColumn("now_template_hash", F.when(F.col("resolved"), text_hash(template_text(F.col("template_ids")))))
-        .drop("_d", "_w", "raw_messages", "template_ids")
+        .withColumn("now_source_hash", F.when(F.col("resolved"), now[0]))
+        .withColumn("now_template_hash", F.when(F.col("resolved"), now[1]))
+        .drop("_d", "_w", *[f"_{c}" for c in content])
     )
 
 

@@ -49,10 +49,11 @@ def token_counts(df: DataFrame, key: str) -> DataFrame:
     return rows.groupBy("dataset", key, "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def fit_idf(corpus: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Smoothed inverse document frequency per token: ln((1+n)/(1+df)) + 1."""
+def fit_idf(corpus: DataFrame, key: str = "chunk_id", counts: DataFrame | None = None) -> DataFrame:
+    """Smoothed inverse document frequency per token: ln((1+n)/(1+df)) + 1. ``counts`` stands for the texts."""
     n = corpus.count()
-    df = token_counts(corpus, key).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    counts = token_counts(corpus, key) if counts is None else counts
+    df = counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     return pin_small(df.select("token", "df", (F.log(F.lit(1.0 + n) / (F.col("df") + 1)) + 1).alias("idf")))
 
 
@@ -69,9 +70,12 @@ def tfidf_weights(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     return raw.select("dataset", key, "token", (F.col("w") / norm).alias("weight"))
 
 
-def sparse_vectors(df: DataFrame, idf: DataFrame, key: str) -> DataFrame:
-    """One row per item: ordered (token, weight) vector and its direction id; may be empty."""
-    w = tfidf_weights(token_counts(df, key), idf, key)
+def sparse_vectors(df: DataFrame, idf: DataFrame, key: str, counts: DataFrame | None = None) -> DataFrame:
+    """One row per item: ordered (token, weight) vector and its direction id; may be empty.
+
+    ``counts`` (dataset, key, token, tf) stands for the texts where items have none.
+    """
+    w = tfidf_weights(token_counts(df, key) if counts is None else counts, idf, key)
     entry = F.struct("token", F.round("weight", 9).alias("weight"))
     vec = w.groupBy("dataset", key).agg(F.array_sort(F.collect_list(entry)).alias("vec"))
     empty = F.array().cast("array<struct<token:string,weight:double>>")
@@ -143,14 +147,19 @@ def top_k(queries: DataFrame, corpus: DataFrame, idf: DataFrame, k: int = 5, exc
 
     Similarity is the cosine at 6 places; only parallel vectors reach 1. Rows of similarity 0 count.
     """
-    if k <= 0:
-        return queries.limit(0).select("dataset", "query_id", F.lit(0).alias("rank"), F.lit(0.0).alias("similarity"), F.lit("").alias("chunk_id"), F.lit("").alias("source_window_id"))
-    keep = k + 1
     cvec = sparse_vectors(corpus.select("dataset", "chunk_id", "source_window_id", "text"), idf, "chunk_id").join(
         corpus.select("dataset", "chunk_id", "source_window_id"), ["dataset", "chunk_id"]
     )
-    dirs = materialize(_directions(cvec, keep), "directions")
-    qvec = materialize(sparse_vectors(queries, idf, "query_id"), "queries")
+    return top_k_vectors(sparse_vectors(queries, idf, "query_id"), cvec, k, exclude_self)
+
+
+def top_k_vectors(queries: DataFrame, corpus: DataFrame, k: int = 5, exclude_self: bool = True) -> DataFrame:
+    """:func:`top_k` over (dataset, query_id, vec, direction) and (dataset, chunk_id, source_window_id, vec, direction)."""
+    if k <= 0:
+        return queries.limit(0).select("dataset", "query_id", F.lit(0).alias("rank"), F.lit(0.0).alias("similarity"), F.lit("").alias("chunk_id"), F.lit("").alias("source_window_id"))
+    keep = k + 1
+    dirs = materialize(_directions(corpus, keep), "directions")
+    qvec = materialize(queries, "queries")
     qdirs = qvec.groupBy("dataset", F.col("direction").alias("qkey")).agg(F.first("vec").alias("vec"))
     full = dirs.filter((F.col("held") >= keep) & (F.size("vec") > 0)).select("dataset", F.col("ckey").alias("qkey"))
     exact = qdirs.join(full, ["dataset", "qkey"], "left_semi").select("dataset", "qkey", F.col("qkey").alias("ckey"), F.lit(1.0).alias("sim"))

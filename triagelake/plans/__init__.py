@@ -1,5 +1,5 @@
 """Composed queries by family; each module holds QUERIES and the SQL to check them."""
 
-from triagelake.plans import audit, chain, evidence, ingest, live, reason, scoring
+from triagelake.plans import audit, chain, evidence, ingest, live, reason, scoring, sessions
 
-FAMILIES = (ingest, chain, scoring, evidence, reason, audit, live)
+FAMILIES = (ingest, chain, scoring, evidence, reason, sessions, audit, live)

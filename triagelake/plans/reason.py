@@ -17,8 +17,9 @@ from triagelake.sources import tables
 def incidents(e: dict[str, DataFrame], bundles: DataFrame) -> DataFrame:
     """Gated windows in the shape the reasoning stage wants; a cleared window has no bundle."""
     b = bundles.select("dataset", F.col("query_id").alias("window_id"), "bundle_id", "citations", F.col("dataset").alias("bundle_dataset"), F.col("split").alias("bundle_split"), "all_verified")
+    distinct = F.col("unique_templates") if "unique_templates" in e["gated"].columns else F.size(F.array_distinct("template_ids"))
     g = e["gated"].select(
-        "dataset", "split", "window_id", "session_id", "record_count", F.size(F.array_distinct("template_ids")).alias("unique_templates"), "has_unknown_template",
+        "dataset", "split", "window_id", "session_id", "record_count", distinct.alias("unique_templates"), "has_unknown_template",
         "start_time", "end_time", F.col("b2_score").alias("anomaly_score"), F.col("score").alias("b0_score"), "decision",
     )
     return g.join(b, ["dataset", "window_id"], "left")

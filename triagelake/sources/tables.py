@@ -43,6 +43,13 @@ def event_day_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.withColumn("session_id", F.concat_ws(":", "session_id", day))
 
 
+def event_sessions(spark: SparkSession, sf_dir: str, days: int) -> DataFrame:
+    """Event records keyed by user and span of ``days`` days: sessions of a dozen records and more."""
+    r = event_records(spark, sf_dir)
+    span = F.floor(F.col("timestamp") / F.lit(86_400 * days)).cast("string")
+    return r.withColumn("session_id", F.concat_ws(":", "session_id", span))
+
+
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` printed as header-plus-content log lines.
 
