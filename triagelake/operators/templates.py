@@ -1,8 +1,8 @@
 """Order-free template mining and frozen matching.
 
 Mining works on distinct masked shapes, never on lines: lines collapse map-side by shape, variable
-positions become wildcards by group-by, and the remaining shapes of one bucket are merged by one
-task. The result does not depend on line order or partitioning.
+positions become wildcards by group-by, and the remaining shapes of one bucket are merged, those of a
+large bucket over many tasks. The result does not depend on line order or partitioning.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from triagelake.functions.scale import materialize, pin_small, running_totals
 from triagelake.functions.text import SESSION_LOG_MASKS, WILDCARD, mask, words
 
 UNKNOWN_TEXT = "UNKNOWN"
-#: no longer read: buckets of every size are merged by one rule. The name stays for those who set it
-MAX_SHAPES_PER_BUCKET = 2_000
+#: up to this many more positions than must agree, shapes are linked by pairs of tokens
+PAIRED = 24
+#: a bucket of more shapes than this is cut into parts that can't influence one another; same templates either way
+ONE_TASK_SHAPES = 2_000
 
 
 def shape_tokens(content: Column, masks: Sequence[str] = SESSION_LOG_MASKS) -> Column:
@@ -28,9 +30,9 @@ def shape_tokens(content: Column, masks: Sequence[str] = SESSION_LOG_MASKS) -> C
 
 
 def _merge_sorted(sim_th: float):
-    """Merge the shapes of each bucket, biggest first, into the most similar template so far.
+    """Merge the shapes of each part of a bucket, biggest first, into the most similar template so far.
 
-    The rows come sorted by bucket; only the templates of one bucket are held, never its shapes.
+    The rows come sorted by part; only the templates of one part are held, never its shapes.
     """
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -41,11 +43,11 @@ def _merge_sorted(sim_th: float):
             return pd.DataFrame({"template": [" ".join(names[c] for c in m) for m in merged[:used]], "size": totals})
 
         for pdf in batches:
-            for first, tokens, size in zip(pdf["first"], pdf["tokens"], pdf["size"], strict=True):
-                if (len(tokens), first) != bucket:
+            for first, part, tokens, size in zip(pdf["first"], pdf["part"], pdf["tokens"], pdf["size"], strict=True):
+                if (len(tokens), first, part) != bucket:
                     if used:
                         yield done()
-                    bucket, codes, merged, totals, used = (len(tokens), first), {WILDCARD: 0}, np.empty((16, len(tokens)), dtype=np.int64), [], 0
+                    bucket, codes, merged, totals, used = (len(tokens), first, part), {WILDCARD: 0}, np.empty((16, len(tokens)), dtype=np.int64), [], 0
                 row = np.array([codes.get(t, -1) for t in tokens], dtype=np.int64)  # -1: in no template so far
                 same = ((merged[:used] == row) & (merged[:used] != 0)).mean(axis=1) if used else np.array([])
                 if used and same.max() >= sim_th:
@@ -75,8 +77,9 @@ def mine_templates(
 
     Shapes are bucketed by (token count, first token); each bucket is merged on its own, so the lines
     of one bucket never change the templates of another. The rule is the same at every size: the shapes
-    of a bucket pass one by one, so a task holds templates only, but a bucket is the work of one task,
-    of (its shapes) x (its templates) comparisons. With ``max_children`` (a setting of the
+    pass one by one, biggest first, so a task holds templates only. A bucket of more than
+    ONE_TASK_SHAPES shapes is cut into parts whose shapes can't meet (``independent_parts``), each the
+    work of one task, to the same templates. With ``max_children`` (a setting of the
     usual miners), positions of a bucket with more different tokens than that become wildcards first,
     and so does the first token of all but the most frequent such buckets of a length.
     """
@@ -86,12 +89,70 @@ def mine_templates(
     shapes = materialize(shapes, "shapes")
     if max_children is not None:
         shapes = materialize(_limit_children(shapes, max_children), "shapes")
-    ordered = shapes.select("len", "first", "tokens", "size").repartition("len", "first").sortWithinPartitions("len", "first", F.desc("size"), F.array_join("tokens", " "))
+    parts = independent_parts(shapes, sim_th).select("len", "first", "part", "tokens", "size")
+    ordered = parts.repartition("len", "first", "part").sortWithinPartitions("len", "first", "part", F.desc("size"), F.array_join("tokens", " "))
     merged = ordered.mapInPandas(_merge_sorted(sim_th), "template string, size long")
     distinct = materialize(merged.groupBy("template").agg(F.sum("size").alias("size"), F.lit(1).alias("one")), "templates")
     return with_stable_ids(distinct)
 
 
+def independent_parts(shapes: DataFrame, sim_th: float = 0.5) -> DataFrame:
+    """Add ``part``: shapes of one bucket in different parts can't become one template.
+
+    A shape joins a template only if it agrees with it at sim_th of the positions or more, and a template's tokens
+    are those of all its members. So two shapes that agree at fewer positions never meet, and shapes linked
+    by no chain of such pairs may be merged apart. Pairs aren't listed: ordered by how rare their
+    tokens are in the bucket, two shapes that agree at h positions agree at one of the first w - h + 1
+    of the w fixed ones, and at two of the first w - h + 2. All shapes that share two such (position, token)
+    entries are linked; lines so long that the pairs would be many (PAIRED) by one. That links more than
+    need be, never less. Buckets of up to ONE_TASK_SHAPES shapes are one part.
+    """
+    by = ("len", "first")
+    sizes = pin_small(shapes.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > ONE_TASK_SHAPES).select(*by, F.lit(True).alias("_big")))
+    if sizes.isEmpty():
+        return shapes.withColumn("part", F.lit(0).cast("long"))
+    marked = shapes.join(sizes, list(by), "left")
+    big = materialize(marked.filter("_big").drop("_big").withColumn("id", F.xxhash64("tokens")), "large-buckets")
+    # the first token is the same all over a bucket, so it counts for every pair
+    need = F.ceil(F.col("len") * F.lit(sim_th)) - (F.col("first") != WILDCARD).cast("int")
+    fixed = big.select(*by, "id", need.alias("need"), F.posexplode("tokens").alias("pos", "token")).filter((F.col("pos") > 0) & (F.col("token") != WILDCARD))
+    rarity = fixed.groupBy(*by, "pos", "token").agg(F.count(F.lit(1)).alias("df"))
+    entry = F.struct("df", "pos", "token")
+    sets = fixed.join(rarity, [*by, "pos", "token"]).groupBy(*by, "id", "need").agg(F.array_sort(F.collect_list(entry)).alias("s"))
+    paired = (F.col("need") >= 2) & (F.col("len") - F.col("need") <= PAIRED)
+    several = F.filter("s", lambda e: e["df"] > 1)  # what only one shape has links nothing
+    spare = F.size("s") - F.col("need") + F.when(paired, 2).otherwise(1) - (F.size("s") - F.size(several))
+    prefix = F.slice(several, F.lit(1), F.greatest(spare, F.lit(0)).cast("int"))
+    code = F.transform(prefix, lambda e: F.xxhash64(*by, e["pos"], e["token"]))
+    pairs = F.flatten(F.transform("p", lambda x, i: F.transform(F.slice("p", i + 2, F.greatest(F.size("p") - i - 1, F.lit(0))), lambda y: F.xxhash64(x, y))))
+    keys = sets.filter(F.col("need") > 0).select("id", paired.alias("two"), code.alias("p"))
+    keys = keys.select("id", F.explode(F.when(F.col("two"), pairs).otherwise(F.col("p"))).alias("key"))
+    # where the first token alone is enough, the whole bucket is linked
+    whole = big.filter(need <= 0).select("id", F.xxhash64(*by).alias("key"))
+    labels = linked(materialize(keys.unionByName(whole), "shape-keys"))
+    parted = big.join(labels, "id", "left").withColumn("part", F.coalesce("label", "id")).drop("id", "label")
+    return marked.filter(F.col("_big").isNull()).drop("_big").withColumn("part", F.lit(0).cast("long")).unionByName(parted)
+
+
+def linked(members: DataFrame) -> DataFrame:
+    """(id, label) of (id, key): ids with a common key, and those linked through others, have one label.
+
+    Each round a key takes the least label of its ids, an id the least of its keys, and then the label of its
+    label, so chains halve. Rounds are written tables; they end when no label changes.
+    """
+    labels = materialize(members.select("id").distinct().withColumn("label", F.col("id")), "labels")
+    while True:
+        low = members.join(labels, "id").groupBy("key").agg(F.min("label").alias("low"))
+        least = members.join(low, "key").groupBy("id").agg(F.min("low").alias("low"))
+        hop = labels.select(F.col("id").alias("low"), F.col("label").alias("_next"))
+        now = labels.join(least, "id").join(hop, "low", "left")
+        now = now.select("id", F.least("label", "low", F.coalesce("_next", "low")).alias("new"), "label")
+        now = materialize(now, "labels")
+        if now.filter(F.col("new") < F.col("label")).isEmpty():
+            return now.select("id", F.col("new").alias("label"))
+        labels = now.select("id", F.col("new").alias("label"))
+
+
 def _limit_children(shapes: DataFrame, most: int) -> DataFrame:
     """Wildcards for the first tokens of a length beyond the ``most`` most frequent, and wide positions."""
     firsts = shapes.groupBy("len", "first").agg(F.sum("size").alias("s"))
