@@ -20,6 +20,10 @@ from triagelake.llm.common import prepared, texts, write_stage
 RANKS_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: fixed value: the split pattern of that vocabulary
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: fixed value: what \s means in that pattern
+_BLANK_RUN = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}"
+#: runs of blanks from this length on are encoded on their own: the pattern's look-ahead can't pass long ones
+LONG_BLANKS = 10_000
 SEPARATOR = 50256
 BLOCK_TOKENS = 1 << 20
 
@@ -29,6 +33,21 @@ def _store(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "/", folder))
 
 
+def encode_text(enc: tiktoken.Encoding, text: str, long_blanks: int = LONG_BLANKS) -> list[int]:
+    """Tokens of a text of any kind, the same as the encoder's own.
+
+    A run of blanks always begins a piece of the pattern. All of it is one piece at the end of a text; elsewhere
+    its last blank belongs to what follows. So a long run is cut out, encoded as the piece it is, and the rest as usual.
+    """
+    out, at = [], 0
+    for m in re.finditer(_BLANK_RUN % long_blanks, text):
+        stop = m.end() if m.end() == len(text) else m.end() - 1
+        out += enc.encode_ordinary(text[at : m.start()])
+        out += enc._encode_single_piece(text[m.start() : stop]) if stop > m.start() else []
+        at = stop
+    return out + enc.encode_ordinary(text[at:]) if at else enc.encode_ordinary(text)
+
+
 def write_token_files(docs: DataFrame, folder: str, ranks_path: str = RANKS_PATH, separator: int = SEPARATOR, dtype: str = "<u2") -> DataFrame:
     """Encode every text and write flat token files; (file, ordinal, doc_id) of what they hold.
 
@@ -51,7 +70,7 @@ def write_token_files(docs: DataFrame, folder: str, ranks_path: str = RANKS_PATH
         with store.open_output_stream(f"{root}/{name}") as out:
             for b in batches:
                 for t in texts(b):
-                    out.write(np.asarray(enc.encode_ordinary(t), dtype=dtype).tobytes())
+                    out.write(np.asarray(encode_text(enc, t), dtype=dtype).tobytes())
                     out.write(end)
                 n = b.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(range(at, at + n), pa.int64()), b.column("doc_id")], ["file", "ordinal", "doc_id"])
