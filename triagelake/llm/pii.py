@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -19,7 +20,8 @@ ACCOUNT_CUES = ("iban", "account", "acct", "konto", "cuenta", "compte")
 SECRET_CUES = ("token", "api_key", "apikey", "api-key", "secret", "password", "passwd")
 ACCOUNT_MIN, ACCOUNT_MAX = 8, 34
 SECRET_MIN = 8
-#: letters and digits between a cue and its value are at most this many other words
+#: fixed values: words that may stand between an account cue and its number
+_JOINED = re.compile(r"(?:[ \t:=#\"']{0,5}\b(?:numbers?|no|nr|num|numero|nummer|is|ist|es|est)\b\.?){0,2}[ \t:=#\"']{0,5}")
 _ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 _DIGITS = frozenset("0123456789")
 _LOCAL = _ALNUM | frozenset("._%+-")
@@ -114,30 +116,48 @@ def phone_at(text: str, at: int) -> int | None:
     return end if end > at + 3 and text[end - 1] in _DIGITS else None
 
 
-def _value(text: str, at: int, allowed: frozenset, stop: int) -> tuple[int, int] | None:
-    """The identifier after a cue: blanks, one of ``:=#`` and quotes may stand between."""
+def _value_start(text: str, at: int) -> int:
+    """Where the identifier after a cue begins: blanks, one of ``:=#`` and quotes may stand between."""
     end = min(len(text), at + 6)
     while at < end and text[at] in " \t:=#\"'":
         at += 1
-    last = at
-    while last < len(text) and last - at < stop and text[last] in allowed:
-        last += 1
-    return (at, last) if last > at else None
+    return at
 
 
-def _account(text: str, at: int) -> tuple[int, int] | None:
-    """Letters and digits, in groups parted by one space if they look like an IBAN."""
-    got = _value(text, at, _ALNUM, ACCOUNT_MAX)
-    if got is None:
-        return None
-    start, end = got
+def iban_valid(code: str) -> bool:
+    """Remainder 1 modulo 97, the first four characters moved to the end, letters as 10 to 35."""
+    return code.isascii() and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
+
+
+def _account(text: str, low: str, at: int, cue: str) -> tuple[int, int] | None:
+    """Letters and digits after an account cue; an IBAN, in either case, also in groups parted by one space.
+
+    What looks like an IBAN after its own cue must have the right check digits. Joining words (number, no, is)
+    may stand between.
+    """
+    start = _JOINED.match(low, at).end()
+    end = start
+    while end < len(text) and end - start < ACCOUNT_MAX and text[end] in _ALNUM:
+        end += 1
     head = text[start : start + 4]
-    if head[:2].isalpha() and head[:2].isupper() and head[2:].isdigit():
-        while end + 1 < len(text) and text[end] == " " and text[end + 1] in _ALNUM and not text[end + 1].islower() and end - start < ACCOUNT_MAX + 8:
-            end = _run(text, end + 1, _ALNUM)
-    body = text[start:end]
-    plain = body.replace(" ", "")
-    return (start, end) if ACCOUNT_MIN <= len(plain) <= ACCOUNT_MAX and 2 * sum(map(str.isdigit, plain)) >= len(plain) else None
+    if len(head) == 4 and head[:2].isalpha() and head[2:].isdigit() and head.isascii():
+        stop, best = end, None
+        while True:
+            code = text[start:stop].replace(" ", "")
+            if 15 <= len(code) <= ACCOUNT_MAX and iban_valid(code):
+                best = stop
+            if stop + 1 >= len(text) or text[stop] != " " or text[stop + 1] not in _ALNUM or len(code) > ACCOUNT_MAX:
+                break
+            stop += 1
+            group = stop
+            while stop < len(text) and stop - group <= ACCOUNT_MAX and text[stop] in _ALNUM:
+                stop += 1
+        if best:
+            return start, best
+        if cue == "iban":
+            return None
+    size = end - start
+    return (start, end) if ACCOUNT_MIN <= size <= ACCOUNT_MAX and 2 * sum(map(str.isdigit, text[start:end])) >= size else None
 
 
 def find_spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
@@ -154,6 +174,7 @@ def find_spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int
         if valid:
             found.append((start, end, kind))
 
+    barren = 0  # before this ends a run of key characters without a digit that was looked at
     in_run = -1  # digits before this are part of a run that was looked at
     for last, (kind, size) in anchors.iter(low):
         at = last - size + 1
@@ -178,23 +199,30 @@ def find_spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int
                 if got:
                     take("ip", at, *got)
         elif kind == "url":
+            if at < floor["url"]:
+                continue
             end = _run(text, last + 1, _URL)
             while end > last + 1 and text[end - 1] in ".,;:!?'()":
                 end -= 1
-            if end > last + 1 and at >= floor["url"]:
+            if end > last + 1:
                 take("url", at, end)
         else:
             # a cue is a word of its own
             if (at > 0 and low[at - 1].isalnum()) or (last + 1 < len(low) and low[last + 1].isalnum()):
                 continue
             if kind == "account":
-                got = _account(text, last + 1)
-            else:
-                got = _value(text, last + 1, _KEY, len(text))
-                if got and not (got[1] - got[0] >= SECRET_MIN and any(c in _DIGITS for c in text[got[0] : got[1]])):
-                    got = None
-            if got and got[0] >= floor[kind]:
-                take(kind, *got)
+                got = _account(text, low, last + 1, low[at : last + 1])
+                if got and got[0] >= floor[kind]:
+                    take(kind, *got)
+                continue
+            start = _value_start(text, last + 1)
+            if start < floor[kind] or start < barren:
+                continue
+            end = _run(text, start, _KEY)
+            if not any(c in _DIGITS for c in text[start:end]):
+                barren = end
+            elif end - start >= SECRET_MIN:
+                take(kind, start, end)
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(found, key=lambda s: (s[0], order[s[2]]))
 
