@@ -129,9 +129,10 @@ def repeated_lines(docs: DataFrame, min_code_points: int = MIN_CODE_POINTS, min_
                 ids.extend([i] * len(own))
             if digests:
                 hit = np.flatnonzero(_test(twice, _positions(digests, size)))
-                yield pa.RecordBatch.from_arrays([pa.array([digests[j] for j in hit], pa.binary()), pa.array([ids[j] for j in hit], pa.int64())], ["key", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array([digests[j] for j in hit], pa.binary()), pa.array([ids[j] for j in hit], b.schema.field("doc_id").type)], ["key", "doc_id"])
 
-    found, _ = write_stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(suspects, "key binary, doc_id long").distinct(), "line-suspects")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found, _ = write_stage(docs.select("doc_id", "text").mapInArrow(suspects, f"key binary, doc_id {kind}").distinct(), "line-suspects")
     # written first, so that both sides of the join are shuffled for it and a hot key is split
     counted, _ = write_stage(found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_documents).select("key", "keeper"), "repeated-lines")
     loses = found.join(counted, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
@@ -144,18 +145,23 @@ def dedup_lines(docs: DataFrame, min_code_points: int = MIN_CODE_POINTS, min_doc
     A key of at least ``min_code_points`` code points found in at least ``min_documents`` documents
     loses all its lines except those of the largest doc_id that holds it. A null text is one empty
     line. Rows with the same doc_id count as one document; a null doc_id is one document, smaller
-    than all others. Columns of the input named n_lines or n_dropped are replaced.
+    than all others. ``doc_id`` may have any type that can be ordered. Columns of the input named n_lines or
+    n_dropped, in whatever case, are replaced; others stay.
     """
     prepared(docs.sparkSession)
-    drops = repeated_lines(docs, min_code_points, min_documents, bits).select(F.col("doc_id").alias("_drop_id"), F.col("drop").alias("_drop"))
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    rows = docs.select(*[f"`{c}`" for c in kept])
-    rows = rows.join(drops, rows["doc_id"].cast("long").eqNullSafe(drops["_drop_id"]), "left").drop("_drop_id")
+    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    # the input travels as one struct, so no name of its columns meets one of the operator's
+    drops = repeated_lines(docs, min_code_points, min_documents, bits).select(F.col("doc_id").alias("id"), "drop")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
+    joined = held.join(drops, F.col("row.doc_id").eqNullSafe(F.col("id")), "left")
+    rows = joined.select("drop", "row")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for held in batches:
+            row = held.column("row")
+            b = pa.RecordBatch.from_arrays(row.flatten(), kept)
             out, total, lost = [], [], []
-            for t, d in zip(texts(b), b.column("_drop").to_pylist(), strict=True):
+            for t, d in zip(texts(b), held.column("drop").to_pylist(), strict=True):
                 if d:
                     gone = set(d)
                     lines = list(line_keys(t, min_code_points))
