@@ -388,6 +388,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     # of equal doc_ids the least key; a class of null ids alone has a null class_id, so its keys decide
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
     winner = classes.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("key")).alias("_alone")).agg(F.min(order).alias("w")).select(F.col("w.doc_id").alias("_id"), F.col("w.key").alias("_key"))
-    keyed = docs.withColumn("_nd_key", text_key(F.col("text")))
-    kept = keyed.join(winner, (keyed["_nd_key"] == winner["_key"]) & keyed["doc_id"].eqNullSafe(winner["_id"]))
-    return kept.dropDuplicates(["_id", "_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # the input travels as one struct, so no name of its columns meets one of the operator's
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("key", text_key(F.col("row.text")))
+    kept = keyed.join(winner, (F.col("key") == F.col("_key")) & F.col("row.doc_id").eqNullSafe(F.col("_id")))
+    return kept.dropDuplicates(["_id", "_key"]).select("row.*")
