@@ -38,6 +38,7 @@ def failure_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     bits = sum((F.when(c, 1 << FILTERS.index(f)).otherwise(0) for f, c in failures(text).items()), F.lit(0))
     d = only(docs, "doc_id", "text", "lang").select("doc_id", F.coalesce("lang", F.lit("")).alias("part"), F.md5(text).alias("digest"), bits.cast("int").alias("mask"))
+    d, _ = write_stage(d, "own-failures")  # texts are read once, however the labels are joined
     said = lambda c: F.max(F.coalesce(F.col(c) == 1, F.lit(False))).alias(c)
     known = only(labels, "doc_id", "quality", "toxic").groupBy("doc_id").agg(said("quality"), said("toxic"))
     d = d.join(known, "doc_id", "left").select("doc_id", "part", "digest", "mask", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("quality", "toxic")])
