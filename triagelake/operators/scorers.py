@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triagelake.functions.scale import pin_small, running_totals
+from triagelake.operators import pca
 
 UNKNOWN_TEMPLATE = -1
 PAD_TOKEN = 0
@@ -149,9 +150,13 @@ def _dense(features: DataFrame, d: int) -> DataFrame:
 
 
 def fit_pca(train: DataFrame, d: int, variance_ratio: float | None = 0.95, n_components: int | None = None) -> dict:
-    """Mean, components and their number. Only the d x d covariance leaves the executors."""
+    """Mean, components and their number. Only the d x d covariance leaves the executors.
+
+    Beyond MAX_PCA_FEATURES no such matrix is formed: the components come from block power iteration over
+    the sparse rows (``operators/pca.py``).
+    """
     if d > MAX_PCA_FEATURES:
-        raise ValueError(f"{d} features: the covariance would have {d * d} cells, limit is {MAX_PCA_FEATURES} features")
+        return pca.fit_pca(train, d, variance_ratio, n_components)
     dense = _dense(train, d)
     model = PCA(k=d, inputCol="v", outputCol="z").fit(dense.select(array_to_vector("x").alias("v")))
     stats = dense.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.count(F.lit(1)).alias("n")).orderBy("i").collect()
@@ -168,6 +173,8 @@ def fit_pca(train: DataFrame, d: int, variance_ratio: float | None = 0.95, n_com
 
 def pca_scores(features: DataFrame, d: int, fitted: dict) -> DataFrame:
     """Squared reconstruction error |x-mu|^2 - |W'(x-mu)|^2 of each window."""
+    if d > MAX_PCA_FEATURES:
+        return pca.pca_scores(features, fitted)
     mean, w = fitted["mean"], fitted["components"]
 
     @F.pandas_udf("double")
