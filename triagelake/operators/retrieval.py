@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from triagelake.functions.scale import materialize, pin_small
+from triagelake.functions.scale import materialize, pin_small, running_totals
 from triagelake.functions.text import lower_key, sha, words
 from triagelake.operators import cells
 from triagelake.operators.cells import BLOCK_ROWS
@@ -58,9 +58,16 @@ def fit_idf(corpus: DataFrame, key: str = "chunk_id", counts: DataFrame | None =
 
 
 def vocabulary_hash(idf: DataFrame) -> DataFrame:
-    """SHA-256 over the ordered token list, folded in two levels so no row holds all tokens."""
-    parts = idf.groupBy(F.hash("token").bitwiseAND(F.lit(4095)).alias("g")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("token")), ","), 256).alias("h"))
-    return parts.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("vocabulary_hash"), F.count(F.lit(1)).alias("groups"))
+    """One row: SHA-256 over the ordered vocabulary with the index of every token, and the number of groups.
+
+    Tokens are grouped by the first three hex digits of their own hash; the digests of at most 4,096
+    groups are folded in order. So no row holds all tokens, and any engine can say the same.
+    """
+    ranked = running_totals(idf.select("token", F.lit(1).alias("one")), "token", {"rank": "one"})
+    entry = F.concat_ws(":", "token", (F.col("rank") - 1).cast("string"))
+    parts = ranked.groupBy(F.substring(F.sha2("token", 256), 1, 3).alias("g")).agg(F.array_sort(F.collect_list(F.struct("token", entry.alias("e")))).alias("t"))
+    folded = parts.select("g", F.sha2(F.array_join("t.e", ","), 256).alias("h"))
+    return folded.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct("g", "h"))).getField("h"), ","), 256).alias("vocabulary_hash"), F.count(F.lit(1)).alias("groups"))
 
 
 def tfidf_weights(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:

@@ -288,6 +288,18 @@ ORACLES = {
 WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(trim(lower(text), E' \t\n\r'), '\s+')) AS token FROM documents),
 d AS (SELECT token, count(DISTINCT doc_id) AS df FROM t WHERE token <> '' GROUP BY 1)
 SELECT token, df, round(ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (df + 1)) + 1, 6) AS idf FROM d""",
+    "vocabulary_hash": sql(WINDOWS + _TFIDF + """,
+vv AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS i FROM idf),
+vg AS (SELECT left(sha256(token), 3) AS g, sha256(string_agg(token || ':' || i, ',' ORDER BY token)) AS h FROM vv GROUP BY 1)""", "SELECT sha256(string_agg(h, ',' ORDER BY g)) AS vocabulary_hash, count(*) AS groups FROM vg"),
+    "reranking_diagnostics": sql(SELECTED + """,
+cp AS (SELECT query_id, avg(sim) AS m FROM pairs p JOIN found x USING (query_id) JOIN found y USING (query_id) WHERE p.a = x.chunk_id AND p.b = y.chunk_id AND x.rank < y.rank GROUP BY 1),
+sp AS (SELECT x.query_id, avg(sim) AS m FROM mmr x JOIN mmr y ON x.query_id = y.query_id AND x.sr < y.sr JOIN pairs p ON p.query_id = x.query_id AND p.a = x.chunk_id AND p.b = y.chunk_id GROUP BY 1),
+qs AS (SELECT query_id, round(coalesce(cp.m, 0.0::DOUBLE), 4) AS c, round(coalesce(sp.m, 0.0::DOUBLE), 4) AS s FROM (SELECT DISTINCT query_id FROM found) LEFT JOIN cp USING (query_id) LEFT JOIN sp USING (query_id)),
+sd AS (SELECT m.query_id, m.chunk_id, f.source_window_id, m.rel FROM mmr m JOIN found f USING (query_id, chunk_id))""", """
+SELECT (SELECT count(*) FROM qs) AS queries, (SELECT round(avg(c), 4) FROM qs) AS mean_candidate_pairwise_similarity, (SELECT round(avg(s), 4) FROM qs) AS mean_selected_pairwise_similarity,
+  c.*, s.*, round((c.candidate_total_chunks - c.candidate_unique_chunks) / CAST(c.candidate_total_chunks AS DOUBLE), 4) AS candidate_duplicate_rate, round((s.selected_total_chunks - s.selected_unique_chunks) / CAST(s.selected_total_chunks AS DOUBLE), 4) AS selected_duplicate_rate
+FROM (SELECT count(*) AS candidate_total_chunks, count(DISTINCT chunk_id) AS candidate_unique_chunks, count(DISTINCT source_window_id) AS candidate_unique_source_windows, round(avg(similarity), 4) AS mean_candidate_similarity FROM found) c,
+  (SELECT count(*) AS selected_total_chunks, count(DISTINCT chunk_id) AS selected_unique_chunks, count(DISTINCT source_window_id) AS selected_unique_source_windows, round(avg(rel), 4) AS mean_selected_similarity FROM sd) s"""),
     "gated_retrieval": sql(EVIDENCE, "SELECT g.window_id AS query_id, decision, rank, round(similarity, 6) AS similarity, chunk_id, source_window_id FROM gated g LEFT JOIN found f ON f.query_id = g.window_id"),
     "retrieval_diagnostics": sql(EVIDENCE, """
 SELECT (SELECT count(*) FROM gated) AS total_windows, (SELECT count(*) FROM esc) AS escalated_count, count(*) AS total_chunks, count(DISTINCT chunk_id) AS unique_chunks,

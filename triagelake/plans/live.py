@@ -11,7 +11,8 @@ from triagelake.functions.scale import materialize, scratch_dir
 from triagelake.operators import calibration as cal
 from triagelake.operators import monitoring as mon
 from triagelake.operators import parse, scorers, templates, windows
-from triagelake.plans import base
+from triagelake.operators import registry as reg
+from triagelake.plans import base, chain
 from triagelake.plans.audit import _PSI
 from triagelake.plans.base import ALPHA, RECORDS, rounded, sql
 from triagelake.plans.ingest import MASKED, _TEMPLATES
@@ -46,6 +47,24 @@ def stream_parse(spark, sf):
     return rounded(_drain(triage.parse_stream(lines, fitted, "hdfs").select("line_number", "template_id", "template")))
 
 
+def stream_parse_versions(spark, sf):
+    """Streamed lines against the latest of two registered dictionaries, both mined on early lines only.
+
+    The last tenth prints another verb, which no dictionary knows.
+    """
+    lines, _ = chain._lines(spark, sf)
+    n = lines.count()
+    run, root = uuid.uuid4().hex, scratch_dir(spark)
+    for seq, (name, share) in enumerate((("first", 0.001), ("train", 0.6)), 1):
+        early = parse.parse_lines(lines.filter(F.col("line_number") <= n * F.lit(share)), "hdfs")
+        reg.register(templates.mine_templates(early).withColumn("seq", F.lit(seq)), f"{root}/dictionaries-{run}", name)
+    late = F.col("line_number") > n * F.lit(chain.LATE_SHARE)
+    live = tables.as_lines(_file_stream(spark, sf, "events")).withColumn("raw_text", F.when(late, F.replace(F.col("raw_text"), F.lit("Handled view"), F.lit("Refused view"))).otherwise(F.col("raw_text")))
+    query = live.writeStream.foreachBatch(triage.parse_per_batch(f"{root}/dictionaries-{run}", f"{root}/parsed-{run}", "hdfs")).option("checkpointLocation", f"{root}/state-{run}").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return rounded(spark.read.parquet(f"{root}/parsed-{run}").select("line_number", (F.col("template_id") >= 0).alias("known"), "dictionary"))
+
+
 def stream_sessions(spark, sf):
     e = _file_stream(spark, sf, "events")
     s = _drain(triage.stream_session_windows(_timed(e), "6 hours", "1 hour"))
@@ -89,9 +108,11 @@ def stream_reviews(spark, sf):
     return latest.select("incident_id", "reviewer_id", "human_decision", F.col("ts.o_orderkey").alias("seq"))
 
 
-QUERIES = {f.__name__: f for f in (stream_parse, stream_sessions, stream_gate, stream_drift, stream_reviews)}
+QUERIES = {f.__name__: f for f in (stream_parse, stream_parse_versions, stream_sessions, stream_gate, stream_drift, stream_reviews)}
 
 ORACLES = {
+    "stream_parse_versions": sql(chain._LINES.strip().rstrip(","), """
+SELECT line_number, coalesce(ok AND verb IN (SELECT verb FROM lines WHERE ok AND line_number <= (SELECT count(*) FROM events) * 0.6::DOUBLE), false) AS known, CAST(2 AS BIGINT) AS dictionary FROM lines"""),
     "stream_parse": sql(MASKED + _TEMPLATES, "SELECT l.line_number, coalesce(template_id, -1) AS template_id, coalesce(template, 'UNKNOWN') AS template FROM lines l LEFT JOIN shaped s USING (line_number) LEFT JOIN tmpl ON s.masked = template"),
     "stream_sessions": sql(RECORDS + """,
 g AS (SELECT *, CASE WHEN ts_s - lag(ts_s) OVER w > 21600 THEN 1 WHEN lag(ts_s) OVER w IS NULL THEN 1 ELSE 0 END AS brk FROM rec WINDOW w AS (PARTITION BY session_id ORDER BY line_number)),

@@ -60,7 +60,7 @@ def ablation_modes(spark, sf):
 
 
 def assessment_fingerprints(spark, sf):
-    a = assessed(spark, sf).select("window_id", "final_decision", "severity", "rule_fired", "confidence")
+    a = assessed(spark, sf).select("window_id", "final_decision", "severity", "rule_fired", F.round("confidence", 6).alias("confidence"))
     return a.select("window_id", rs.row_fingerprint(a).alias("fingerprint"))
 
 
@@ -233,6 +233,8 @@ UNION ALL SELECT window_id, 'CONF-003', 'COUNT_RELEVANCE_DIVERGENCE', 'LOW' FROM
     "assessments": sql(_FULL, """
 SELECT window_id, dec AS final_decision, sev AS severity, round(conf, 6) AS confidence, agr AS agreement_score, CASE WHEN agr >= 0.8::DOUBLE THEN 'HIGH' WHEN agr >= 0.5::DOUBLE THEN 'MODERATE' WHEN agr >= 0.3::DOUBLE THEN 'LOW' ELSE 'CONFLICT' END AS agreement_level,
   rule AS rule_fired, tried AS rules_evaluated, suff AS sufficiency, 'VERIFIED' AS provenance_reason FROM ass"""),
+    "assessment_fingerprints": sql(_FULL, """
+SELECT window_id, sha256('{"confidence":' || CAST(round(conf, 6) AS VARCHAR) || ',"final_decision":"' || dec || '","rule_fired":"' || rule || '","severity":"' || sev || '","window_id":"' || window_id || '"}') AS fingerprint FROM ass"""),
     "reasoning_summary": sql(_FULL, """
 SELECT 'decision' AS measure, dec AS key, count(*) AS n FROM ass GROUP BY 2 UNION ALL SELECT 'severity', sev, count(*) FROM ass GROUP BY 2 UNION ALL SELECT 'sufficiency', suff, count(*) FROM ass GROUP BY 2
 UNION ALL SELECT 'provenance', 'VERIFIED', count(*) FROM ass UNION ALL SELECT 'rule', rule, count(*) FROM ass GROUP BY 2

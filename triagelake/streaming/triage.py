@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from triagelake.functions.scale import pin_small
 from triagelake.operators import monitoring as mon
-from triagelake.operators import parse, templates
+from triagelake.operators import parse, registry, templates
 from triagelake.operators.scorers import UNKNOWN_TEMPLATE
 from triagelake.operators.windows import fixed_window_key
 
@@ -21,6 +21,23 @@ def parse_stream(lines: DataFrame, template_table: DataFrame, dataset: str) -> D
     return templates.match_templates(parse.parse_lines(lines, dataset), template_table)
 
 
+def parse_per_batch(dictionaries: str, out_path: str, dataset: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that parses lines by the latest registered dictionary.
+
+    ``dictionaries`` is a registry of template tables, each run with a ``seq``; the highest one is read
+    anew for every micro-batch, so a dictionary fitted elsewhere is taken up without a restart. Rows name
+    their version. A batch that is run again replaces its rows.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        held = registry.registered(batch.sparkSession, dictionaries)
+        version = held.agg(F.max("seq")).first()[0]
+        found = templates.match_templates(parse.parse_lines(batch, dataset), held.filter(F.col("seq") == version).select("template_id", "template", "size"))
+        found.withColumn("dictionary", F.lit(version)).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+
+    return run
+
+
 def stream_session_windows(records: DataFrame, gap: str, delay: str, time: str = "ts") -> DataFrame:
     """Session windows per key that close after ``gap`` without a record.
 
