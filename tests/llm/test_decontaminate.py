@@ -10,33 +10,18 @@ from triagelake.llm import decontaminate as D
 
 
 def brute(docs, items, least=D.MIN_OVERLAP, most=D.MAX_SUBSTITUTED):
-    """All alignments in which a seed hits, by plain loops."""
+    """All alignments of all items, without seeds."""
     split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     out = {}
-    for d, t in docs:
-        a = split(t)
-        for i, u in items:
-            b = split(u)
-            if not b:
-                continue
-            shifts = set()
-            if len(a) < 8 or len(b) < 8:
-                if a == b:
-                    shifts.add(0)
-            else:
-                for p in range(len(a) - 7):
-                    for q in range(len(b) - 7):
-                        if any(all(a[p + j] == b[q + j] for j, c in enumerate(m) if c == "1") for m in D.MASKS):
-                            shifts.add(p - q)
-            n = min(len(b), least)
-            for s in shifts:
-                for q in range(max(0, -s), min(len(b), len(a) - s) - n + 1):
-                    k = sum(a[q + j + s] == b[q + j] for j in range(n))
-                    if k >= n - int(n * most + 1e-9):
-                        key = (k, -(q + s))
-                        if (d, i) not in out or key > out[(d, i)][0]:
-                            out[(d, i)] = (key, n)
-    return sorted((d, i, -k[1], n, k[0]) for (d, i), (k, n) in out.items())
+    for (d, t), (i, u) in itertools.product(docs, items):
+        a, b = split(t), split(u)
+        n = min(len(b), least)
+        for p in range(len(a) - n + 1) if n else ():
+            for q in range(len(b) - n + 1):
+                k = sum(x == y for x, y in zip(a[p : p + n], b[q : q + n], strict=True))
+                if k >= n - int(n * most + 1e-9):
+                    out[(d, i)] = max(out.get((d, i), (0, 1)), (k, -p))
+    return sorted((d, i, -p, min(len(split(dict(items)[i])), least), k) for (d, i), (k, p) in out.items())
 
 
 @pytest.mark.parametrize("limit", [D.BROADCAST_SEEDS, 0])
@@ -61,6 +46,8 @@ def test_overlaps_equal_brute_force(spark, limit):
     assert sorted(tuple(r) for r in got.select("doc_id", "item_id", "start", "n_tokens", "n_equal").collect()) == brute(docs, items)
     kept = D.decontaminated(df, bench, broadcast_seeds=limit)
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {d for d, _ in docs} - {r[0] for r in brute(docs, items)}
+    long_items = [(i, t) for i, t in items if len((t or "").split()) >= 8]
+    assert sorted({(r["doc_id"], r["item_id"]) for r in D.overlaps(df, bench, min_tokens=8).collect()}) == sorted({r[:2] for r in brute(docs, long_items)})
     assert D.overlaps(df.limit(0), bench).count() == 0 and D.overlaps(df, bench.limit(0)).count() == 0
 
 
@@ -78,21 +65,6 @@ def test_null_ids_and_substitutions(spark):
     assert set(got) == {None, 2} and got[None]["n_equal"] >= 11 and got[2]["start"] == 5000
 
 
-def brute_all(docs, items, least=D.MIN_OVERLAP, most=D.MAX_SUBSTITUTED):
-    """All alignments of all items, without seeds."""
-    split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
-    out = {}
-    for (d, t), (i, u) in itertools.product(docs, items):
-        a, b = split(t), split(u)
-        n = min(len(b), least)
-        for p in range(len(a) - n + 1) if n else ():
-            for q in range(len(b) - n + 1):
-                k = sum(x == y for x, y in zip(a[p : p + n], b[q : q + n], strict=True))
-                if k >= n - int(n * most + 1e-9):
-                    out[(d, i)] = max(out.get((d, i), (0, 1)), (k, -p))
-    return sorted((d, i, -p, min(len(split(dict(items)[i])), least), k) for (d, i), (k, p) in out.items())
-
-
 @pytest.mark.parametrize("limit", [D.BROADCAST_SEEDS, 0])
 def test_short_items_are_found_in_longer_texts(spark, limit):
     rng = random.Random(18)
@@ -106,8 +78,8 @@ def test_short_items_are_found_in_longer_texts(spark, limit):
                 docs.append((len(docs), " ".join(["x"] * rng.randint(0, 9) + words + ["y"] * rng.randint(0, 9))))
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = D.overlaps(df, bench, broadcast_seeds=limit, short_items=True)
-    assert sorted(tuple(r) for r in got.select("doc_id", "item_id", "start", "n_tokens", "n_equal").collect()) == brute_all(docs, items)
+    got = D.overlaps(df, bench, broadcast_seeds=limit)
+    assert sorted(tuple(r) for r in got.select("doc_id", "item_id", "start", "n_tokens", "n_equal").collect()) == brute(docs, items)
 
 
 def test_own_masks_survive_all_allowed_substitutions():

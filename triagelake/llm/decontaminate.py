@@ -69,7 +69,7 @@ def _hashed(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn(key, F.transform(tokens(F.col("text")), lambda w: F.xxhash64(w)))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = MASKS, min_overlap: int = MIN_OVERLAP, max_substituted: float = MAX_SUBSTITUTED, broadcast_seeds: int = BROADCAST_SEEDS, short_items: bool = False) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = MASKS, min_overlap: int = MIN_OVERLAP, max_substituted: float = MAX_SUBSTITUTED, broadcast_seeds: int = BROADCAST_SEEDS, short_items: bool = True, min_tokens: int = 1) -> DataFrame:
     """(doc_id, item_id, start, n_tokens, n_equal): the best overlap of each document and item.
 
     Spaced seeds of both sides are joined; each hit fixes a diagonal (position in the document less
@@ -78,10 +78,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = MASKS
     tokens counts, and is reported if at most ``max_substituted`` of it differs. ``start`` is the
     document's first token of that run, ``n_tokens`` its length and ``n_equal`` its equal tokens.
 
-    With ``short_items`` an item of fewer than ``min_overlap`` tokens is found anywhere in a text, with
-    as many substitutions as allowed: documents get seeds at each such length that the benchmark has.
-    Without it such items have the seeds of the others; one shorter than the window is then found only
-    in a text that is nothing else, and at 8 to 11 tokens some allowed substitutions are missed.
+    An item of fewer than ``min_overlap`` tokens is found anywhere in a text, with as many substitutions
+    as allowed: documents get seeds at each such length that the benchmark has. So an item of one
+    common word marks every text that has it; items of fewer than ``min_tokens`` tokens are left out.
+    Without ``short_items`` short items have the seeds of the others and are found in part only.
 
     Null and empty texts and items have no overlaps, null ids are ids like others, equal rows give
     one overlap. The seeds of the benchmark are broadcast while they are few; else they are joined by
@@ -89,7 +89,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = MASKS
     is listed twice and no pair of documents is ever formed.
     """
     spark = docs.sparkSession
-    items, _ = write_stage(_hashed(only(benchmark, "item_id", "text").distinct(), "item").select("item_id", "item").filter(F.size("item") > 0), "items")
+    items, _ = write_stage(_hashed(only(benchmark, "item_id", "text").distinct(), "item").select("item_id", "item").filter(F.size("item") >= max(1, min_tokens)), "items")
     n, lengths = F.size("item"), []
     if short_items:  # fewer than min_overlap numbers
         lengths = sorted(r[0] for r in items.filter(n < min_overlap).select(n).distinct().collect())
