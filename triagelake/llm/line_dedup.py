@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm.common import BLANK, prepared, texts, write_stage
+from triagelake.llm.common import BLANK, give_back, prepared, texts, write_stage
 
 MIN_CODE_POINTS = 20
 MIN_DOCUMENTS = 3
@@ -82,6 +82,8 @@ def twice_seen(docs: DataFrame, min_code_points: int = MIN_CODE_POINTS, bits: in
             cuts = [j for j in range(k, min(k + step * 64, len(once)), step) if once[j : j + step].any()]
             if cuts:
                 yield pa.RecordBatch.from_pydict({"slice": [j // step for j in cuts], "once": [once[j : j + step].tobytes() for j in cuts], "twice": [twice[j : j + step].tobytes() for j in cuts]})
+        del once, twice
+        give_back()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, list[np.ndarray]] = {}
@@ -97,6 +99,8 @@ def twice_seen(docs: DataFrame, min_code_points: int = MIN_CODE_POINTS, bits: in
         keys = [k for k, v in seen.items() if v[1].any()]
         if keys:
             yield pa.RecordBatch.from_pydict({"slice": keys, "twice": [seen[k][1].tobytes() for k in keys]})
+        seen.clear()
+        give_back()
 
     tasks = max(1, spark.sparkContext.defaultParallelism)
     parts = docs.select("text").coalesce(tasks).mapInArrow(build, "slice long, once binary, twice binary")
@@ -130,6 +134,7 @@ def repeated_lines(docs: DataFrame, min_code_points: int = MIN_CODE_POINTS, min_
             if digests:
                 hit = np.flatnonzero(_test(twice, _positions(digests, size)))
                 yield pa.RecordBatch.from_arrays([pa.array([digests[j] for j in hit], pa.binary()), pa.array([ids[j] for j in hit], b.schema.field("doc_id").type)], ["key", "doc_id"])
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     found, _ = write_stage(docs.select("doc_id", "text").mapInArrow(suspects, f"key binary, doc_id {kind}").distinct(), "line-suspects")
@@ -171,6 +176,7 @@ def dedup_lines(docs: DataFrame, min_code_points: int = MIN_CODE_POINTS, min_doc
                     out.append(t), total.append(t.count("\n") + 1), lost.append(0)
             cols = [pa.array(out, pa.string()) if c == "text" else b.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(lost, pa.int64())], [*kept, "n_lines", "n_dropped"])
+        give_back()
 
     fields = docs.select(*[f"`{c}`" for c in kept]).schema
     return rows.mapInArrow(rewrite, fields.add("n_lines", "long").add("n_dropped", "long"))

@@ -106,6 +106,7 @@ def inverse_frequencies(docs: DataFrame, frequent: float = FREQUENT) -> Idf:
             keep = c >= frequent / 2 * n
             if keep.any():
                 yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(c[keep].astype(np.int64))], ["h", "c"])
+        give_back()
 
     body = docs.select("text")
     left = body.mapInArrow(report, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= frequent / 2 * total).select("h")
@@ -118,6 +119,7 @@ def inverse_frequencies(docs: DataFrame, frequent: float = FREQUENT) -> Idf:
             if len(h):
                 sums += np.where(h[at] == wanted, c[at], 0)
         yield pa.RecordBatch.from_arrays([pa.array(wanted.view(np.int64)), pa.array(sums)], ["h", "c"])
+        give_back()
 
     if not len(wanted):
         return Idf(wanted, np.zeros(0), most)
@@ -242,6 +244,7 @@ class _Search:
                 h, tf, n = vectors(texts(b))
                 ids = np.repeat(b.column("id").to_numpy(), n)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids), pa.array(idf.weights(h, tf))], ["h", "id", "w"])
+            give_back()
 
         rows = self.texts.join(keys, "key").select(F.xxhash64("key").alias("id"), "text").mapInArrow(weigh, "h long, id long, w double")
         single = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.first("id").alias("id"), F.first("w").alias("w")).filter("n = 1")
