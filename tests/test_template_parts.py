@@ -27,7 +27,7 @@ def test_parts_give_the_templates_of_one_task(spark, monkeypatch):
     lines = spark.createDataFrame(random_lines(random.Random(8), 1_500), "content string").repartition(5)
     whole = mined(spark, lines)
     shapes = lines.groupBy(templates.shape_tokens(F.col("content")).alias("tokens")).agg(F.count(F.lit(1)).alias("size")).withColumn("len", F.size("tokens")).withColumn("first", F.get("tokens", F.lit(0)))
-    monkeypatch.setattr(templates, "ONE_TASK_SHAPES", 1)
+    monkeypatch.setattr(templates, "MAX_SHAPES_PER_BUCKET", 1)
     assert mined(spark, lines) == whole
     parts = templates.independent_parts(shapes)
     assert parts.count() == shapes.count()
@@ -35,7 +35,7 @@ def test_parts_give_the_templates_of_one_task(spark, monkeypatch):
 
 
 def test_shapes_that_agree_enough_share_a_part(spark, monkeypatch):
-    monkeypatch.setattr(templates, "ONE_TASK_SHAPES", 1)
+    monkeypatch.setattr(templates, "MAX_SHAPES_PER_BUCKET", 1)
     lines = spark.createDataFrame(random_lines(random.Random(9), 400), "content string")
     shapes = lines.groupBy(templates.shape_tokens(F.col("content")).alias("tokens")).agg(F.count(F.lit(1)).alias("size")).withColumn("len", F.size("tokens")).withColumn("first", F.get("tokens", F.lit(0)))
     rows = templates.independent_parts(shapes).collect()

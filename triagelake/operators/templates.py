@@ -21,7 +21,7 @@ UNKNOWN_TEXT = "UNKNOWN"
 #: up to this many more positions than must agree, shapes are linked by pairs of tokens
 PAIRED = 24
 #: a bucket of more shapes than this is cut into parts that can't influence one another; same templates either way
-ONE_TASK_SHAPES = 2_000
+MAX_SHAPES_PER_BUCKET = 2_000
 
 
 def shape_tokens(content: Column, masks: Sequence[str] = SESSION_LOG_MASKS) -> Column:
@@ -78,7 +78,7 @@ def mine_templates(
     Shapes are bucketed by (token count, first token); each bucket is merged on its own, so the lines
     of one bucket never change the templates of another. The rule is the same at every size: the shapes
     pass one by one, biggest first, so a task holds templates only. A bucket of more than
-    ONE_TASK_SHAPES shapes is cut into parts whose shapes can't meet (``independent_parts``), each the
+    MAX_SHAPES_PER_BUCKET shapes is cut into parts whose shapes can't meet (``independent_parts``), each the
     work of one task, to the same templates. With ``max_children`` (a setting of the
     usual miners), positions of a bucket with more different tokens than that become wildcards first,
     and so does the first token of all but the most frequent such buckets of a length.
@@ -105,10 +105,10 @@ def independent_parts(shapes: DataFrame, sim_th: float = 0.5) -> DataFrame:
     tokens are in the bucket, two shapes that agree at h positions agree at one of the first w - h + 1
     of the w fixed ones, and at two of the first w - h + 2. All shapes that share two such (position, token)
     entries are linked; lines so long that the pairs would be many (PAIRED) by one. That links more than
-    need be, never less. Buckets of up to ONE_TASK_SHAPES shapes are one part.
+    need be, never less. Buckets of up to MAX_SHAPES_PER_BUCKET shapes are one part.
     """
     by = ("len", "first")
-    sizes = pin_small(shapes.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > ONE_TASK_SHAPES).select(*by, F.lit(True).alias("_big")))
+    sizes = pin_small(shapes.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > MAX_SHAPES_PER_BUCKET).select(*by, F.lit(True).alias("_big")))
     if sizes.isEmpty():
         return shapes.withColumn("part", F.lit(0).cast("long"))
     marked = shapes.join(sizes, list(by), "left")
