@@ -23,6 +23,13 @@ def brute_similarity(a, b, idf):
     return both / whole if whole else 0.0
 
 
+def exact_idf(texts):
+    """1 + ln(N / df) of every shingle over the distinct texts."""
+    distinct = {t or "" for t in texts}
+    freq = Counter(s for t in distinct for s in shingles(t))
+    return lambda s: 1 + log(len(distinct) / freq[s])
+
+
 def corpus(n_groups=14, seed=3):
     rng = random.Random(seed)
     word = lambda: f"w{rng.randint(0, 5000)}"
@@ -64,11 +71,7 @@ def test_classes_equal_all_pairs(spark, seed, rounds):
     texts = corpus(seed=seed)
     rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, texts[0]) for i in range(30)] + [(2000, None), (2001, ""), (None, texts[0]), (3, texts[3]), (None, "only null ids"), (None, "only null ids")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, key int").repartition(4)
-    # texts that fill a share of the rows are left out of the frequencies; no phrase is left out here
-    n, most = len(rows), 1 - log(N.FREQUENT)
-    mass = {t for t, c in Counter(t or "" for _, t in rows).items() if c >= max(2, N.FREQUENT / 4 * n)}
-    freq = Counter(s for _, t in rows if (t or "") not in mass for s in shingles(t))
-    idf = lambda s: 1 + log(n / freq[s]) if freq[s] >= N.FREQUENT * n else most
+    idf = exact_idf([t for _, t in rows])
     want = brute_classes([t or "" for _, t in rows], idf)
     least = {}
     for i, t in rows:
@@ -95,22 +98,55 @@ def test_samples_agree_as_often_as_texts_are_similar():
         other[i] = "x"
     batch = [" ".join(words), " ".join(other), " ".join(words[:60] * 3)]
     h, tf, n = N.vectors(batch)
-    idf = N.Idf(np.zeros(0, np.uint64), np.zeros(0), 2.0)
-    drawn = N.samples(h, idf.weights(h, tf), n, 4000)
+    idf = lambda _: 1 + log(2)
+    drawn = N.samples(h, N.weights(tf, np.full(len(h), 3), 6), n, 4000)
+    df = [np.full(k, 3, np.int64).tobytes() for k in n]
     for a, b in ((0, 1), (0, 2), (1, 2)):
-        s = brute_similarity(shingles(batch[a]), shingles(batch[b]), lambda _: 2.0)
+        s = brute_similarity(shingles(batch[a]), shingles(batch[b]), idf)
         assert abs((drawn[a] == drawn[b]).mean() - s) < 0.03
-        assert abs(N.similarities([batch[a]], [batch[b]], idf)[0] - s) < 1e-9
+        assert abs(N.similarities([batch[a]], [batch[b]], [df[a], df[b]], 6)[0] - s) < 1e-9
 
 
-def test_frequencies_are_exact(spark):
+@pytest.mark.parametrize("block", [N.BLOCK_BYTES, 300])
+def test_frequencies_are_exact_for_every_shingle(spark, monkeypatch, block):
+    monkeypatch.setattr(N, "BLOCK_BYTES", block)
     rng = random.Random(1)
-    rows = [(i, " ".join(rng.choice("ab") for _ in range(rng.randint(0, 9)))) for i in range(400)]
-    idf = N.inverse_frequencies(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 0.03)
-    copies = Counter(t for _, t in rows)
-    count = Counter(s for _, t in rows if copies[t] < 3 for s in shingles(t))
-    want = sorted(1 + log(400 / c) for c in count.values() if c >= 12)
-    assert len(want) > 0 and np.allclose(sorted(idf.values), want)
+    rows = [(i, " ".join(rng.choice("ab") for _ in range(rng.randint(0, 9)))) for i in range(400)] + [(400, None), (401, "x y z")]
+    found, total = N.distinct_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    distinct = {t or "" for _, t in rows}
+    assert total == len(distinct) and {r["text"]: r["doc_id"] for r in found.collect()} == {u: min(i for i, t in rows if (t or "") == u) for u in distinct}
+    assert found.select("block").distinct().count() == 1 if block > 300 else found.select("block").distinct().count() > 5
+    got = {}
+    for r in sorted(N.document_frequencies(found).collect(), key=lambda r: (r["block"], r["slice"])):
+        got.setdefault(r["block"], []).extend(N._numbers(r["df"], np.int64))
+    for b in {r["block"] for r in found.collect()}:
+        inside = [r["text"] for r in found.filter(f"block = {b}").collect()]
+        count = Counter(s for t in distinct for s in shingles(t))
+        assert sorted(got.get(b, [])) == sorted(count[s] for s in set().union(*[shingles(t) for t in inside]))
+
+
+def test_texts_that_share_a_rare_passage_stay_apart(spark):
+    """90 shared and 10 own shingles each, in six of 700 texts: 0.77 similar, whatever share of the rows that is."""
+    shared = [f"s{i}" for i in range(94)]
+    alike = [" ".join(shared + [f"own{g}_{i}" for i in range(10)]) for g in range(6)]
+    rows = list(enumerate(alike + [" ".join(f"o{g}_{i}" for i in range(40)) for g in range(694)]))
+    sims = [brute_similarity(shingles(alike[0]), shingles(t), exact_idf([t for _, t in rows])) for t in alike[1:]]
+    assert max(sims) < 0.8
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert N.near_duplicates(df).select("class_id").distinct().count() == 700 and N.keep_one(df).count() == 700
+
+
+@pytest.mark.parametrize("many", [40, 400])
+def test_copies_do_not_change_the_weights(spark, many):
+    """Frequencies are over distinct texts, so how often a text is repeated changes no class."""
+    texts = corpus(5, seed=7)
+    rows = list(enumerate(texts)) + [(1000 + i, texts[0]) for i in range(many)]
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).filter("doc_id < 1000").collect()
+    want = brute_classes(texts, exact_idf(texts))
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(want[t], i)
+    assert {r["doc_id"]: r["class_id"] for r in got} == {i: first[want[t]] for i, t in enumerate(texts)}
 
 
 def test_components_of_chains_stars_and_loops(spark):

@@ -154,12 +154,12 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.nd
     return h, per
 
 
-def write_stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def write_stage(df: DataFrame, name: str, compression: str | None = None) -> tuple[DataFrame, str]:
     """Write a stage as Parquet into the shared folder; the table read back, and its path."""
     import uuid
 
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

@@ -17,8 +17,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: a pair at the threshold misses all bands with probability (1 - 0.8**4)**16 = 0.0002
 BANDS, ROWS = 16, 4
-#: shingles in at least this share of the texts get their own, lower, inverse document frequency
-FREQUENT = 0.01
+#: text counted, asked about and signed at once
+BLOCK_BYTES = 16 << 20
 #: times that leaders of a bucket are compared with its members before the rest is compared in pairs
 ROUNDS = 3
 GROUP = 1 << 17
@@ -37,23 +37,9 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return q, np.log(q)
 
 
-@dataclass
-class Idf:
-    """1 + ln(N / df) of the frequent shingles; all others get the largest value, that of FREQUENT."""
-
-    shingles: np.ndarray
-    values: np.ndarray
-    most: float
-
-    def of(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.shingles):
-            return np.full(len(h), self.most)
-        at = np.minimum(np.searchsorted(self.shingles, h), len(self.shingles) - 1)
-        return np.where(self.shingles[at] == h, self.values[at], self.most)
-
-    def weights(self, h: np.ndarray, times: np.ndarray) -> np.ndarray:
-        """(1 + ln times) idf: a phrase said a hundred times doesn't outweigh the rest of a text."""
-        return (1 + np.log(times)) * self.of(h)
+def weights(times: np.ndarray, df: np.ndarray, total: int) -> np.ndarray:
+    """(1 + ln times) (1 + ln(total / df)): a phrase said a hundred times doesn't outweigh the rest of a text."""
+    return (1 + np.log(times)) * (1 + np.log(total / df))
 
 
 def vectors(batch: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,64 +54,67 @@ def vectors(batch: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray,
     return h[at], np.diff(np.append(at, len(h))), np.bincount(text[at], minlength=len(batch))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], least: int = 2000) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(shingle, number of texts, texts) of blocks of a task's texts."""
-    held, n = [], 0
-    for b in batches:
-        held.append(vectors(texts(b))[0])
-        n += b.num_rows
-        if n >= least:
-            yield (*np.unique(np.concatenate(held), return_counts=True), n)
-            held, n = [], 0
-    if n:
-        yield (*np.unique(np.concatenate(held), return_counts=True), n)
+def distinct_texts(body: DataFrame) -> tuple[DataFrame, int]:
+    """(key, doc_id, text, block), one row per distinct text with its least doc_id, and their number; written.
+
+    Copies collapse in each task before the shuffle, so a text that fills a third of the rows is sent
+    once by each task. A block is a group of about BLOCK_BYTES of text, told by the key alone.
+    """
+    rows = body.select(text_key(F.col("text")).alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found, _ = write_stage(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text")), "distinct-texts", compression="zstd")
+    total, size = found.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    blocks = 1 + (size or 0) // BLOCK_BYTES
+    return found.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks))).withColumn("blocks", F.lit(blocks)), total
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The numbers byte by byte, all first bytes first: the high bytes of small numbers compress to nothing."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
 
 
-def inverse_frequencies(docs: DataFrame, frequent: float = FREQUENT) -> Idf:
-    """Exact document frequencies of all shingles found in at least ``frequent`` of the rows.
+def _numbers(raw: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
-    Copies of a text that fill ``frequent`` / 4 of the rows or more aren't counted.
-    Two passes, neither of which shuffles the shingles. A shingle as frequent as that is found in half
-    that share of the texts of so many blocks that their counts alone reach half the frequency asked
-    for; so blocks report only those, the sums are cut there, and what is left is counted exactly. At
-    most 2 / frequent times the mean number of shingles of a text can be left, whatever the data.
+
+def document_frequencies(found: DataFrame) -> DataFrame:
+    """(block, slice, df): in how many distinct texts each shingle of a block is found, in order of hash.
+
+    Every shingle is counted over all texts. A block counts its own texts first and asks one slice of
+    the range of hashes after the other: sorted hashes are sent as the steps between them, one row for a
+    block and slice. A slice adds up the counts of all blocks and answers in the order asked, so an
+    answer is a list of numbers. There are as many slices as blocks, so neither grows with the table,
+    and a shingle in every text is one number for each block.
     """
-    most = 1 - float(np.log(frequent))
-    copies = docs.groupBy(text_key(F.col("text")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    copies, _ = write_stage(copies, "text-copies")
-    total = copies.agg(F.sum("n")).first()[0]
-    if not total:
-        return Idf(np.zeros(0, np.uint64), np.zeros(0), most)
-    # at most 4 / frequent texts; they say nothing about how common a phrase is among different texts
-    mass = [bytes(r["key"]) for r in copies.filter(F.col("n") >= max(2.0, frequent / 4 * total)).select("key").collect()]
-    if mass:
-        docs = docs.filter(~text_key(F.col("text")).isin(mass))
-
-    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, c, n in _blocks(batches):
-            keep = c >= frequent / 2 * n
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(c[keep].astype(np.int64))], ["h", "c"])
-        give_back()
 
-    body = docs.select("text")
-    left = body.mapInArrow(report, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= frequent / 2 * total).select("h")
-    wanted = np.sort(np.array([r["h"] for r in left.collect()], np.int64).view(np.uint64))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(len(wanted), np.int64)
-        for h, c, _ in _blocks(batches):
-            at = np.minimum(np.searchsorted(h, wanted), max(0, len(h) - 1))
-            if len(h):
-                sums += np.where(h[at] == wanted, c[at], 0)
-        yield pa.RecordBatch.from_arrays([pa.array(wanted.view(np.int64)), pa.array(sums)], ["h", "c"])
+    def ask(table: pa.Table) -> pa.Table:
+        h, c = np.unique(vectors(texts(table))[0], return_counts=True)
+        block, slices = table.column("block")[0].as_py(), table.column("blocks")[0].as_py()
+        out = {"block": [], "slice": [], "h": [], "c": []}
+        which = _slice(h, slices)
+        for at in np.split(np.arange(len(h)), np.flatnonzero(np.diff(which)) + 1) if len(h) else []:
+            out["block"].append(block), out["slice"].append(int(which[at[0]]))
+            out["h"].append(_planes(np.diff(h[at], prepend=np.uint64(0)))), out["c"].append(_planes(c[at].astype(np.int32)))
+        give_back()
+        return pa.table(out, schema=pa.schema([("block", pa.int64()), ("slice", pa.int64()), ("h", pa.binary()), ("c", pa.binary())]))
+
+    def answer(table: pa.Table) -> pa.Table:
+        h = [np.cumsum(_numbers(x, np.uint64), dtype=np.uint64) for x in table.column("h").to_pylist()]
+        c = np.concatenate([_numbers(x, np.int32) for x in table.column("c").to_pylist()])
+        ends = np.cumsum([len(x) for x in h])[:-1]
+        _, at = np.unique(np.concatenate(h), return_inverse=True)
+        df = np.bincount(at, weights=c).astype(np.int64)[at]
+        out = [_planes(x) for x in np.split(df, ends)]
         give_back()
+        return pa.table([table.column("block"), table.column("slice"), pa.array(out, pa.binary())], names=["block", "slice", "df"])
 
-    if not len(wanted):
-        return Idf(wanted, np.zeros(0), most)
-    found = body.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= frequent * total).collect()
-    found.sort(key=lambda r: int(np.int64(r["h"]).view(np.uint64)))
-    return Idf(np.array([r["h"] for r in found], np.int64).view(np.uint64), 1 + np.log(total / np.array([r["c"] for r in found], float)), most)
+    asked = found.select("block", "blocks", "text").groupBy("block").applyInArrow(ask, "block long, slice long, h binary, c binary")
+    return write_stage(asked.groupBy("slice").applyInArrow(answer, "block long, slice long, df binary"), "frequencies")[0]
+
+
+def _slice(h: np.ndarray, slices: int) -> np.ndarray:
+    """Which of the equal ranges of hashes each is in; at most 2**32 ranges."""
+    return ((h >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)
 
 
 def samples(h: np.ndarray, weight: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
@@ -169,10 +158,13 @@ def band_keys(drawn: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def similarities(left: list[str], right: list[str], idf: Idf) -> np.ndarray:
-    """Weighted Jaccard similarity of each pair of texts; 0 where either has no word."""
+def similarities(left: list[str], right: list[str], df: list[bytes], total: int) -> np.ndarray:
+    """Weighted Jaccard similarity of each pair of texts; 0 where either has no word.
+
+    ``df`` holds the document frequencies of the shingles of each left, then each right text, in order of hash.
+    """
     h, tf, n = vectors([*left, *right])
-    w = idf.weights(h, tf)
+    w = weights(tf, np.frombuffer(b"".join(df), np.int64), total)
     ends = np.cumsum(n)
     part = lambda i: slice(ends[i] - n[i], ends[i])
     out = np.zeros(len(left))
@@ -231,39 +223,41 @@ def _relabel(df: DataFrame, label: DataFrame, *columns: str) -> DataFrame:
 class _Search:
     """What the rounds of one search share."""
 
-    texts: DataFrame  # key, text: texts that share a bucket with another
-    idf: Idf
+    texts: DataFrame  # key, text, df: texts that share a bucket with another
+    total: int
     least: float
 
     def unshared(self, keys: DataFrame) -> DataFrame:
         """(key, u): weight of the shingles of a text that no other of the keyed texts has."""
-        idf = self.idf
+        total = self.total
 
         def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 h, tf, n = vectors(texts(b))
                 ids = np.repeat(b.column("id").to_numpy(), n)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids), pa.array(idf.weights(h, tf))], ["h", "id", "w"])
+                w = weights(tf, np.frombuffer(b"".join(b.column("df").to_pylist()), np.int64), total)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids), pa.array(w)], ["h", "id", "w"])
             give_back()
 
-        rows = self.texts.join(keys, "key").select(F.xxhash64("key").alias("id"), "text").mapInArrow(weigh, "h long, id long, w double")
+        rows = self.texts.join(keys, "key").select(F.xxhash64("key").alias("id"), "text", "df").mapInArrow(weigh, "h long, id long, w double")
         single = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.first("id").alias("id"), F.first("w").alias("w")).filter("n = 1")
         u, _ = write_stage(single.groupBy("id").agg(F.sum("w").alias("u")), "unshared")
         return keys.withColumn("id", F.xxhash64("key")).join(u, "id").select("key", "u")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """(a, b, similarity) of pairs of keys, compared as whole texts; written."""
-        idf = self.idf
+        total = self.total
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    s = similarities(texts(b, "left"), texts(b, "right"), idf)
+                    df = [*b.column("left_df").to_pylist(), *b.column("right_df").to_pylist()]
+                    s = similarities(texts(b, "left"), texts(b, "right"), df, total)
                     yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(s)], ["a", "b", "similarity"])
             give_back()
 
-        left, right = self.texts.select(F.col("key").alias("a"), F.col("text").alias("left")), self.texts.select(F.col("key").alias("b"), F.col("text").alias("right"))
-        rows = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+        left, right = (self.texts.select(F.col("key").alias(k), F.col("text").alias(side), F.col("df").alias(f"{side}_df")) for k, side in (("a", "left"), ("b", "right")))
+        rows = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right", "left_df", "right_df")
         return write_stage(rows.mapInArrow(compare, "a binary, b binary, similarity double"), "compared")[0]
 
 
@@ -282,11 +276,12 @@ def _links_of(compared: DataFrame, least: float) -> DataFrame:
     return compared.filter(F.col("similarity") >= least - 1e-12).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, frequent: float = FREQUENT, rounds: int = ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, key, class_id: one row per row of ``docs``; a class is what links connect.
 
     Texts are linked if their weighted Jaccard similarity over TF-IDF shingles of five words is at
-    least ``similarity`` and they share a band of samples. Equal texts are one node, so copies cost
+    least ``similarity`` and they share a band of samples. The inverse document frequency of a shingle
+    is 1 + ln(N / df) over the N distinct texts, counted exactly for every shingle. Equal texts are one node, so copies cost
     nothing. In each bucket of a band the member that meets most others leads: all members are
     compared with it, and those it is linked to are one component from then on. In the next rounds
     about 2 log2(n) of the n members outside its component lead, and each is compared with all that
@@ -301,33 +296,35 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     """
     spark = prepared(docs.sparkSession)
     body = only(docs, "doc_id", "text")
-    idf = inverse_frequencies(body, frequent)
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            h, tf, n = vectors(texts(b))
-            w = idf.weights(h, tf)
-            total = np.bincount(np.repeat(np.arange(b.num_rows), n), weights=w, minlength=b.num_rows)
-            keys = band_keys(samples(h, w, n, bands * rows), bands, rows).view(np.int64)
-            offsets = np.concatenate(([0], np.cumsum((n > 0) * bands))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(total), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))], ["doc_id", "key", "w", "bands"])
+    found, total = distinct_texts(body)
+    frequencies = document_frequencies(found)
+
+    def sign(left: pa.Table, right: pa.Table) -> pa.Table:
+        h, tf, n = vectors(texts(left))
+        answers = sorted(zip(right.column("slice").to_pylist(), right.column("df").to_pylist(), strict=True))
+        of = np.concatenate([np.zeros(0, np.int64), *[_numbers(x, np.int64) for _, x in answers]])
+        df = of[np.unique(h, return_inverse=True)[1]]
+        w = weights(tf, df, total)
+        rank = np.repeat(np.arange(left.num_rows), n)
+        whole = np.bincount(rank, weights=w, minlength=left.num_rows)
+        keys = band_keys(samples(h, w, n, bands * rows), bands, rows).view(np.int64)
+        offsets = np.concatenate(([0], np.cumsum((n > 0) * bands))).astype(np.int32)
+        ends = np.cumsum(n)
+        own = [df[e - k : e].tobytes() for e, k in zip(ends, n, strict=True)]
         give_back()
+        return pa.table([left.column("key"), left.column("doc_id"), pa.array(whole, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel(), pa.int64())), pa.array(own, pa.binary())], names=["key", "doc_id", "w", "bands", "df"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed, _ = write_stage(body.withColumn("key", text_key(F.col("text"))).mapInArrow(sign, f"doc_id {kind}, key binary, w double, bands array<long>"), "signed")
-    nodes, _ = write_stage(signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("w").alias("w"), F.first("bands").alias("bands")), "nodes")
+    both = found.groupBy("block").cogroup(frequencies.groupBy("block"))
+    nodes, _ = write_stage(both.applyInArrow(sign, f"key binary, doc_id {kind}, w double, bands array<long>, df binary"), "nodes")
     # buckets of two or more texts; a text that meets many others leads them
     spread, _ = write_stage(nodes.select("key", "w", F.explode("bands").alias("band")), "spread")
     sizes, _ = write_stage(spread.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "bucket-sizes")
     inside, _ = write_stage(spread.join(sizes, "band"), "inside")
     meets, _ = write_stage(inside.groupBy("key").agg(F.sum("n").alias("meets")), "meets")
     members, _ = write_stage(inside.drop("n").join(meets, "key"), "members")
-    chosen = meets.select("key").join(nodes.select("key", F.col("doc_id").alias("_id")), "key").withColumnRenamed("key", "_key")
-    source = body.withColumn("key", text_key(F.col("text")))
-    found = source.join(chosen, (source["key"] == chosen["_key"]) & source["doc_id"].eqNullSafe(chosen["_id"])).select("key", "text")
-    search = _Search(write_stage(found.dropDuplicates(["key"]), "candidates")[0], idf, similarity)
+    candidates = nodes.select("key", "df").join(meets.select("key"), "key").join(found.select("key", "text"), "key")
+    search = _Search(write_stage(candidates, "candidates")[0], total, similarity)
 
     # first round: the member that meets most others leads, and all are compared with it
     lead = members.groupBy("band").agg(F.max_by(F.struct("key", "w"), F.struct("meets", "key")).alias("l")).select("band", "l.*")
@@ -367,7 +364,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     classes, _ = write_stage(_labelled(nodes.select("key", "doc_id"), label), "classes")
     ids = classes.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     of, _ = write_stage(classes.join(ids, "label").select("key", "class_id"), "class-ids")
-    return signed.select("doc_id", "key").join(of, "key").select("doc_id", "key", "class_id")
+    return body.select("doc_id", text_key(F.col("text")).alias("key")).join(of, "key").select("doc_id", "key", "class_id")
 
 
 def _free(now: DataFrame, first: DataFrame | None, led: list[DataFrame], label: DataFrame) -> DataFrame:
