@@ -159,7 +159,14 @@ def write_stage(df: DataFrame, name: str, compression: str | None = None) -> tup
     import uuid
 
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    # nothing reads the shuffles of a written stage again
+    spark, cleanup = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup)
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        spark.conf.set(cleanup, before)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
