@@ -18,10 +18,12 @@ SIMILARITY = 0.8
 #: a pair at the threshold misses all bands with probability (1 - 0.8**4)**16 = 0.0002
 BANDS, ROWS = 16, 4
 #: text counted, asked about and signed at once
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: texts of one block are hashed and sorted in pieces that stay in the cache
+PIECE = 1 << 18
 #: times that leaders of a bucket are compared with its members before the rest is compared in pairs
 ROUNDS = 3
-GROUP = 1 << 17
+GROUP = 1 << 15
 
 
 @lru_cache(maxsize=1)
@@ -54,8 +56,19 @@ def vectors(batch: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray,
     return h[at], np.diff(np.append(at, len(h))), np.bincount(text[at], minlength=len(batch))
 
 
+def _vectors_of(batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``vectors`` of a whole block, piece by piece."""
+    out, a, size = [], 0, 0
+    for i, t in enumerate(batch):
+        size += len(t)
+        if size >= PIECE or i + 1 == len(batch):
+            out.append(vectors(batch[a : i + 1]))
+            a, size = i + 1, 0
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def distinct_texts(body: DataFrame) -> tuple[DataFrame, int]:
-    """(key, doc_id, text, block), one row per distinct text with its least doc_id, and their number; written.
+    """(key, doc_id, text, block, slices), one row per distinct text with its least doc_id, and their number; written.
 
     Copies collapse in each task before the shuffle, so a text that fills a third of the rows is sent
     once by each task. A block is a group of about BLOCK_BYTES of text, told by the key alone.
@@ -64,7 +77,8 @@ def distinct_texts(body: DataFrame) -> tuple[DataFrame, int]:
     found, _ = write_stage(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text")), "distinct-texts", compression="zstd")
     total, size = found.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     blocks = 1 + (size or 0) // BLOCK_BYTES
-    return found.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks))).withColumn("blocks", F.lit(blocks)), total
+    slices = 1 + blocks // 2
+    return found.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks))).withColumn("slices", F.lit(slices)), total
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -83,13 +97,13 @@ def document_frequencies(found: DataFrame) -> DataFrame:
     Every shingle is counted over all texts. A block counts its own texts first and asks one slice of
     the range of hashes after the other: sorted hashes are sent as the steps between them, one row for a
     block and slice. A slice adds up the counts of all blocks and answers in the order asked, so an
-    answer is a list of numbers. There are as many slices as blocks, so neither grows with the table,
+    answer is a list of numbers. There are half as many slices as blocks, so neither grows with the table,
     and a shingle in every text is one number for each block.
     """
 
     def ask(table: pa.Table) -> pa.Table:
-        h, c = np.unique(vectors(texts(table))[0], return_counts=True)
-        block, slices = table.column("block")[0].as_py(), table.column("blocks")[0].as_py()
+        h, c = np.unique(_vectors_of(texts(table))[0], return_counts=True)
+        block, slices = table.column("block")[0].as_py(), table.column("slices")[0].as_py()
         out = {"block": [], "slice": [], "h": [], "c": []}
         which = _slice(h, slices)
         for at in np.split(np.arange(len(h)), np.flatnonzero(np.diff(which)) + 1) if len(h) else []:
@@ -108,7 +122,7 @@ def document_frequencies(found: DataFrame) -> DataFrame:
         give_back()
         return pa.table([table.column("block"), table.column("slice"), pa.array(out, pa.binary())], names=["block", "slice", "df"])
 
-    asked = found.select("block", "blocks", "text").groupBy("block").applyInArrow(ask, "block long, slice long, h binary, c binary")
+    asked = found.select("block", "slices", "text").groupBy("block").applyInArrow(ask, "block long, slice long, h binary, c binary")
     return write_stage(asked.groupBy("slice").applyInArrow(answer, "block long, slice long, df binary"), "frequencies")[0]
 
 
@@ -300,7 +314,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     frequencies = document_frequencies(found)
 
     def sign(left: pa.Table, right: pa.Table) -> pa.Table:
-        h, tf, n = vectors(texts(left))
+        h, tf, n = _vectors_of(texts(left))
         answers = sorted(zip(right.column("slice").to_pylist(), right.column("df").to_pylist(), strict=True))
         of = np.concatenate([np.zeros(0, np.int64), *[_numbers(x, np.int64) for _, x in answers]])
         df = of[np.unique(h, return_inverse=True)[1]]
