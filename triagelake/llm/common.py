@@ -79,14 +79,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of 64-bit hashes (xor-shift and multiply)."""
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x ^= x >> np.uint64(33)
-    x *= np.uint64(0xC4CEB9FE1A85EC53)
-    x ^= x >> np.uint64(33)
+    x = np.array(x, np.uint64)
+    mix_into(x, np.empty_like(x))
     return x
 
 
+def mix_into(x: np.ndarray, spare: np.ndarray) -> None:
+    """``mix`` in place; ``spare`` is an array of the same shape to work in."""
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, None):
+        np.bitwise_xor(x, np.right_shift(x, np.uint64(33), out=spare), out=x)
+        if factor is not None:
+            np.multiply(x, np.uint64(factor), out=x)
+
+
 _IS_BLANK = np.zeros(256, dtype=bool)
 _IS_BLANK[[ord(c) for c in BLANK]] = True
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triagelake.llm.common import give_back, mix, only, prepared, shingle_hashes, texts, word_hashes, write_stage
+from triagelake.llm.common import give_back, mix, mix_into, only, prepared, shingle_hashes, texts, word_hashes, write_stage
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -23,6 +23,7 @@ BLOCK_BYTES = 8 << 20
 PIECE = 1 << 18
 #: times that leaders of a bucket are compared with its members before the rest is compared in pairs
 ROUNDS = 3
+#: shingles sampled at once
 GROUP = 1 << 15
 
 
@@ -142,20 +143,25 @@ def samples(h: np.ndarray, weight: np.ndarray, count: np.ndarray, n: int) -> np.
     count = count[count > 0]
     out = np.empty((len(count), n), np.uint64)
     ends = np.cumsum(count)
+    level = np.uint64(0xFFFF)
     a = 0
     while a < len(count):
-        # so many texts that their shingles stay in the cache
+        # so many texts that their shingles stay in the cache; every step writes over arrays that are there already
         b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + GROUP, side="right")))
         lo, hi = (ends[a - 1] if a else 0), ends[b - 1]
         x, logs, starts = h[lo:hi], np.log(weight[lo:hi]), (ends[a:b] - count[a:b] - lo)
+        own = np.repeat(np.arange(b - a), count[a:b])
+        z, bits, t, rank, beta = (np.empty(hi - lo, kind) for kind in (np.uint64, np.uint64, float, float, float))
         for k in range(n):
-            z = mix(x ^ np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & 0xFFFFFFFFFFFFFFFF))
-            r = gamma[z & np.uint64(0xFFFF)]
-            beta = (z >> np.uint64(32)).astype(np.float64) * 2.0**-32
-            t = np.floor(logs / r + beta)
-            rank = log_gamma[(z >> np.uint64(16)) & np.uint64(0xFFFF)] - r * (t - beta) - r
-            least = np.repeat(np.minimum.reduceat(rank, starts), count[a:b])
-            hits = np.flatnonzero(rank == least)
+            np.bitwise_xor(x, np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & 0xFFFFFFFFFFFFFFFF), out=z)
+            mix_into(z, bits)
+            r = gamma.take(np.bitwise_and(z, level, out=bits).view(np.int64))
+            np.multiply(np.right_shift(z, np.uint64(32), out=bits).view(np.int64), 2.0**-32, out=beta)
+            np.floor(np.add(np.divide(logs, r, out=t), beta, out=t), out=t)
+            np.bitwise_and(np.right_shift(z, np.uint64(16), out=bits), level, out=bits)
+            log_gamma.take(bits.view(np.int64), out=rank, mode="clip")
+            rank += np.multiply(np.subtract(np.subtract(beta, t, out=beta), 1, out=beta), r, out=beta)
+            hits = np.flatnonzero(rank == np.minimum.reduceat(rank, starts)[own])
             first = hits[np.searchsorted(hits, starts)]
             out[a:b, k] = mix(x[first] + t[first].astype(np.int64).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         a = b
