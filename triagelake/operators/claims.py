@@ -288,5 +288,27 @@ def explanation_metrics(final: DataFrame) -> DataFrame:
         "citation_precision", F.round(ratio(F.col("valid_refs"), F.col("total_refs"), 1.0), 4))
 
 
+#: what a generator may report of each call, and how it is added up
+USAGE = ("latency_ms", "input_tokens", "output_tokens", "retry_count")
+
+
+def explanation_outcomes(final: DataFrame) -> DataFrame:
+    """Long table (measure, key, n): explanations by status and by faithfulness, in one pass."""
+    pairs = [F.struct(F.lit(m).alias("measure"), F.col(c).alias("key")) for m, c in (("status", "explanation_status"), ("faithfulness", "faithfulness_status"))]
+    return final.select(F.inline(F.array(*pairs))).groupBy("measure", "key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def usage_totals(calls: DataFrame) -> DataFrame:
+    """One row of what calls of a generator cost: mean latency at two places, tokens, retries.
+
+    ``calls`` holds the columns of ``USAGE``; a call that reports nothing is in no mean, and a null adds nothing.
+    """
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return calls.agg(
+        F.count("latency_ms").alias("measured_calls"), F.round(F.coalesce(F.avg("latency_ms"), F.lit(0.0)), 2).alias("mean_latency_ms"),
+        total("input_tokens").alias("total_input_tokens"), total("output_tokens").alias("total_output_tokens"), total("retry_count").alias("total_retries"),
+    ).withColumn("total_tokens", F.col("total_input_tokens") + F.col("total_output_tokens"))
+
+
 def explode_claims(checked: DataFrame) -> DataFrame:
     return checked.select("window_id", F.inline("claims"))

@@ -227,6 +227,19 @@ def reasoning_summary(assessed: DataFrame) -> DataFrame:
     return assessed.select(F.inline(pairs)).groupBy("measure", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
+def reasoning_averages(assessed: DataFrame) -> DataFrame:
+    """One row: how many windows, conflicts, share of windows with one, and averages; 0 of no window."""
+    mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 4)
+    return assessed.agg(
+        F.count(F.lit(1)).alias("total_assessed"),
+        F.coalesce(F.sum(F.size("conflicts")), F.lit(0)).alias("conflict_count"),
+        mean((F.size("conflicts") > 0).cast("double")).alias("conflict_rate"),
+        mean(F.col("evidence_count").cast("double")).alias("average_evidence_count"),
+        mean(F.round("mean_relevance", 4)).alias("average_evidence_relevance"),
+        mean(F.col("confidence")).alias("average_confidence"),
+    )
+
+
 def row_fingerprint(df: DataFrame, skip: Sequence[str] = ()) -> Column:
     """SHA-256 of a row's content in sorted column order, to compare two runs row by row."""
     return F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns) if c not in skip])), 256)

@@ -217,3 +217,24 @@ def retrieval_diagnostics(gated: DataFrame, evidence: DataFrame, corpus: DataFra
         F.coalesce(F.try_divide(F.col("total_chunks") - F.col("unique_chunks"), "total_chunks"), F.lit(0.0)).alias("duplicate_retrieval_rate"),
         F.coalesce(F.try_divide("anomalous_chunks", "total_chunks"), F.lit(0.0)).alias("anomalous_evidence_ratio"),
     )
+
+
+def retrieval_spread(gated: DataFrame, evidence: DataFrame, corpus: DataFrame, idf: DataFrame) -> DataFrame:
+    """One row: quartiles of the similarities, self retrievals, clear rate, norms of the chunk vectors.
+
+    Quartiles are exact and interpolated; similarities have six places, so they are counted by value.
+    A chunk none of whose tokens has a weight is a zero vector and counts with norm 0.
+    """
+    ev = evidence.agg(
+        *[F.percentile("similarity", p).alias(name) for name, p in (("sim_p25", 0.25), ("sim_median", 0.5), ("sim_p75", 0.75))],
+        F.coalesce(F.try_divide(F.count_if(F.col("source_window_id") == F.col("query_id")), F.count(F.lit(1))), F.lit(0.0)).alias("self_retrieval_rate"),
+    )
+    norms = tfidf_weights(token_counts(corpus, "chunk_id"), idf, "chunk_id").groupBy("dataset", "chunk_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    vectors = norms.agg(F.count_if(F.col("norm") > 0).alias("full"), F.coalesce(F.sum("norm"), F.lit(0.0)).alias("norms"))
+    base = gated.agg(F.count(F.lit(1)).alias("total_windows"), F.count_if(F.col("decision") != "ESCALATE").alias("auto_clear_count"))
+    out = base.withColumn("_e", ev.select(F.struct(*ev.columns)).scalar()).withColumn("_v", vectors.select(F.struct(*vectors.columns)).scalar())
+    out = out.withColumn("_n", corpus.agg(F.count(F.lit(1))).scalar())
+    return out.select(
+        "total_windows", "auto_clear_count", F.coalesce(F.try_divide("auto_clear_count", "total_windows"), F.lit(0.0)).alias("auto_clear_rate"), "_e.*",
+        (F.col("_n") - F.col("_v.full")).alias("zero_vector_count"), F.coalesce(F.try_divide("_v.norms", "_n"), F.lit(0.0)).alias("mean_vector_norm"),
+    )

@@ -173,6 +173,21 @@ def quality_report(windows: DataFrame, records: DataFrame) -> DataFrame:
     return win.withColumn("duplicate_window_ids_count", dup.scalar())
 
 
+def quality_details(windows: DataFrame, records: DataFrame) -> DataFrame:
+    """One row: leakage verdict, templates of TRAIN, records of later splits with a template TRAIN never had.
+
+    ``records`` are (split, template_id); the vocabulary is a distinct set, joined by shuffle.
+    """
+    known = records.filter(F.col("split") == "train").select("template_id").distinct()
+    seen = records.filter(F.col("template_id") != -1)
+    # counted by template first, so that a frequent one is one row of the join
+    later = seen.filter(F.col("split") != "train").groupBy("template_id").agg(F.count(F.lit(1)).alias("_n"))
+    unseen = later.join(known, "template_id", "left_anti").agg(F.coalesce(F.sum("_n"), F.lit(0)))
+    out = corpus_leakage_audit(windows).select(F.col("passed").alias("leakage_check_passed"))
+    out = out.withColumn("train_unique_templates", known.filter(F.col("template_id") != -1).agg(F.count(F.lit(1))).scalar())
+    return out.withColumn("later_records_unseen_in_train", unseen.scalar())
+
+
 def require_split(split: str, allowed: Sequence[str]) -> str:
     """Refuse a split by name before any plan is built."""
     if split.strip().lower() not in allowed:

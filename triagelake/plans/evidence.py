@@ -91,6 +91,11 @@ def retrieval_diagnostics(spark, sf):
     return rounded(ret.retrieval_diagnostics(e["gated"], e["found"], e["corpus"]))
 
 
+def retrieval_spread(spark, sf):
+    e = evidence(spark, sf)
+    return rounded(ret.retrieval_spread(e["gated"], e["found"], e["corpus"], e["idf"]))
+
+
 def tfidf_topk(spark, sf):
     """Every CALIBRATION window as a query."""
     w = base.event_windows(spark, sf)
@@ -193,7 +198,7 @@ def tamper_detection(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        corpus_chunks, tfidf_weights, tfidf_idf, document_idf, vocabulary_hash, gated_retrieval, retrieval_diagnostics, tfidf_topk, dense_topk, mmr_select, mmr_metrics,
+        corpus_chunks, tfidf_weights, tfidf_idf, document_idf, vocabulary_hash, gated_retrieval, retrieval_diagnostics, retrieval_spread, tfidf_topk, dense_topk, mmr_select, mmr_metrics,
         mmr_lambda_sweep, mmr_budget_sweep, mmr_versus_top, gated_evidence, reranking_diagnostics, content_hashes, citation_ids, citation_bundles,
         bundle_verification, provenance_diagnostics, tamper_detection,
     )
@@ -306,6 +311,14 @@ SELECT (SELECT count(*) FROM gated) AS total_windows, (SELECT count(*) FROM esc)
   min(similarity) AS sim_min, max(similarity) AS sim_max, round(avg(similarity), 6) AS sim_mean, count(*) FILTER (WHERE is_anomaly) AS anomalous_chunks, (SELECT count(*) FROM chunk) AS corpus_size,
   round((SELECT count(*) FROM esc) / CAST((SELECT count(*) FROM gated) AS DOUBLE), 6) AS escalation_rate, round((count(*) - count(DISTINCT chunk_id)) / CAST(count(*) AS DOUBLE), 6) AS duplicate_retrieval_rate,
   round(count(*) FILTER (WHERE is_anomaly) / CAST(count(*) AS DOUBLE), 6) AS anomalous_evidence_ratio FROM found JOIN chunk USING (chunk_id)"""),
+    "retrieval_spread": sql(EVIDENCE + """,
+norms AS (SELECT chunk_id, sqrt(sum(w * w)) AS norm FROM chunk JOIN wt USING (window_id) GROUP BY 1)""", """
+SELECT (SELECT count(*) FROM gated) AS total_windows, (SELECT count(*) FROM gated WHERE decision <> 'ESCALATE') AS auto_clear_count,
+  round((SELECT count(*) FILTER (WHERE decision <> 'ESCALATE') / CAST(count(*) AS DOUBLE) FROM gated), 6) AS auto_clear_rate,
+  round(quantile_cont(similarity, 0.25), 6) AS sim_p25, round(quantile_cont(similarity, 0.5), 6) AS sim_median, round(quantile_cont(similarity, 0.75), 6) AS sim_p75,
+  round(count(*) FILTER (WHERE source_window_id = query_id) / CAST(count(*) AS DOUBLE), 6) AS self_retrieval_rate,
+  (SELECT count(*) FROM chunk) - (SELECT count(*) FROM norms WHERE norm > 0) AS zero_vector_count,
+  round((SELECT sum(norm) FROM norms) / (SELECT count(*) FROM chunk), 6) AS mean_vector_norm FROM found"""),
     "tfidf_topk": sql(WINDOWS + _TFIDF + ", qs AS (SELECT window_id AS query_id FROM win WHERE split = 'calibration')" + _topk_sql("qs", 3), "SELECT query_id, rank, round(similarity, 6) AS similarity, chunk_id, source_window_id FROM found"),
     "dense_topk": sql(_DENSE, "SELECT dataset, query_id, rank, similarity, chunk_id FROM found"),
     "mmr_select": sql(_DENSE + mmr_sql(), "SELECT query_id, sr AS selected_rank, chunk_id, rr AS retrieval_rank, rel AS retrieval_score, score AS selection_score, pen AS redundancy_penalty FROM mmr"),

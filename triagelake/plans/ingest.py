@@ -167,6 +167,11 @@ def quality_report(spark, sf):
     return splits.quality_report(base.event_windows(spark, sf), tables.event_records(spark, sf))
 
 
+def quality_details(spark, sf):
+    w = base.event_windows(spark, sf)
+    return splits.quality_details(w, w.select("split", F.explode("template_ids").alias("template_id")))
+
+
 def label_leak_scan(spark, sf):
     c = tables.table(spark, sf, "documents").withColumn("probe", F.concat_ws(" ", "text", F.when(F.col("source") == "src1", F.lit("Label: Normal"))))
     return splits.label_leaks(c, "probe").select("doc_id", "indicator")
@@ -177,7 +182,7 @@ QUERIES = {
     for f in (
         parse_header_lines, parse_alert_lines, parse_stats, mask_variables, mask_alert_variables, redact_secrets, submission_rules, mine_templates,
         match_templates, template_catalog, mine_document_templates, fixed_windows, session_windows, session_order, session_positions, session_sequences,
-        session_prefixes, split_chronological, split_by_rank, split_normal_subset, split_integrity, split_summary, leakage_audit, quality_report, label_leak_scan,
+        session_prefixes, split_chronological, split_by_rank, split_normal_subset, split_integrity, split_summary, leakage_audit, quality_report, quality_details, label_leak_scan,
     )
 }
 
@@ -258,6 +263,11 @@ SELECT count(*) AS total_windows, count(*) FILTER (WHERE split = 'train') AS tra
   count(*) FILTER (WHERE start_time IS NULL) AS missing_timestamps_count, (SELECT count(*) FROM rec) AS total_raw_records, (SELECT count(*) FROM rec WHERE template_id <> -1) AS parsed_records,
   (SELECT count(*) FROM rec WHERE template_id = -1) AS unknown_template_records, (SELECT count(DISTINCT template_id) FROM rec) AS unique_template_count,
   count(*) - count(DISTINCT window_id) AS duplicate_window_ids_count FROM win"""),
+    "quality_details": sql(WINDOWS, """
+SELECT NOT EXISTS (SELECT window_id FROM win GROUP BY 1 HAVING count(DISTINCT split) > 1) AS leakage_check_passed,
+  (SELECT count(DISTINCT template_id) FROM wrec JOIN win USING (window_id) WHERE split = 'train' AND template_id <> -1) AS train_unique_templates,
+  (SELECT count(*) FROM wrec JOIN win USING (window_id) WHERE split <> 'train' AND template_id <> -1
+    AND template_id NOT IN (SELECT template_id FROM wrec JOIN win USING (window_id) WHERE split = 'train')) AS later_records_unseen_in_train"""),
     "label_leak_scan": """
 WITH p AS (SELECT doc_id, lower(text || CASE WHEN source = 'src1' THEN ' Label: Normal' ELSE '' END) AS low FROM documents)
 SELECT doc_id, coalesce(CASE WHEN contains(low, 'is_anomaly') THEN 'is_anomaly' END, CASE WHEN contains(low, 'anomaly_label') THEN 'anomaly_label' END,

@@ -53,6 +53,10 @@ def reasoning_summary(spark, sf):
     return rs.reasoning_summary(assessed(spark, sf))
 
 
+def reasoning_averages(spark, sf):
+    return rounded(rs.reasoning_averages(assessed(spark, sf)))
+
+
 def ablation_modes(spark, sf):
     e = evp.evidence(spark, sf)
     a = rs.ablation_modes(materialize(incidents(e, evp.bundles(e)), "incidents"))
@@ -127,6 +131,10 @@ def claim_metrics(spark, sf):
     return rounded(cl.explanation_metrics(cl.assemble(cl.validate(_faithful(spark, sf)))))
 
 
+def claim_outcomes(spark, sf):
+    return cl.explanation_outcomes(cl.assemble(cl.validate(_faithful(spark, sf))))
+
+
 def prompt_rows(spark, sf):
     a = assessed(spark, sf)
     return cl.prompt_text(cl.build_context(a.filter("is_escalated"), max_lines=5, max_chars=400)).select("window_id", "prompt")
@@ -135,8 +143,8 @@ def prompt_rows(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        signals, contributions, conflicts, assessments, reasoning_summary, ablation_modes, assessment_fingerprints, claims_parse, citation_check, faithfulness,
-        validation, explanations, claim_metrics, prompt_rows,
+        signals, contributions, conflicts, assessments, reasoning_summary, reasoning_averages, ablation_modes, assessment_fingerprints, claims_parse, citation_check, faithfulness,
+        validation, explanations, claim_metrics, claim_outcomes, prompt_rows,
     )
 }
 
@@ -239,6 +247,9 @@ SELECT window_id, sha256('{"confidence":' || CAST(round(conf, 6) AS VARCHAR) ||
 SELECT 'decision' AS measure, dec AS key, count(*) AS n FROM ass GROUP BY 2 UNION ALL SELECT 'severity', sev, count(*) FROM ass GROUP BY 2 UNION ALL SELECT 'sufficiency', suff, count(*) FROM ass GROUP BY 2
 UNION ALL SELECT 'provenance', 'VERIFIED', count(*) FROM ass UNION ALL SELECT 'rule', rule, count(*) FROM ass GROUP BY 2
 UNION ALL SELECT 'conflict', c, count(*) FROM (SELECT 'CONF-001' AS c FROM ass WHERE c1 UNION ALL SELECT 'CONF-002' FROM ass WHERE c2 UNION ALL SELECT 'CONF-003' FROM ass WHERE c3) GROUP BY 2"""),
+    "reasoning_averages": sql(_FULL, """
+SELECT count(*) AS total_assessed, CAST(sum(nc) AS BIGINT) AS conflict_count, round(avg(CASE WHEN nc > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS conflict_rate, round(avg(n), 4) AS average_evidence_count,
+  round(avg(round(mr, 4)), 4) AS average_evidence_relevance, round(avg(conf), 4) AS average_confidence FROM ass"""),
     "ablation_modes": sql(_MODES, "SELECT mode, dec AS final_decision, count(*) AS n FROM ass GROUP BY ALL"),
     "claims_parse": sql(CLAIMS, r"""
 SELECT window_id, 'CLM-' || window_id || '-001' AS claim_id, sha256(text) AS text_hash, claim_type, factual AS is_factual, CAST(CASE WHEN cite = 'none' THEN 0 ELSE 1 END AS BIGINT) AS ids,
@@ -255,6 +266,9 @@ SELECT window_id, status AS faithfulness_status, cov AS citation_coverage, round
     "explanations": sql(CLAIMS, """
 SELECT window_id, CASE WHEN len(reasons) = 0 THEN 'GENERATED' ELSE 'VALIDATION_FAILED' END AS explanation_status, len(reasons) > 0 AS abstained, CASE WHEN len(reasons) > 0 THEN 'validation: ' || array_to_string(reasons, '; ') END AS abstention_reason,
   CASE WHEN len(reasons) > 0 THEN 'EXP-' || window_id || '-ABSTAINED' ELSE 'EXP-' || left(sha256(window_id || ':conversations:calibration:none:1'), 16) END AS explanation_id FROM val"""),
+    "claim_outcomes": sql(CLAIMS, """
+SELECT 'status' AS measure, CASE WHEN len(reasons) = 0 THEN 'GENERATED' ELSE 'VALIDATION_FAILED' END AS key, count(*) AS n FROM val GROUP BY 2
+UNION ALL SELECT 'faithfulness', CASE WHEN readable THEN status ELSE 'INVALID' END, count(*) FROM val GROUP BY 2"""),
     "claim_metrics": sql(CLAIMS, """
 , u AS (SELECT *, len(reasons) = 0 AS good FROM val)
 SELECT count(*) AS total_attempted, count(*) FILTER (WHERE good) AS successful, count(*) FILTER (WHERE NOT good) AS abstentions, count(*) FILTER (WHERE NOT good) AS validation_failures,
