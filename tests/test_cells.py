@@ -89,6 +89,28 @@ def test_comparisons_grow_less_than_the_pairs(spark):
     assert large < many / 4 and np.log(large / small) / np.log(many / few) < 0.85
 
 
+def test_rows_between_stages_follow_groups_not_cells(spark, monkeypatch):
+    monkeypatch.setattr(cells, "GROUP_ROWS", 200)
+    sizes = {}
+
+    def counted(df, name, write=cells.materialize):
+        out = write(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(cells, "materialize", counted)
+    x = np.random.default_rng(6).normal(size=(600, 32))
+    rows = [("a", f"{i:04d}", f"{i:04d}", [float(v) for v in r]) for i, r in enumerate(x)]
+    c = spark.createDataFrame(rows, "dataset string, ckey string, first_chunk string, vec array<float>")
+    q = c.selectExpr("dataset", "ckey AS qkey", "vec")
+    got = found(cells.cell_top_k(q, c, 3, sparse=False))
+    want = brute([(d, k, v) for d, k, _, v in rows], rows, 3, False)
+    assert got.keys() == want.keys()
+    assert all(sorted(s for _, s in got[k]) == pytest.approx(sorted(s for _, s in want[k]), abs=2e-6) for k in want)
+    # random vectors rule out no cell of the 25; three to four groups hold them
+    assert max(sizes.values()) <= 600 * 4 * 3 and sizes["visits"] <= 600 * 4
+
+
 def test_empty_sides(spark):
     q = spark.createDataFrame([("a", "q", [1.0])], "dataset string, qkey string, vec array<double>")
     c = spark.createDataFrame([("a", "c", "c", [1.0])], "dataset string, ckey string, first_chunk string, vec array<double>")

@@ -5,19 +5,25 @@ cell of its nearest pivot. A first round compares a query with the cells nearest
 members were seen; the distance of its k-th best then rules out every cell, and every ring of a
 cell, that the triangle inequality keeps farther away. What is left is compared in a second round.
 No vector is lost: the bounds are exact and every comparison is made on whole vectors.
+
+Cells travel in groups of many, so a query is sent once to a group, not once to each of its cells, and
+comes back with the best of the group. Where no cell can be ruled out, as among random vectors, a
+row is copied as often as its dataset has groups.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from triagelake.functions.scale import materialize
 
 #: rows of one side that one task compares
 BLOCK_ROWS = 4_000
+#: members of the cells that one task compares, and queries that it compares them with
+GROUP_ROWS = 16_000
 #: pivots of a dataset: the root of its rows, at most this many
 MAX_PIVOTS = 4_096
 #: similarities are rounded to this many places; only parallel vectors reach 1
@@ -70,7 +76,9 @@ def vectors(df: DataFrame, sparse: bool) -> DataFrame:
     """``vec`` as plain arrays (tok, w), and whether it has a length."""
     if sparse:
         return df.withColumn("tok", F.col("vec.token")).withColumn("w", F.col("vec.weight")).withColumn("held", F.exists("vec", lambda e: e["weight"] != 0)).drop("vec")
-    return df.withColumn("w", F.col("vec").cast("array<double>")).withColumn("held", F.exists("w", lambda x: x != 0)).drop("vec")
+    # floats stay floats on the way; the kernels compute in doubles
+    vec = F.col("vec") if df.schema["vec"].dataType.simpleString() == "array<float>" else F.col("vec").cast("array<double>")
+    return df.withColumn("w", vec).withColumn("held", F.exists("w", lambda x: x != 0)).drop("vec")
 
 
 def _in_blocks(rows: DataFrame, key: str, beside: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -106,43 +114,72 @@ def assign_cells(corpus: DataFrame, pivots: DataFrame, sparse: bool) -> DataFram
 
     names_out = corpus.columns
     rows, piv = _in_blocks(corpus, "ckey", pivots)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in corpus.schema.fields) + ", cell string, r double"
+    schema = f"{_types(corpus)}, cell string, r double"
     return rows.groupBy("dataset", "block").cogroup(piv.groupBy("dataset", "block")).applyInPandas(nearest, schema)
 
 
+def _types(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def group_cells(members: DataFrame, pivots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, cells) with the cell's number ``at`` and its ``group``, about GROUP_ROWS members of a dataset.
+
+    A cell of more members than a group holds is cut into pieces, which count as cells of the same pivot.
+    """
+    sizes = members.groupBy("dataset", "cell").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).alias("pieces"))
+    cut = materialize(members.join(sizes, ["dataset", "cell"]).withColumn("piece", F.pmod(F.xxhash64("ckey"), F.col("pieces"))).drop("pieces"), "members")
+    cells = cut.groupBy("dataset", "cell", "piece").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi"))
+    order = Window.partitionBy("dataset").orderBy("cell", "piece")
+    upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    cells = cells.select("*", F.row_number().over(order).alias("at"), F.floor((upto - 1) / GROUP_ROWS).alias("group"))
+    cells = materialize(cells.join(pivots, ["dataset", "cell"]), "cells")
+    return cut.join(cells.select("dataset", "cell", "piece", "at", "group"), ["dataset", "cell", "piece"]).drop("piece"), cells
+
+
 def plan_visits(queries: DataFrame, cells: DataFrame, keep: int, sparse: bool) -> DataFrame:
-    """(dataset, qkey, cell, d, least, first): the cells that can hold one of the ``keep`` nearest.
+    """The queries, once for each group whose cells can hold one of the ``keep`` nearest.
 
-    ``d`` is the distance of the pivot, ``least`` that of the nearest member the cell may have. Cells
-    farther than ``keep`` members certainly are do not appear. ``first`` marks the nearest cells that
-    together hold ``keep`` members.
+    ``reach`` is a distance within which there certainly are ``keep`` members, ``least`` that of the nearest
+    member the group may have, ``near`` its cell of the nearest pivot. The nearest cells that together
+    hold ``keep`` members have their pivots within ``edge``; ``first`` marks groups that have one of them.
     """
+    own = queries.columns
 
     def plan(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        out = {k: [] for k in ("dataset", "qkey", "cell", "d", "least", "first")}
+        out = {k: [] for k in (*own, "group", "near", "edge", "reach", "least", "first")}
         if len(c):
-            c = c.sort_values("cell")
-            names, n, lo, hi = (c[k].to_numpy() for k in ("cell", "n", "lo", "hi"))
+            c = c.sort_values("at")
+            group, number, n, lo, hi = (c[k].to_numpy() for k in ("group", "at", "n", "lo", "hi"))
+            names, starts = np.unique(group, return_index=True)
             for at in range(0, len(q), PART):
                 part = q.iloc[at : at + PART]
                 d = _distances(part, c, sparse)
+                row = np.arange(len(d))
                 least = np.maximum(np.maximum(d - hi, lo - d), 0.0)
                 most = d + hi
                 order = np.argsort(most, axis=1, kind="stable")
                 enough = (np.cumsum(n[order], axis=1) >= keep).argmax(axis=1)
-                reach = most[np.arange(len(d)), order[np.arange(len(d)), enough]]
-                reach = np.where(n.sum() >= keep, reach, np.inf)
-                near = np.argsort(d, axis=1, kind="stable")
-                before = np.cumsum(n[near], axis=1) - n[near]
+                reach = np.where(n.sum() >= keep, most[row, order[row, enough]], np.inf)
+                nearest = np.argsort(d, axis=1, kind="stable")
+                before = np.cumsum(n[nearest], axis=1) - n[nearest]
                 first = np.zeros(d.shape, dtype=bool)
-                np.put_along_axis(first, near, before < keep, axis=1)
-                i, j = np.nonzero((least <= reach[:, None] + SLACK) | first)
-                for k, v in zip(out, (part["dataset"].to_numpy()[i], part["qkey"].to_numpy()[i], names[j], d[i, j], least[i, j], first[i, j]), strict=True):
+                np.put_along_axis(first, nearest, before < keep, axis=1)
+                edge = np.where(first, d, 0.0).max(axis=1)
+                visited = (least <= reach[:, None] + SLACK) | first
+                i, j = np.nonzero(np.logical_or.reduceat(visited, starts, axis=1))
+                closest = np.stack([number[a + d[:, a:b].argmin(axis=1)] for a, b in zip(starts, [*starts[1:], len(group)], strict=True)], axis=1)
+                may = np.minimum.reduceat(np.where(visited, least, np.inf), starts, axis=1)
+                starting = np.logical_or.reduceat(first, starts, axis=1)
+                for k, v in zip(list(out)[len(own) :], (names[j], closest[i, j], edge[i], reach[i], may[i, j], starting[i, j]), strict=True):
                     out[k].append(v)
+                for k in own:
+                    out[k].append(part[k].to_numpy()[i])
         return frame(out)
 
     rows, copies = _in_blocks(queries, "qkey", cells)
-    return rows.groupBy("dataset", "block").cogroup(copies.groupBy("dataset", "block")).applyInPandas(plan, "dataset string, qkey string, cell string, d double, least double, first boolean")
+    schema = f"{_types(queries)}, `group` long, near int, edge double, reach double, least double, first boolean"
+    return rows.groupBy("dataset", "block").cogroup(copies.groupBy("dataset", "block")).applyInPandas(plan, schema)
 
 
 def best_of_part(part: pd.DataFrame, members: pd.DataFrame, rank: np.ndarray, keep: int, sparse: bool, keyed: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -157,50 +194,96 @@ def best_of_part(part: pd.DataFrame, members: pd.DataFrame, rank: np.ndarray, ke
     return best, np.take_along_axis(sims, best, axis=1)
 
 
+class _Best:
+    """The ``keep`` best members of each query of one part; members are offered position by position."""
+
+    def __init__(self, part: pd.DataFrame, members: pd.DataFrame, rank: np.ndarray, unit: np.ndarray | None, keep: int, keyed: bool):
+        self.part, self.members, self.rank, self.unit, self.keep, self.keyed = part, members, rank, unit, keep, keyed
+        self.own = None if unit is None else unit_rows(part["w"])
+        self.row, self.at, self.sim = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.bar = np.full(len(part), -np.inf)
+        self.compared = np.zeros(len(part), np.int64)
+
+    def offer(self, rows: np.ndarray, at: np.ndarray) -> None:
+        self.compared[rows] += len(at)
+        for lo in range(0, len(at), BLOCK_ROWS):
+            self._offer(rows, at[lo : lo + BLOCK_ROWS])
+
+    def _offer(self, rows: np.ndarray, at: np.ndarray) -> None:
+        q = self.part.iloc[rows]
+        raw = cosines(q, self.members.iloc[at], True) if self.unit is None else self.own[rows] @ self.unit[at].T
+        bar = self.bar[rows]
+        if len(at) > self.keep and np.isneginf(bar).any():
+            bar = np.maximum(bar, np.partition(raw, -self.keep, axis=1)[:, -self.keep])
+        # rounding and the limit below 1 move a similarity by less than this
+        hit = raw >= np.minimum(bar, 1.0)[:, None] - 4.0 * 10**-PLACES
+        i, j = np.nonzero(hit)
+        sims = np.clip(np.round(raw[i, j], PLACES), -1.0, 1.0)
+        if self.keyed:  # keys name directions: equal keys are parallel; an empty vector is like nothing, not even another empty one
+            same = (q["qkey"].to_numpy()[i] == self.members["ckey"].to_numpy()[at[j]]) & q["held"].to_numpy(bool)[i]
+            sims = np.where(same, 1.0, np.minimum(sims, BELOW_ONE))
+        row, at, sims = (np.concatenate(x) for x in ((self.row, rows[i]), (self.at, at[j]), (self.sim, sims)))
+        order = np.lexsort((self.rank[at], -sims, row))
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row, "left")
+        best = order[place < self.keep]
+        last = order[place == self.keep - 1]
+        self.bar[row[place == self.keep - 1]] = sims[last]
+        self.row, self.at, self.sim = row[place < self.keep], at[best], sims[best]
+
+
 FOUND = "dataset string, qkey string, ckey string, first_chunk string, sim double, compared long"
 
 
-def compare_visits(visits: DataFrame, queries: DataFrame, members: DataFrame, cells: DataFrame, keep: int, sparse: bool, keyed: bool) -> DataFrame:
+def compare_visits(visits: DataFrame, members: DataFrame, cells: DataFrame, keep: int, sparse: bool, keyed: bool) -> DataFrame:
     """(dataset, qkey, ckey, first_chunk, sim, compared): each task's ``keep`` best per query.
 
-    ``visits`` has (dataset, qkey, cell, d, reach). A cell of more than BLOCK_ROWS members or visitors is
-    cut into blocks of both, so a cell of any size is many tasks. ``compared`` sums to the
-    number of vector pairs that were compared.
+    ``visits`` has the queries with (group, near, edge, reach): of the group they are compared with the cells whose pivot
+    is within ``edge``, and there with the members that ``reach`` doesn't rule out. More than GROUP_ROWS
+    visitors of a group are cut into blocks. ``compared`` sums to the number of vector pairs that were compared.
     """
 
     def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = {k: [] for k in ("dataset", "qkey", "ckey", "first_chunk", "sim", "compared")}
+        piv, c = c[c["n"].notna()].sort_values("at"), c[c["n"].isna()]  # only cells have a size
         if len(q) and len(c):
-            c = c.sort_values(["r", "ckey"]).reset_index(drop=True)
-            q = q.sort_values(["d", "qkey"]).reset_index(drop=True)
+            c = c.sort_values(["at", "r", "ckey"]).reset_index(drop=True)
+            q = q.sort_values(["near", "qkey"]).reset_index(drop=True)
             rank = np.empty(len(c), dtype=np.int64)
             rank[np.argsort(c["first_chunk"].to_numpy(), kind="stable")] = np.arange(len(c))
             r, keys, chunks = c["r"].to_numpy(), c["ckey"].to_numpy(), c["first_chunk"].to_numpy()
+            begin, end = (np.searchsorted(c["at"].to_numpy(), piv["at"].to_numpy(), side) for side in ("left", "right"))
+            inner, outer = r[begin], r[end - 1]
+            unit = None if sparse else unit_rows(c["w"])
             for at in range(0, len(q), PART):
                 part = q.iloc[at : at + PART]
-                d, reach = part["d"].to_numpy(), part["reach"].to_numpy()
-                lo, hi = np.searchsorted(r, (d - reach).min() - SLACK, "left"), np.searchsorted(r, (d + reach).max() + SLACK, "right")
-                if lo == hi:
-                    continue
-                best, sims = best_of_part(part, c.iloc[lo:hi], rank[lo:hi], keep, sparse, keyed)
-                k = best.shape[1]
-                out["dataset"].append(np.repeat(part["dataset"].to_numpy(), k))
-                out["qkey"].append(np.repeat(part["qkey"].to_numpy(), k))
-                out["ckey"].append(keys[lo:hi][best].ravel())
-                out["first_chunk"].append(chunks[lo:hi][best].ravel())
-                out["sim"].append(sims.ravel())
-                count = np.zeros(best.shape, dtype=np.int64)
-                count[:, 0] = hi - lo
-                out["compared"].append(count.ravel())
+                edge, reach = part["edge"].to_numpy()[:, None], part["reach"].to_numpy()[:, None]
+                d = _distances(part, piv, sparse)
+                visited = (d <= edge + SLACK) & (np.maximum(np.maximum(d - outer, inner - d), 0.0) <= reach + SLACK)
+                low, high = np.where(visited, d - reach, np.inf).min(axis=0) - SLACK, np.where(visited, d + reach, -np.inf).max(axis=0) + SLACK
+                ring = lambda k: np.arange(begin[k] + np.searchsorted(r[begin[k] : end[k]], low[k], "left"), begin[k] + np.searchsorted(r[begin[k] : end[k]], high[k], "right"))  # noqa: E731, B023
+                best = _Best(part, c, rank, unit, keep, keyed)
+                # cells that most of the part visit are compared at once, the others by their visitors alone
+                share = visited.mean(axis=0)
+                common = np.flatnonzero(share >= 0.5)
+                if len(common):
+                    best.offer(np.arange(len(part)), np.concatenate([ring(k) for k in common]))
+                for k in np.flatnonzero((share > 0) & (share < 0.5)):
+                    best.offer(np.flatnonzero(visited[:, k]), ring(k))
+                out["dataset"].append(part["dataset"].to_numpy()[best.row])
+                out["qkey"].append(part["qkey"].to_numpy()[best.row])
+                out["ckey"].append(keys[best.at])
+                out["first_chunk"].append(chunks[best.at])
+                out["sim"].append(best.sim)
+                once = np.diff(best.row, prepend=-1) > 0
+                out["compared"].append(np.where(once, best.compared[best.row], 0))
         return frame(out)
 
-    load = visits.groupBy("dataset", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("qblocks"))
-    blocks = cells.select("dataset", "cell", F.ceil(F.col("n") / BLOCK_ROWS).alias("cblocks")).join(load, ["dataset", "cell"])
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n))
-    q = visits.join(queries, ["dataset", "qkey"]).join(blocks, ["dataset", "cell"]).withColumn("a", own("qkey", "qblocks")).withColumn("b", every("cblocks")).drop("qblocks", "cblocks")
-    c = members.join(blocks, ["dataset", "cell"]).withColumn("b", own("ckey", "cblocks")).withColumn("a", every("qblocks")).drop("qblocks", "cblocks")
-    by = ("dataset", "cell", "a", "b")
+    blocks = visits.groupBy("dataset", "group").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).alias("blocks"))
+    q = visits.join(blocks, ["dataset", "group"]).withColumn("block", F.pmod(F.xxhash64("qkey"), F.col("blocks"))).drop("blocks")
+    c = members.unionByName(cells.drop("cell", "piece", "lo", "hi"), allowMissingColumns=True).join(blocks, ["dataset", "group"])
+    c = c.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks", "cell")
+    by = ("dataset", "group", "block")
     return q.groupBy(*by).cogroup(c.groupBy(*by)).applyInPandas(run, FOUND)
 
 
@@ -222,20 +305,19 @@ def cell_top_k(queries: DataFrame, corpus: DataFrame, keep: int, sparse: bool =
     q = materialize(vectors(queries.select("dataset", "qkey", "vec"), sparse), "query-vectors")
     c = vectors(corpus.select("dataset", "ckey", "first_chunk", "vec"), sparse)
     pivots = materialize(choose_pivots(c), "pivots")
-    members = materialize(assign_cells(c, pivots, sparse), "members")
-    cells = members.groupBy("dataset", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi"))
-    cells = materialize(cells.join(pivots, ["dataset", "cell"]), "cells")
-    held = q.filter("held")
-    visits = materialize(plan_visits(held, cells, keep, sparse), "visits")
-    infinite: Column = F.lit(float("inf"))
-    near = materialize(compare_visits(visits.filter("first").withColumn("reach", infinite), held, members, cells, keep, sparse, sparse), "first-round")
-    kth = near.withColumn("_r", F.row_number().over(Window.partitionBy("dataset", "qkey").orderBy(F.desc("sim"))))
-    kth = kth.filter(F.col("_r") == keep).select("dataset", "qkey", F.sqrt(F.lit(2.0) - 2.0 * F.col("sim") + 4.0 * 10**-PLACES).alias("reach"))
-    rest = visits.filter(~F.col("first")).join(kth, ["dataset", "qkey"], "left").withColumn("reach", F.coalesce("reach", infinite))
-    far = compare_visits(rest.filter(F.col("least") <= F.col("reach") + SLACK), held, members, cells, keep, sparse, sparse)
-    found = materialize(near.unionByName(far), "second-round")
-    pairs = found.groupBy("dataset", "qkey").agg(F.sum("compared").alias("compared"))
-    best = _ranked(found, keep).select("dataset", "qkey", "ckey", "sim").join(pairs, ["dataset", "qkey"])
+    members, cells = group_cells(materialize(assign_cells(c, pivots, sparse), "assigned"), pivots)
+    visits = materialize(plan_visits(q.filter("held"), cells, keep, sparse), "visits")
+    near = compare_visits(visits.filter("first").withColumn("reach", F.lit(float("inf"))), members, cells, keep, sparse, sparse)
+    # what the first round finds only bounds the second, which finds it again
+    by = Window.partitionBy("dataset", "qkey")
+    kth = materialize(near, "first-round").select("dataset", "qkey", "sim", F.sum("compared").over(by).alias("compared"), F.row_number().over(by.orderBy(F.desc("sim"))).alias("_r"))
+    kth = materialize(kth.filter(F.col("_r") == keep).select("dataset", "qkey", "compared", F.sqrt(F.lit(2.0) - 2.0 * F.col("sim") + 4.0 * 10**-PLACES).alias("_kth")), "reach")
+    rest = visits.join(kth.drop("compared"), ["dataset", "qkey"], "left").withColumn("reach", F.least("reach", "_kth")).drop("_kth")
+    rest = materialize(rest.filter(F.col("least") <= F.col("reach") + SLACK).withColumn("edge", F.lit(float("inf"))), "second-visits")
+    far = compare_visits(rest, members, cells, keep, sparse, sparse)
+    none = F.lit(None).cast("string")
+    both = far.unionByName(kth.select("dataset", "qkey", none.alias("ckey"), none.alias("first_chunk"), F.lit(None).cast("double").alias("sim"), "compared"))
+    best = _ranked(both.withColumn("compared", F.sum("compared").over(by)), keep).filter(F.col("sim").isNotNull()).select("dataset", "qkey", "ckey", "sim", "compared")
     ends = members.withColumn("_r", F.row_number().over(Window.partitionBy("dataset").orderBy("first_chunk", "ckey"))).filter(F.col("_r") <= keep)
     empty = q.filter(~F.col("held")).select("dataset", "qkey").join(ends.select("dataset", "ckey"), "dataset")
     return best.unionByName(empty.select("dataset", "qkey", "ckey", F.lit(0.0).alias("sim"), F.lit(0).cast("long").alias("compared")))
