@@ -159,3 +159,24 @@ def test_contradiction_and_types(spark):
     r = explained(spark, raw, "INSUFFICIENT_EVIDENCE")
     assert r["faithfulness_status"] == "INVALID" and "contradiction_check" in r["reasons"]
     assert r["claims"][0]["claim_type"] == "INTERPRETATION" and r["claims"][0]["claim_id"] == "CLM-w1-001" and len(r["claims"][0]["notes"]) == 1
+
+
+def test_document_frequencies_count_a_key_once(spark):
+    texts = [(1, "a b a"), (1, "b c"), (2, " a\tA "), (None, "c"), (None, "c d"), (3, None), (4, ""), (5, "d")]
+    rows = spark.createDataFrame([("x", k, t) for k, t in texts], "dataset string, doc_id long, text string")
+    got = {r["token"]: r["df"] for r in ret.document_frequencies(rows, "doc_id").collect()}
+    plain = {r["token"]: r["df"] for r in ret.fit_idf(rows, "doc_id").collect()}
+    assert got == plain == {"a": 2, "b": 1, "c": 2, "d": 2}
+    once = rows.filter("doc_id IN (2, 3, 4, 5)")
+    frequencies = ret.document_frequencies(once, "doc_id")
+    assert {r["token"]: r["df"] for r in frequencies.collect()} == {"a": 1, "d": 1}
+    # the rows between the tasks are tokens of a task, not tokens of a document
+    many = spark.range(400).selectExpr("'x' AS dataset", "id AS doc_id", "'p q r s' AS text").repartition(2)
+    writes = []
+    plans = ret.materialize
+    ret.materialize = lambda df, name: writes.append(df) or plans(df, name)
+    try:
+        assert ret.document_frequencies(many, "doc_id").count() == 4
+    finally:
+        ret.materialize = plans
+    assert "doc_id" not in writes[-1]._jdf.queryExecution().executedPlan().toString().split("Exchange")[1]

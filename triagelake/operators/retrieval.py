@@ -49,11 +49,30 @@ def token_counts(df: DataFrame, key: str) -> DataFrame:
     return rows.groupBy("dataset", key, "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def fit_idf(corpus: DataFrame, key: str = "chunk_id", counts: DataFrame | None = None) -> DataFrame:
-    """Smoothed inverse document frequency per token: ln((1+n)/(1+df)) + 1. ``counts`` stands for the texts."""
+def document_frequencies(corpus: DataFrame, key: str) -> DataFrame:
+    """(token, df): in how many items a token is, for texts that are read from a table.
+
+    A row's tokens are told apart in the row, so map tasks send one row per token. Only rows that share
+    their key with another are told apart by shuffle, as one item.
+    """
+    again = pin_small(corpus.groupBy("dataset", key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select(F.col("dataset").alias("_d"), F.col(key).alias("_k"), F.lit(True).alias("_again")))
+    # one pass over a long text: what stripping would cut off is an empty token here
+    rows = corpus.select("dataset", key, F.array_distinct(F.array_remove(F.split(F.lower("text"), r"\s+"), "")).alias("tokens"))
+    if again.isEmpty():
+        return materialize(rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")), "document-frequencies")
+    rows = rows.join(again, F.col("dataset").eqNullSafe(F.col("_d")) & F.col(key).eqNullSafe(F.col("_k")), "left").drop("_d", "_k")
+    single = rows.filter(F.col("_again").isNull()).select(F.explode("tokens").alias("token"))
+    shared = rows.filter("_again").select("dataset", key, F.explode("tokens").alias("token")).distinct().select("token")
+    return materialize(single.unionByName(shared).groupBy("token").agg(F.count(F.lit(1)).alias("df")), "document-frequencies")
+
+
+def fit_idf(corpus: DataFrame, key: str = "chunk_id", counts: DataFrame | None = None, frequencies: DataFrame | None = None) -> DataFrame:
+    """Smoothed inverse document frequency per token: ln((1+n)/(1+df)) + 1. ``counts`` or ``frequencies`` stand for the texts."""
     n = corpus.count()
-    counts = token_counts(corpus, key) if counts is None else counts
-    df = counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    if frequencies is None:
+        counts = token_counts(corpus, key) if counts is None else counts
+        frequencies = counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    df = frequencies
     return pin_small(df.select("token", "df", (F.log(F.lit(1.0 + n) / (F.col("df") + 1)) + 1).alias("idf")))
 
 

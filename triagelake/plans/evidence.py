@@ -73,7 +73,7 @@ def tfidf_idf(spark, sf):
 def document_idf(spark, sf):
     """The same fit over free text."""
     d = tables.table(spark, sf, "documents").select(F.lit("documents").alias("dataset"), "doc_id", "text")
-    return rounded(ret.fit_idf(d, "doc_id"))
+    return rounded(ret.fit_idf(d, "doc_id", frequencies=ret.document_frequencies(d, "doc_id")))
 
 
 def vocabulary_hash(spark, sf):
