@@ -91,3 +91,14 @@ def test_a_repeated_batch_is_written_once(spark, tmp_path):
 def test_stage_folder_without_the_checkpoint_setting(spark):
     folder = scratch_dir(spark)
     assert folder == scratch_dir(spark)
+
+
+def test_conflict_rows_don_t_filter_below_the_assessment(spark, tmp_path):
+    from triagelake.plans import branches
+
+    spark.range(1, 200).selectExpr("id AS o_orderkey", "id * 7 % 100 AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    rows = branches.conflict_grid(spark, str(tmp_path))
+    filters = [line for line in rows._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
+    assert filters and not any("sha2" in line for line in filters)
+    wanted = [(r["window_id"], c["conflict_id"], c["type"], c["severity"]) for r in branches.rs.assess(branches.incident_grid(spark, str(tmp_path))).select("window_id", "conflicts").collect() for c in r["conflicts"]]
+    assert wanted and sorted(map(tuple, rows.collect())) == sorted(wanted)

@@ -212,6 +212,15 @@ def assess(incidents: DataFrame) -> DataFrame:
     return decide(detect_conflicts(extract_signals(provenance_gate(incidents))))
 
 
+def conflict_rows(assessed: DataFrame) -> DataFrame:
+    """One row per conflict of a window.
+
+    Windows without one are left out after the arrays are opened: a filter on the array's size would be pushed
+    below every step of the assessment, with all of their expressions in it.
+    """
+    return assessed.select("window_id", F.inline_outer("conflicts")).filter(F.col("conflict_id").isNotNull())
+
+
 def ablation_modes(incidents: DataFrame, modes: Sequence[str] = MODES) -> DataFrame:
     """Assess every window once per mode (a fixed handful)."""
     return assess(incidents.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in modes]))))

@@ -51,7 +51,7 @@ def assessment_grid(spark, sf):
 
 
 def conflict_grid(spark, sf):
-    return rs.assess(incident_grid(spark, sf)).select("window_id", F.inline("conflicts"))
+    return rs.conflict_rows(rs.assess(incident_grid(spark, sf)))
 
 
 def outcome_grid(spark, sf):

@@ -41,7 +41,7 @@ def contributions(spark, sf):
 
 
 def conflicts(spark, sf):
-    return assessed(spark, sf).select("window_id", F.inline("conflicts"))
+    return rs.conflict_rows(assessed(spark, sf))
 
 
 def assessments(spark, sf):
