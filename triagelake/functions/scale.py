@@ -61,6 +61,11 @@ def pin_small(df: DataFrame, max_rows: int = PIN_MAX_ROWS) -> DataFrame:
     return df if local is None else F.broadcast(local)
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt out by ``by``: a compact file is few splits, too few where each row takes long."""
+    return df.repartition(max(rank_buckets(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism), *by)
+
+
 def rank_buckets(spark: SparkSession) -> int:
     """How many order buckets to cut: one per shuffle partition."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
@@ -129,11 +134,22 @@ def order_positions(
 ) -> DataFrame:
     """Add the 0-based position of each row inside its group, in (``order``, ``tiebreak``) order.
 
-    A group may hold any share of the rows: it is split into sub-groups along the order, ranked
-    there, and shifted by the sizes of the earlier sub-groups. A single value of ``order`` that
+    Groups of up to SINGLE_WINDOW_ROWS rows are ranked as they are, in one shuffle. A larger one, or the table
+    without groups, is split into sub-groups along the order, ranked there, and shifted by the sizes of the earlier sub-groups. A single value of ``order`` that
     fills a whole bucket is split further by blocks of the integer ``tiebreak``.
     """
     by = list(by)
+    if by and buckets is None:
+        # a few rows at most: each stands for SINGLE_WINDOW_ROWS of the table
+        large = pin_small(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > SINGLE_WINDOW_ROWS).select(*by))
+        plain = df if large.isEmpty() else df.join(large, by, "left_anti")
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(order, tiebreak))
+        columns = [*by, *[c for c in df.columns if c not in by]]
+        ranked = plain.dropna(subset=by).select(*columns, (rank - 1).cast("long").alias(out))
+        if large.isEmpty():
+            return ranked
+        cut = order_positions(df.join(large, by, "left_semi"), order, tiebreak, by, out, rank_buckets(df.sparkSession))
+        return ranked.unionByName(cut)
     n = buckets or rank_buckets(df.sparkSession)
     key = F.col(order)
     cut = _with_cuts(df, order, [], n)
