@@ -28,8 +28,7 @@ def mask(col: Column, patterns: Sequence[str] = SESSION_LOG_MASKS) -> Column:
 
 def words(col: Column) -> Column:
     """Whitespace-separated tokens; an empty text has none."""
-    clean = strip(col)
-    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, r"\s+"))
+    return F.array_remove(F.split(strip(col), r"\s+"), "")  # only an empty text gives an empty token
 
 
 def sha(*parts: Column) -> Column:

@@ -13,6 +13,7 @@ from triagelake.functions.text import strip
 # fixed value: header layout "date time pid level component: content"
 SESSION_LOG_HEADER = r"^(\d{6})\s+(\d{6})\s+(\d+)\s+([A-Za-z]+)\s+([^:]+):\s+(.*)$"
 SESSION_KEY = r"(blk_-?\d+)"
+_SEPARATOR = "\x01"
 
 # fixed values: the shapes of secrets, the first group is kept
 SECRET_PATTERNS = (
@@ -58,11 +59,16 @@ def _place(lines: DataFrame) -> list[str]:
 
 def parse_session_lines(lines: DataFrame, dataset: str = "hdfs") -> DataFrame:
     """Header parse of session logs. A line that does not match stays, with NULL header fields."""
-    line = strip(F.col("raw_text"))
-    ok = F.rlike(line, F.lit(SESSION_LOG_HEADER))
+    lines = lines.select(*_place(lines), strip(F.col("raw_text")).alias("_line"))
+    line = F.col("_line")
+    # one pass of the pattern writes all six groups; a line that holds the separator itself takes one pass a group
+    once = F.split(F.regexp_replace(line, SESSION_LOG_HEADER + r"[\s\S]*", _SEPARATOR.join(f"${i}" for i in range(1, 7))), _SEPARATOR)
+    each = F.when(F.rlike(line, F.lit(SESSION_LOG_HEADER)), F.array(*[F.regexp_extract(line, SESSION_LOG_HEADER, i) for i in range(1, 7)])).otherwise(F.array(line))
+    lines = lines.withColumn("_groups", F.when(F.contains(line, F.lit(_SEPARATOR)), each).otherwise(once))
+    ok = F.size("_groups") == 6
 
     def group(i: int) -> Column:
-        return F.when(ok, F.regexp_extract(line, SESSION_LOG_HEADER, i))
+        return F.when(ok, F.get("_groups", F.lit(i - 1)))
 
     return lines.select(
         F.lit(dataset).alias("dataset"),

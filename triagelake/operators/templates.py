@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triagelake.functions.scale import materialize, pin_small, running_totals
-from triagelake.functions.text import SESSION_LOG_MASKS, WILDCARD, mask, words
+from triagelake.functions.text import SESSION_LOG_MASKS, WILDCARD, mask, strip
 
 UNKNOWN_TEXT = "UNKNOWN"
+#: a whole token that holds a digit
+DIGIT_TOKEN = r"(?<!\S)[^\s\d]*+\d\S*+"
 #: up to this many more positions than must agree, shapes are linked by pairs of tokens
 PAIRED = 24
 #: a bucket of more shapes than this is cut into parts that can't influence one another; same templates either way
@@ -26,7 +28,13 @@ MAX_SHAPES_PER_BUCKET = 2_000
 
 def shape_tokens(content: Column, masks: Sequence[str] = SESSION_LOG_MASKS) -> Column:
     """Masked tokens; a token that still holds a digit is variable too."""
-    return F.transform(words(mask(content, masks)), lambda t: F.when(F.rlike(t, F.lit(r"\d")), F.lit(WILDCARD)).otherwise(t))
+    shape = F.regexp_replace(strip(mask(content, masks)), DIGIT_TOKEN, WILDCARD)
+    return F.array_remove(F.split(shape, r"\s+"), "")  # only an empty text gives an empty token
+
+
+def with_shape(lines: DataFrame, content: str = "content", masks: Sequence[str] = SESSION_LOG_MASKS) -> DataFrame:
+    """Add ``shape``, the masked tokens joined by spaces, for a table that is mined and matched: masked once."""
+    return lines.withColumn("shape", F.array_join(shape_tokens(F.col(content), masks), " "))
 
 
 def _merge_sorted(sim_th: float):
@@ -72,6 +80,7 @@ def mine_templates(
     masks: Sequence[str] = SESSION_LOG_MASKS,
     sim_th: float = 0.5,
     max_children: int | None = None,
+    shape: str | None = None,
 ) -> DataFrame:
     """Templates (template_id, template, size) of the TRAIN contents.
 
@@ -82,10 +91,13 @@ def mine_templates(
     work of one task, to the same templates. With ``max_children`` (a setting of the
     usual miners), positions of a bucket with more different tokens than that become wildcards first,
     and so does the first token of all but the most frequent such buckets of a length.
+
+    ``shape`` names a column that ``with_shape`` made from ``content`` by the same masks.
     """
-    tok = shape_tokens(F.col(content), masks)
-    shapes = lines.filter(F.col(content).isNotNull()).groupBy(tok.alias("tokens")).agg(F.count(F.lit(1)).alias("size"))
-    shapes = shapes.filter(F.size("tokens") > 0).withColumn("len", F.size("tokens")).withColumn("first", F.get("tokens", F.lit(0)))
+    # by text: counted without sorting, which arrays are not
+    text = F.array_join(shape_tokens(F.col(content), masks), " ") if shape is None else F.col(shape)
+    shapes = lines.filter(F.col(content).isNotNull()).groupBy(text.alias("_text")).agg(F.count(F.lit(1)).alias("size"))
+    shapes = shapes.filter(F.col("_text") != "").select(F.split("_text", " ").alias("tokens"), "size").withColumn("len", F.size("tokens")).withColumn("first", F.get("tokens", F.lit(0)))
     shapes = materialize(shapes, "shapes")
     if max_children is not None:
         shapes = materialize(_limit_children(shapes, max_children), "shapes")
@@ -177,20 +189,20 @@ def with_stable_ids(templates: DataFrame) -> DataFrame:
 
 
 def match_templates(
-    lines: DataFrame, templates: DataFrame, content: str = "content", masks: Sequence[str] = SESSION_LOG_MASKS
+    lines: DataFrame, templates: DataFrame, content: str = "content", masks: Sequence[str] = SESSION_LOG_MASKS, shape: str | None = None
 ) -> DataFrame:
     """Frozen match: a template fits if every token is equal or a wildcard in the template.
 
     Only the distinct shapes of the lines are matched; lines then join their shape. A stream, whose
     shapes can't be gathered, is matched line by line. The most specific template wins; a line without
-    one gets id -1.
+    one gets id -1. ``shape`` names a column that ``with_shape`` made from ``content`` by the same masks.
     """
     if lines.isStreaming:
         return _match_rows(lines, templates, content, masks)
-    shape = shape_tokens(F.col(content), masks)
-    shapes = lines.select(F.array_join(shape, " ").alias("_shape")).filter(F.col("_shape").isNotNull()).distinct()
+    text = F.array_join(shape_tokens(F.col(content), masks), " ") if shape is None else F.col(shape)
+    shapes = lines.select(text.alias("_shape")).filter(F.col("_shape").isNotNull()).distinct()
     matched = materialize(_match_rows(shapes, templates, "_shape", (), split=True), "matched-shapes")
-    keyed = lines.withColumn("_shape", F.array_join(shape, " ")).join(matched, "_shape", "left").drop("_shape")
+    keyed = lines.withColumn("_shape", text).join(matched, "_shape", "left").drop("_shape")
     return keyed.withColumn("template_id", F.coalesce("template_id", F.lit(-1))).withColumn("template", F.coalesce("template", F.lit(UNKNOWN_TEXT)))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from triagelake.operators import parse, splits, templates, windows
-from triagelake.functions.scale import materialize
+from triagelake.functions.scale import materialize, spread
 from triagelake.functions.text import ALERT_LOG_MASKS, mask
 from triagelake.plans import base
 from triagelake.plans.base import RECORDS, WINDOWS, rounded, sql
@@ -36,8 +36,10 @@ def _parsed(spark, sf):
 
 
 def _parsed_stage(spark, sf):
-    """Parsed lines as a written table, for queries that mine and then match them."""
-    return materialize(_parsed(spark, sf), "parsed")
+    """Parsed lines with their shape as a written table, for queries that mine and then match them."""
+    e = spread(tables.table(spark, sf, "events"), "event_id", "ts", "user_id")
+    p = templates.with_shape(parse.parse_lines(tables.as_lines(e), "hdfs"))
+    return materialize(p.select("line_number", "content", "shape"), "parsed")
 
 
 def parse_header_lines(spark, sf):
@@ -52,7 +54,7 @@ def parse_alert_lines(spark, sf):
 
 def parse_stats(spark, sf):
     p = _parsed_stage(spark, sf)
-    return parse.parse_stats(templates.match_templates(p, templates.mine_templates(p)))
+    return parse.parse_stats(templates.match_templates(p, templates.mine_templates(p, shape="shape"), shape="shape"))
 
 
 def mask_variables(spark, sf):
@@ -82,7 +84,7 @@ def mine_templates(spark, sf):
 
 def match_templates(spark, sf):
     p = _parsed_stage(spark, sf)
-    m = templates.match_templates(p, templates.mine_templates(p))
+    m = templates.match_templates(p, templates.mine_templates(p, shape="shape"), shape="shape")
     return rounded(m.select("line_number", "template_id", "template"))
 
 
