@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.functions.scale import materialize
+from triagelake.functions.scale import materialize, spread
 from triagelake.operators import calibration as cal
 from triagelake.operators import parse, scorers, splits, templates, windows
 from triagelake.plans.base import ALPHA, WINDOW_SIZE, rounded, sql
@@ -20,7 +20,7 @@ def _lines(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     e = tables.table(spark, sf, "events")
     n = e.agg(F.count(F.lit(1))).scalar()
     late = F.col("line_number") > n * F.lit(LATE_SHARE)
-    lines = tables.as_lines(e).withColumn("raw_text", F.when(late, F.replace(F.col("raw_text"), F.lit("Handled view"), F.lit("Refused view"))).otherwise(F.col("raw_text")))
+    lines = tables.as_lines(spread(e, "event_id", "ts", "user_id")).withColumn("raw_text", F.when(late, F.replace(F.col("raw_text"), F.lit("Handled view"), F.lit("Refused view"))).otherwise(F.col("raw_text")))
     labels = e.select((F.col("event_id") + 1).alias("line_number"), ((F.col("event_type") == "error") & (F.col("value") > 100)).alias("is_anomaly"))
     return lines, labels
 
@@ -33,8 +33,8 @@ def _decided(parsed: DataFrame, bare: DataFrame, key: DataFrame, alpha: float =
     """
     split = materialize(splits.chronological_split(bare).drop("has_unknown_template"), "split-windows")
     placed = materialize(parsed.join(key, "line_number").join(split.select("window_id", "split"), "window_id"), "placed-lines")
-    frozen = templates.mine_templates(placed.filter(F.col("split") == "train"))
-    matched = templates.match_templates(placed, frozen)
+    frozen = templates.mine_templates(placed.filter(F.col("split") == "train"), shape="shape")
+    matched = templates.match_templates(placed, frozen, shape="shape")
     counts = materialize(windows.template_counts(matched), "template-counts")
     fit = scorers.fit_frequency(counts.join(split.filter(F.col("split") == "train").select("window_id"), "window_id", "left_semi"))
     unknown = counts.groupBy("dataset", "window_id").agg(F.bool_or(F.col("template_id") == windows.UNKNOWN_TEMPLATE).alias("has_unknown_template"))
@@ -47,7 +47,8 @@ def _decided(parsed: DataFrame, bare: DataFrame, key: DataFrame, alpha: float =
 
 def _parsed(spark: SparkSession, sf: str) -> DataFrame:
     lines, labels = _lines(spark, sf)
-    return materialize(parse.parse_lines(lines, "hdfs").drop("is_anomaly").join(labels, "line_number"), "parsed")
+    parsed = templates.with_shape(parse.parse_lines(lines, "hdfs").drop("is_anomaly", "raw_message"))
+    return materialize(parsed.join(labels, "line_number"), "parsed")
 
 
 def raw_fixed_slice(spark, sf):
