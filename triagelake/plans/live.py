@@ -15,7 +15,7 @@ from triagelake.operators import registry as reg
 from triagelake.plans import base, chain
 from triagelake.plans.audit import _PSI
 from triagelake.plans.base import ALPHA, RECORDS, rounded, sql
-from triagelake.plans.ingest import MASKED, _TEMPLATES
+from triagelake.plans.ingest import MASKED, _TEMPLATES, _parsed_stage
 from triagelake.plans.scoring import _CAL
 from triagelake.sources import tables
 from triagelake.streaming import triage
@@ -42,7 +42,7 @@ def _timed(e: DataFrame) -> DataFrame:
 
 def stream_parse(spark, sf):
     """Frozen match of streamed lines against templates mined from the table."""
-    fitted = materialize(templates.mine_templates(parse.parse_lines(tables.event_lines(spark, sf), "hdfs")), "dictionary")
+    fitted = materialize(templates.mine_templates(_parsed_stage(spark, sf), shape="shape"), "dictionary")
     lines = tables.as_lines(_file_stream(spark, sf, "events"))
     return rounded(_drain(triage.parse_stream(lines, fitted, "hdfs").select("line_number", "template_id", "template")))
 
@@ -53,11 +53,13 @@ def stream_parse_versions(spark, sf):
     The last tenth prints another verb, which no dictionary knows.
     """
     lines, _ = chain._lines(spark, sf)
+    # the dictionaries differ in their lines only, so lines are parsed and masked once
+    parsed = materialize(templates.with_shape(parse.parse_lines(lines, "hdfs")).select("line_number", "content", "shape"), "parsed")
     n = lines.count()
     run, root = uuid.uuid4().hex, scratch_dir(spark)
     for seq, (name, share) in enumerate((("first", 0.001), ("train", 0.6)), 1):
-        early = parse.parse_lines(lines.filter(F.col("line_number") <= n * F.lit(share)), "hdfs")
-        reg.register(templates.mine_templates(early).withColumn("seq", F.lit(seq)), f"{root}/dictionaries-{run}", name)
+        early = parsed.filter(F.col("line_number") <= n * F.lit(share))
+        reg.register(templates.mine_templates(early, shape="shape").withColumn("seq", F.lit(seq)), f"{root}/dictionaries-{run}", name)
     late = F.col("line_number") > n * F.lit(chain.LATE_SHARE)
     live = tables.as_lines(_file_stream(spark, sf, "events")).withColumn("raw_text", F.when(late, F.replace(F.col("raw_text"), F.lit("Handled view"), F.lit("Refused view"))).otherwise(F.col("raw_text")))
     query = live.writeStream.foreachBatch(triage.parse_per_batch(f"{root}/dictionaries-{run}", f"{root}/parsed-{run}", "hdfs")).option("checkpointLocation", f"{root}/state-{run}").trigger(availableNow=True).start()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from triagelake.functions.scale import pin_small
+from triagelake.functions.scale import materialize, pin_small
 from triagelake.operators import monitoring as mon
 from triagelake.operators import parse, registry, templates
 from triagelake.operators.scorers import UNKNOWN_TEMPLATE
@@ -32,7 +32,9 @@ def parse_per_batch(dictionaries: str, out_path: str, dataset: str) -> Callable[
     def run(batch: DataFrame, batch_id: int) -> None:
         held = registry.registered(batch.sparkSession, dictionaries)
         version = held.agg(F.max("seq")).first()[0]
-        found = templates.match_templates(parse.parse_lines(batch, dataset), held.filter(F.col("seq") == version).select("template_id", "template", "size"))
+        # parsed and masked once, though the match reads the lines twice
+        parsed = materialize(templates.with_shape(parse.parse_lines(batch, dataset)), "batch-lines")
+        found = templates.match_templates(parsed, held.filter(F.col("seq") == version).select("template_id", "template", "size"), shape="shape").drop("shape")
         found.withColumn("dictionary", F.lit(version)).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
     return run
