@@ -54,51 +54,74 @@ def stream_session_windows(records: DataFrame, gap: str, delay: str, time: str =
 
 
 _WINDOW_OUT = "dataset string, window_id string, start_time double, end_time double, record_count long, anomalous_record_count long, score double, complete boolean"
-_WINDOW_STATE = "n long, start double, end double, first long, last long, bad long, surprise double"
+#: the open windows of a block, an entry each; ``n`` is -1 for one that was emitted on timeout, ``due`` its time in ms
+_WINDOW_STATE = "window_id array<string>, n array<long>, start array<double>, end array<double>, first array<long>, last array<long>, bad array<long>, surprise array<double>, due array<long>"
+_STATE_COLUMNS = [c.split()[0] for c in _WINDOW_STATE.split(", ")]
+#: consecutive windows that one group folds together
+WINDOWS_PER_BLOCK = 2_000
+
+
+def _sums(b: pd.DataFrame) -> pd.DataFrame:
+    """One row per window of the records in ``b``."""
+    by = b.assign(bad=b["is_anomaly"].eq(True).astype("int64")).groupby("window_id", sort=False)
+    out = by.agg(n=("bad", "size"), bad=("bad", "sum"), surprise=("surprise", "sum"))
+    timed = b[b["timestamp"].notna() & b["line_number"].notna()].sort_values("line_number").groupby("window_id", sort=False)
+    lo, hi = timed.first(), timed.last()
+    return out.assign(first=lo["line_number"], start=lo["timestamp"], last=hi["line_number"], end=hi["timestamp"])
+
+
+def _merged(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    """Sums of the windows of two tables; where both have a first or a last line, ``a`` keeps an equal one."""
+    if a.empty:
+        return b
+    both = pd.concat([a, b])
+    by = both.groupby(level=0, sort=False)
+    out = by.agg({"n": "sum", "bad": "sum", "surprise": "sum"})
+    lo = both.sort_values("first", kind="stable").groupby(level=0, sort=False).first()
+    hi = both.sort_values("last", kind="stable", ascending=False).groupby(level=0, sort=False).first()
+    return out.assign(first=lo["first"], start=lo["start"], last=hi["last"], end=hi["end"])
 
 
 def _collect_window(size: int, min_size: int, patience_ms: int):
-    """Fold the records of one window into a few numbers; emit when it is full, or late on timeout."""
+    """Fold the records of a block of windows into a few numbers each; emit those that are full, or late on timeout."""
 
-    def row(key: tuple, s: tuple, complete: bool) -> pd.DataFrame:
-        n, start, end, _, _, bad, surprise = s
-        return pd.DataFrame([(key[0], key[1], start, end, n, bad, round(surprise / n, 9), complete)], columns=[c.split()[0] for c in _WINDOW_OUT.split(", ")])
+    def rows(dataset: str, w: pd.DataFrame, complete: bool) -> pd.DataFrame:
+        return pd.DataFrame({
+            "dataset": dataset, "window_id": w.index, "start_time": w["start"].to_numpy(), "end_time": w["end"].to_numpy(), "record_count": w["n"].to_numpy(),
+            "anomalous_record_count": w["bad"].to_numpy(), "score": [round(s / n, 9) for s, n in zip(w["surprise"], w["n"], strict=True)], "complete": complete,
+        })
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = state.get if state.exists else (0, None, None, None, None, 0, 0.0)
-        if state.hasTimedOut:
-            if s[0] < 0:  # was emitted, and stragglers had their time
-                state.remove()
-                return
-            state.update((-1, *s[1:]))
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + patience_ms)
-            if s[0] >= min_size:
-                yield row(key, s, False)
-            return
-        if s[0] < 0:  # emitted on timeout; its stragglers can't change it
-            for _ in batches:
-                pass
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + patience_ms)
-            return
-        n, start, end, first, last, bad, surprise = s
-        for b in batches:
-            n, bad, surprise = n + len(b), bad + int(b["is_anomaly"].fillna(False).sum()), surprise + float(b["surprise"].sum())
-            timed = b[b["timestamp"].notna()].sort_values("line_number")
-            if len(timed):
-                lo, hi = timed.iloc[0], timed.iloc[-1]
-                if first is None or lo["line_number"] < first:
-                    first, start = int(lo["line_number"]), float(lo["timestamp"])
-                if last is None or hi["line_number"] > last:
-                    last, end = int(hi["line_number"]), float(hi["timestamp"])
-        s = (n, start, end, first, last, bad, surprise)
-        seen_ms = max(state.getCurrentWatermarkMs(), int((end or 0.0) * 1000))
-        if n >= size:
+        now = state.getCurrentWatermarkMs()
+        held = dict(zip(_STATE_COLUMNS, state.get, strict=True)) if state.exists else {c: [] for c in _STATE_COLUMNS}
+        held = pd.DataFrame({c: pd.Series(v, dtype=object if c == "window_id" else "Int64" if c in ("n", "first", "last", "bad", "due") else "float64") for c, v in held.items()}).set_index("window_id")
+        new = held.iloc[:0].drop(columns="due")
+        if not state.hasTimedOut:
+            for b in batches:
+                new = _merged(new, _sums(b))
+        over = held["n"] < 0  # emitted on timeout; its stragglers can't change it
+        touched = held.index.isin(new.index)
+        held.loc[over & touched, "due"] = now + patience_ms
+        new = new[~new.index.isin(held.index[over])]
+        grown = _merged(held[touched & ~over].drop(columns="due"), new)
+        full = grown["n"] >= size
+        if full.any():
+            yield rows(key[0], grown[full], True)
+        seen = (grown["end"].fillna(0.0).astype("float64") * 1000).astype("int64").clip(lower=now)
+        grown = grown.assign(due=seen + patience_ms)[~full]
+        rest = held[over | ~touched]
+        late = rest["due"] < now
+        kept, done = rest[~late], rest[late & (rest["n"] >= 0)]
+        if (done["n"] >= min_size).any():
+            yield rows(key[0], done[done["n"] >= min_size], False)
+        held = pd.concat([t for t in (kept, grown, done.assign(n=-1, due=now + patience_ms)) if len(t)] or [kept])
+        if held.empty:
             if state.exists:
                 state.remove()
-            yield row(key, s, True)
-        else:
-            state.update(s)
-            state.setTimeoutTimestamp(seen_ms + patience_ms)
+            return
+        plain = lambda c: [None if pd.isna(v) else float(v) if c in ("start", "end", "surprise") else int(v) for v in held[c]]
+        state.update((list(held.index), *[plain(c) for c in _STATE_COLUMNS[1:]]))
+        state.setTimeoutTimestamp(max(int(held["due"].min()), now + 1))
 
     return step
 
@@ -106,16 +129,18 @@ def _collect_window(size: int, min_size: int, patience_ms: int):
 def stream_scored_windows(records: DataFrame, frequency_fit: DataFrame, size: int, prefix: str, index: str = "line_number", min_size: int = 1, delay: str = "1 hour", patience_ms: int = 600_000, time: str = "ts") -> DataFrame:
     """Fixed windows with their frequency score.
 
-    The window of a record follows from its line index, so the state is keyed by window and holds
-    at most ``size`` records' worth of sums; no source, however busy, gathers in one task. A window
+    The window of a record follows from its line index, and the state is keyed by block of
+    WINDOWS_PER_BLOCK windows: a group is one call, so windows are folded many at a time. It holds the sums of
+    the block's open windows only; no source, however busy, gathers in one task. A window
     that never fills is emitted once the watermark passes its last record by ``patience_ms``; records that
     come within another ``patience_ms`` are dropped, so no window is emitted twice.
     """
     unknown = frequency_fit.filter(F.col("template_id") == UNKNOWN_TEMPLATE).first()["log_p"]
     scored = records.join(pin_small(frequency_fit), "template_id", "left").withColumn("surprise", -F.coalesce("log_p", F.lit(unknown)))
     keyed = scored.withColumn("window_id", fixed_window_key(F.col(index), size, prefix))
-    slim = keyed.withWatermark(time, delay).select("dataset", "window_id", "line_number", "timestamp", "is_anomaly", "surprise", time)
-    return slim.groupBy("dataset", "window_id").applyInPandasWithState(_collect_window(size, min_size, patience_ms), _WINDOW_OUT, _WINDOW_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    block = F.floor((F.col(index) - 1) / (size * WINDOWS_PER_BLOCK)).alias("block")
+    slim = keyed.withWatermark(time, delay).select("dataset", block, "window_id", "line_number", "timestamp", "is_anomaly", "surprise", time)
+    return slim.groupBy("dataset", "block").applyInPandasWithState(_collect_window(size, min_size, patience_ms), _WINDOW_OUT, _WINDOW_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drift_per_batch(reference: DataFrame, out_path: str, score: str = "score") -> Callable[[DataFrame, int], None]:
