@@ -6,6 +6,7 @@ from math import log
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from triagelake.llm import near_dup as N
 
@@ -160,3 +161,12 @@ def test_components_of_chains_stars_and_loops(spark):
     again = N.components(spark.createDataFrame(edges[1::2], "a long, b long"), first)
     assert {r["node"]: r["label"] for r in again.collect()} == want
     assert N.components(spark.createDataFrame([], "a long, b long"), again) is again
+
+
+def test_a_block_holds_about_four_megabytes(spark):
+    """A task counts and signs a whole block, at some 25 times its bytes."""
+    df = spark.range(800).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id", F.repeat(F.lit(" word"), 2000)).alias("text"))
+    found, total = N.distinct_texts(df)
+    sizes = found.groupBy("block", "slices").agg(F.sum(F.octet_length("text")).alias("s")).collect()
+    assert total == 800 and sum(r["s"] for r in sizes) > 8_000_000
+    assert len(sizes) == 2 and max(r["s"] for r in sizes) < 5_000_000 and {r["slices"] for r in sizes} == {1}

@@ -18,7 +18,7 @@ SIMILARITY = 0.8
 #: a pair at the threshold misses all bands with probability (1 - 0.8**4)**16 = 0.0002
 BANDS, ROWS = 16, 4
 #: text counted, asked about and signed at once
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: texts of one block are hashed and sorted in pieces that stay in the cache
 PIECE = 1 << 18
 #: times that leaders of a bucket are compared with its members before the rest is compared in pairs
@@ -78,7 +78,7 @@ def distinct_texts(body: DataFrame) -> tuple[DataFrame, int]:
     found, _ = write_stage(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text")), "distinct-texts", compression="zstd")
     total, size = found.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     blocks = 1 + (size or 0) // BLOCK_BYTES
-    slices = 1 + blocks // 2
+    slices = 1 + blocks // 4
     return found.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks))).withColumn("slices", F.lit(slices)), total
 
 
@@ -98,7 +98,7 @@ def document_frequencies(found: DataFrame) -> DataFrame:
     Every shingle is counted over all texts. A block counts its own texts first and asks one slice of
     the range of hashes after the other: sorted hashes are sent as the steps between them, one row for a
     block and slice. A slice adds up the counts of all blocks and answers in the order asked, so an
-    answer is a list of numbers. There are half as many slices as blocks, so neither grows with the table,
+    answer is a list of numbers. There are a quarter as many slices as blocks, so neither grows with the table,
     and a shingle in every text is one number for each block.
     """
 
@@ -321,12 +321,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
 
     def sign(left: pa.Table, right: pa.Table) -> pa.Table:
         h, tf, n = _vectors_of(texts(left))
-        answers = sorted(zip(right.column("slice").to_pylist(), right.column("df").to_pylist(), strict=True))
-        of = np.concatenate([np.zeros(0, np.int64), *[_numbers(x, np.int64) for _, x in answers]])
+        answers = right.column("df")
+        of = np.concatenate([np.zeros(0, np.int64), *[_numbers(answers[int(i)].as_py(), np.int64) for i in np.argsort(right.column("slice").to_numpy())]])
         df = of[np.unique(h, return_inverse=True)[1]]
         w = weights(tf, df, total)
-        rank = np.repeat(np.arange(left.num_rows), n)
-        whole = np.bincount(rank, weights=w, minlength=left.num_rows)
+        whole = np.bincount(np.repeat(np.arange(left.num_rows), n), weights=w, minlength=left.num_rows)
+        del of, tf
         keys = band_keys(samples(h, w, n, bands * rows), bands, rows).view(np.int64)
         offsets = np.concatenate(([0], np.cumsum((n > 0) * bands))).astype(np.int32)
         ends = np.cumsum(n)
