@@ -174,8 +174,12 @@ def evidence_graph(assessed: DataFrame, threshold: float) -> tuple[DataFrame, Da
 
 
 def dangling_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges with an endpoint that is no node."""
-    ids = nodes.select(F.col("incident_id"), F.col("id"))
+    """Edges with an endpoint that is no node.
+
+    The nodes are told from the size of the windows' files before each window became many nodes, so
+    they'd be broadcast however many they are; the hint keeps the join a shuffle join.
+    """
+    ids = nodes.select(F.col("incident_id"), F.col("id")).hint("merge")
     ends = edges.select("incident_id", F.explode(F.array("source", "target")).alias("id"))
     return ends.join(ids, ["incident_id", "id"], "left_anti")
 
