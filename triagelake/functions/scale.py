@@ -91,6 +91,20 @@ def _with_cuts(df: DataFrame, key: str, by: Sequence[str], buckets: int) -> Data
     return df.withColumn("_cuts", F.element_at(lookup, F.struct(*by)))
 
 
+def _cuts_below(cuts: Column, value: Column, most: int) -> Column:
+    """How many of the ordered ``cuts``, ``most`` of them, lie below ``value``, by halving.
+
+    ``value`` is worked out once a row; inside a filter it would be once a cut.
+    """
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(most.bit_length()))])
+
+    def halving(x: Column) -> Column:
+        return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(x["cuts"], at + s - 1) < x["value"], at + s).otherwise(at))
+
+    found = F.get(F.transform(F.array(F.struct(cuts.alias("cuts"), value.alias("value"))), halving), F.lit(0))
+    return F.when(cuts.isNull(), F.size(cuts)).otherwise(found)
+
+
 def running_totals(
     df: DataFrame,
     key: str,
@@ -112,7 +126,7 @@ def running_totals(
         return small.select("*", *[F.sum(c).over(w).alias(o) for o, c in sums.items()])
     n = buckets or rank_buckets(df.sparkSession)
     placed = _with_cuts(df, key, by, n).withColumn(
-        "_b", F.size(F.filter("_cuts", lambda c: c < _numeric_order(df, key)))
+        "_b", _cuts_below(F.col("_cuts"), _numeric_order(df, key), n - 1)
     ).drop("_cuts")
     totals = placed.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
     order = F.desc if descending else F.asc

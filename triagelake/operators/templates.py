@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,58 +18,102 @@ from triagelake.functions.scale import materialize, pin_small, running_totals
 from triagelake.functions.text import SESSION_LOG_MASKS, WILDCARD, mask, strip
 
 UNKNOWN_TEXT = "UNKNOWN"
-#: a whole token that holds a digit
-DIGIT_TOKEN = r"(?<!\S)[^\s\d]*+\d\S*+"
+#: a whole token that holds a digit, with the blank before it: looking behind every character takes ten times as long
+DIGIT_TOKEN = r"(^|\s)[^\s\d]*+\d\S*+"
 #: up to this many more positions than must agree, shapes are linked by pairs of tokens
 PAIRED = 24
 #: a bucket of more shapes than this is cut into parts that can't influence one another; same templates either way
 MAX_SHAPES_PER_BUCKET = 2_000
 
 
+#: rows of templates sent back to Spark at once
+ROWS_PER_BATCH = 5_000
+
+
+def shape_text(content: Column, masks: Sequence[str] = SESSION_LOG_MASKS) -> Column:
+    """Masked tokens joined by spaces; a token that still holds a digit is variable too."""
+    return F.regexp_replace(F.regexp_replace(strip(mask(content, masks)), DIGIT_TOKEN, f"$1{WILDCARD}"), r"\s+", " ")
+
+
 def shape_tokens(content: Column, masks: Sequence[str] = SESSION_LOG_MASKS) -> Column:
-    """Masked tokens; a token that still holds a digit is variable too."""
-    shape = F.regexp_replace(strip(mask(content, masks)), DIGIT_TOKEN, WILDCARD)
-    return F.array_remove(F.split(shape, r"\s+"), "")  # only an empty text gives an empty token
+    """The tokens of ``shape_text``."""
+    return F.array_remove(F.split(shape_text(content, masks), " "), "")  # only an empty text gives an empty token
 
 
 def with_shape(lines: DataFrame, content: str = "content", masks: Sequence[str] = SESSION_LOG_MASKS) -> DataFrame:
     """Add ``shape``, the masked tokens joined by spaces, for a table that is mined and matched: masked once."""
-    return lines.withColumn("shape", F.array_join(shape_tokens(F.col(content), masks), " "))
+    return lines.withColumn("shape", shape_text(F.col(content), masks))
+
+
+class _Bucket:
+    """The templates of one part of a bucket, one column each; 0 is the wildcard."""
+
+    def __init__(self, tokens: list[str], size: int):
+        self.codes = {WILDCARD: 0}
+        self.merged = np.empty((len(tokens), 4), dtype=np.int32)
+        self.totals: list[int] = []
+        self._append(tokens, size)
+
+    def _append(self, tokens: list[str], size: int) -> None:
+        used = len(self.totals)
+        if used == self.merged.shape[1]:
+            self.merged = np.concatenate((self.merged, np.empty_like(self.merged)), axis=1)
+        self.merged[:, used] = [self.codes.setdefault(t, len(self.codes)) for t in tokens]
+        self.totals.append(size)
+
+    def add(self, tokens: list[str], size: int, sim_th: float) -> None:
+        """Merge a shape into the most similar template so far, the first of equals, or let it be one."""
+        row = np.array([self.codes.get(t, -1) or -2 for t in tokens], dtype=np.int32)  # -1: in no template so far; -2: a wildcard agrees with nothing
+        same = (self.merged[:, : len(self.totals)] == row[:, None]).view(np.uint8)
+        same = same.sum(axis=0, dtype=np.uint8 if len(row) < 256 else np.int64)
+        best = int(same.argmax())
+        if same[best] / len(row) >= sim_th:
+            old = self.merged[:, best]
+            self.merged[:, best] = np.where(old == row, old, 0)
+            self.totals[best] += size
+        else:
+            self._append(tokens, size)
+
+    def templates(self) -> list[str]:
+        names = list(self.codes)
+        return [" ".join([names[c] for c in m]) for m in self.merged[:, : len(self.totals)].T.tolist()]
 
 
 def _merge_sorted(sim_th: float):
     """Merge the shapes of each part of a bucket, biggest first, into the most similar template so far.
 
-    The rows come sorted by part; only the templates of one part are held, never its shapes.
+    The rows come sorted by part; only the templates of one part are held, never its shapes. The only shape of a
+    part is its template.
     """
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bucket, codes, merged, totals, used = None, {}, np.empty((0, 0), dtype=np.int64), [], 0
-
-        def done() -> pd.DataFrame:
-            names = list(codes)
-            return pd.DataFrame({"template": [" ".join(names[c] for c in m) for m in merged[:used]], "size": totals})
-
-        for pdf in batches:
-            for first, part, tokens, size in zip(pdf["first"], pdf["part"], pdf["tokens"], pdf["size"], strict=True):
-                if (len(tokens), first, part) != bucket:
-                    if used:
-                        yield done()
-                    bucket, codes, merged, totals, used = (len(tokens), first, part), {WILDCARD: 0}, np.empty((16, len(tokens)), dtype=np.int64), [], 0
-                row = np.array([codes.get(t, -1) for t in tokens], dtype=np.int64)  # -1: in no template so far
-                same = ((merged[:used] == row) & (merged[:used] != 0)).mean(axis=1) if used else np.array([])
-                if used and same.max() >= sim_th:
-                    best = int(same.argmax())
-                    merged[best] = np.where(merged[best] == row, row, 0)
-                    totals[best] += size
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, text, total, bucket, texts, sizes = None, "", 0, None, [], []
+
+        def close() -> None:
+            if bucket is not None:
+                texts.extend(bucket.templates()), sizes.extend(bucket.totals)
+            elif key is not None:
+                texts.append(text), sizes.append(total)
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(sizes, pa.int64())], ["template", "size"])
+            texts.clear(), sizes.clear()
+            return out
+
+        for b in batches:
+            for *part, shape, size in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if part != key:
+                    close()
+                    key, text, total, bucket = part, shape, size, None
+                    if len(texts) >= ROWS_PER_BATCH:
+                        yield flush()
                 else:
-                    if used == len(merged):
-                        merged = np.concatenate((merged, np.empty_like(merged)))
-                    merged[used] = [codes.setdefault(t, len(codes)) for t in tokens]
-                    totals.append(size)
-                    used += 1
-        if used:
-            yield done()
+                    if bucket is None:
+                        bucket = _Bucket(text.split(" "), total)
+                    bucket.add(shape.split(" "), size, sim_th)
+        close()
+        if texts:
+            yield flush()
 
     return merge
 
@@ -94,16 +138,18 @@ def mine_templates(
 
     ``shape`` names a column that ``with_shape`` made from ``content`` by the same masks.
     """
-    # by text: counted without sorting, which arrays are not
-    text = F.array_join(shape_tokens(F.col(content), masks), " ") if shape is None else F.col(shape)
-    shapes = lines.filter(F.col(content).isNotNull()).groupBy(text.alias("_text")).agg(F.count(F.lit(1)).alias("size"))
-    shapes = shapes.filter(F.col("_text") != "").select(F.split("_text", " ").alias("tokens"), "size").withColumn("len", F.size("tokens")).withColumn("first", F.get("tokens", F.lit(0)))
-    shapes = materialize(shapes, "shapes")
+    # by text: counted without sorting, which arrays are not; empty ones go afterwards, or each line would be masked twice
+    text = shape_text(F.col(content), masks) if shape is None else F.col(shape)
+    counted = lines.filter(F.col(content).isNotNull()).groupBy(text.alias("text")).agg(F.count(F.lit(1)).alias("size"))
+    blanks = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))
+    shapes = counted.withColumn("len", (blanks + 1).cast("int")).withColumn("first", F.substring_index("text", " ", 1))
+    shapes = materialize(shapes, "shapes").filter(F.col("text") != "").withColumn("tokens", F.split("text", " "))
     if max_children is not None:
-        shapes = materialize(_limit_children(shapes, max_children), "shapes")
-    parts = independent_parts(shapes, sim_th).select("len", "first", "part", "tokens", "size")
-    ordered = parts.repartition("len", "first", "part").sortWithinPartitions("len", "first", "part", F.desc("size"), F.array_join("tokens", " "))
-    merged = ordered.mapInPandas(_merge_sorted(sim_th), "template string, size long")
+        shapes = materialize(_limit_children(shapes, max_children), "shapes").withColumn("text", F.array_join("tokens", " "))
+    by = ("len", "first", "part")
+    parts = independent_parts(shapes, sim_th).select(*by, "text", "size")
+    ordered = parts.repartition(*by).sortWithinPartitions(*by, F.desc("size"), "text")
+    merged = ordered.mapInArrow(_merge_sorted(sim_th), "template string, size long")
     distinct = materialize(merged.groupBy("template").agg(F.sum("size").alias("size"), F.lit(1).alias("one")), "templates")
     return with_stable_ids(distinct)
 
@@ -199,7 +245,7 @@ def match_templates(
     """
     if lines.isStreaming:
         return _match_rows(lines, templates, content, masks)
-    text = F.array_join(shape_tokens(F.col(content), masks), " ") if shape is None else F.col(shape)
+    text = shape_text(F.col(content), masks) if shape is None else F.col(shape)
     shapes = lines.select(text.alias("_shape")).filter(F.col("_shape").isNotNull()).distinct()
     matched = materialize(_match_rows(shapes, templates, "_shape", (), split=True), "matched-shapes")
     keyed = lines.withColumn("_shape", text).join(matched, "_shape", "left").drop("_shape")
