@@ -10,7 +10,7 @@ from triagelake.operators import templates
 
 def test_lines_are_masked_once(spark, monkeypatch):
     plans, write = [], templates.materialize
-    monkeypatch.setattr(templates, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, name))
+    monkeypatch.setattr(templates, "materialize", lambda df, *a: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, *a))
     lines = spark.createDataFrame([("start job 17",), ("start job x9",), ("",), ("  ",), (None,), ("77",)], "content string")
     got = {(r["template"], r["size"]) for r in templates.mine_templates(lines).collect()}
     assert got == {("start job <*>", 2), ("<*>", 1)}

@@ -26,6 +26,8 @@ PAIRED = 24
 MAX_SHAPES_PER_BUCKET = 2_000
 
 
+#: stages of texts take less disk so
+STAGE_CODEC = "zstd"
 #: rows of templates sent back to Spark at once
 ROWS_PER_BATCH = 5_000
 
@@ -143,14 +145,14 @@ def mine_templates(
     counted = lines.filter(F.col(content).isNotNull()).groupBy(text.alias("text")).agg(F.count(F.lit(1)).alias("size"))
     blanks = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))
     shapes = counted.withColumn("len", (blanks + 1).cast("int")).withColumn("first", F.substring_index("text", " ", 1))
-    shapes = materialize(shapes, "shapes").filter(F.col("text") != "").withColumn("tokens", F.split("text", " "))
+    shapes = materialize(shapes, "shapes", STAGE_CODEC).filter(F.col("text") != "").withColumn("tokens", F.split("text", " "))
     if max_children is not None:
         shapes = materialize(_limit_children(shapes, max_children), "shapes").withColumn("text", F.array_join("tokens", " "))
     by = ("len", "first", "part")
     parts = independent_parts(shapes, sim_th).select(*by, "text", "size")
     ordered = parts.repartition(*by).sortWithinPartitions(*by, F.desc("size"), "text")
     merged = ordered.mapInArrow(_merge_sorted(sim_th), "template string, size long")
-    distinct = materialize(merged.groupBy("template").agg(F.sum("size").alias("size"), F.lit(1).alias("one")), "templates")
+    distinct = materialize(merged.groupBy("template").agg(F.sum("size").alias("size"), F.lit(1).alias("one")), "templates", STAGE_CODEC)
     return with_stable_ids(distinct)
 
 
