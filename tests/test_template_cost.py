@@ -3,8 +3,9 @@
 import re
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from triagelake.functions.scale import running_totals
+from triagelake.functions.scale import _cuts_below, _with_cuts, running_totals
 from triagelake.operators import templates
 
 
@@ -44,3 +45,11 @@ def test_place_in_the_order_is_worked_out_once(spark):
             depth += {"(": 1, ")": -1}.get(plan[end], 0)
             end += 1
         assert "conv(" not in plan[m.end() : end]
+
+
+def test_place_among_cuts_with_values_that_are_no_number(spark):
+    values = [[float("nan"), float("inf"), None, 0.0, -0.0, float("-inf"), ((i * 7919) % 997) / 997][i % 7] for i in range(3_000)]
+    df = _with_cuts(spark.createDataFrame([(v,) for v in values], "s double"), "s", [], 200)
+    counted = F.size(F.filter("_cuts", lambda c: c < F.col("s")))
+    rows = df.select(counted.alias("n"), _cuts_below(F.col("_cuts"), F.col("s"), 199).alias("found")).collect()
+    assert [r["found"] for r in rows] == [r["n"] for r in rows] and max(r["n"] for r in rows) > 100

@@ -82,7 +82,7 @@ def _numeric_order(df: DataFrame, key: str) -> Column:
 def _with_cuts(df: DataFrame, key: str, by: Sequence[str], buckets: int) -> DataFrame:
     """Add ``_cuts``: per group, the approximate quantiles of ``key``. Groups must be few."""
     probs = [i / buckets for i in range(1, buckets)]
-    approx = F.percentile_approx(_numeric_order(df, key), probs, 100 * buckets)
+    approx = F.sort_array(F.percentile_approx(_numeric_order(df, key), probs, 100 * buckets))  # NaN among the values upsets their order
     if not by:
         return df.withColumn("_cuts", df.agg(approx.alias("c")).scalar())
     per_group = df.groupBy(*by).agg(approx.alias("c"))
